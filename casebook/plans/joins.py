@@ -1,0 +1 @@
+"""Joins over the test tables."""
