@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from casebook.functions.runtime import join_on
 
 KEY_DIGITS = 3
+FANOUT = 32
+ROWS_PER_BUCKET = 250_000
 
 
 def seeded_key(col: str | Column, seed: int = 42) -> Column:
@@ -29,31 +31,34 @@ def key_bucket(key: Column, digits: int = KEY_DIGITS) -> Column:
     return F.substring(key, 1, digits)
 
 
-def _bounds(df: DataFrame, order: Sequence[str], fanout: int) -> list:
-    """A bounded, repeatable sample of order values, sorted."""
+def _bounds(df: DataFrame, order: Sequence[str], want: int) -> list:
+    """At most ``want - 1`` bounds from a bounded, repeatable sample of order values."""
     picked = (
         df.select(*order)
         .orderBy(F.xxhash64(*order), *order)
-        .limit(fanout * fanout * 2)
+        .limit(want * 16)
         .select(F.struct(*order).alias("o"))
         .orderBy("o")
         .collect()
     )
     values = [r["o"] for r in picked]
-    step = max(1, len(values) // (fanout * fanout))
-    return values[step::step]
+    return [values[len(values) * i // want] for i in range(1, want)]
 
 
-def range_bucket(df: DataFrame, order: Sequence[str], fanout: int = 16) -> Column:
+def range_bucket(
+    df: DataFrame, order: Sequence[str], fanout: int = FANOUT, rows_per_bucket: int = ROWS_PER_BUCKET
+) -> Column:
     """Bucket number that grows with ``order`` (ascending, nulls first).
 
+    The number of buckets follows the number of rows, up to ``fanout**2``.
     Bounds come from a bounded sample, so buckets are about even for any
-    distribution; a two-step search keeps the comparisons per row at twice
-    ``fanout`` for ``fanout**2`` buckets.
+    distribution, and a two-step search needs at most ``2 * fanout``
+    comparisons per row.
     """
-    values = _bounds(df, order, fanout)
-    if not values:
+    want = min(fanout * fanout, -(-df.count() // rows_per_bucket))
+    if want <= 1:
         return F.lit(0)
+    values = _bounds(df, order, want)
     types = [df.schema[c].dataType for c in order]
 
     def literal(value) -> Column:
@@ -80,11 +85,11 @@ def numbered(
     order: Sequence[str],
     name: str = "rn",
     groups: Sequence[str] = (),
-    fanout: int = 16,
+    rows_per_bucket: int = ROWS_PER_BUCKET,
 ) -> DataFrame:
     """Add the 1-based row number of each row (within ``groups``) in ``order``."""
     groups = list(groups)
-    keyed = df.withColumn("_b", range_bucket(df, order, fanout))
+    keyed = df.withColumn("_b", range_bucket(df, order, rows_per_bucket=rows_per_bucket))
     local = keyed.withColumn("_rn", F.row_number().over(W.partitionBy(*groups, "_b").orderBy(*order)))
     spans = _spans(keyed.select(*groups, "_b"), groups).select(*groups, "_b", "_start")
     joined = join_on(local, spans, groups + ["_b"])
@@ -97,11 +102,11 @@ def running_total(
     order: Sequence[str],
     value: Column,
     name: str,
-    fanout: int = 16,
+    rows_per_bucket: int = ROWS_PER_BUCKET,
 ) -> DataFrame:
     """Add the sum of ``value`` over the earlier rows of the group (0 for the first)."""
     groups = list(groups)
-    keyed = df.withColumn("_b", range_bucket(df, order, fanout)).withColumn("_v", value.cast("bigint"))
+    keyed = df.withColumn("_b", range_bucket(df, order, rows_per_bucket=rows_per_bucket)).withColumn("_v", value.cast("bigint"))
     inside = W.partitionBy(*groups, "_b").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
     local = keyed.withColumn("_local", F.sum("_v").over(inside) - F.col("_v"))
     sums = keyed.groupBy(*groups, "_b").agg(F.sum("_v").alias("_n"))

@@ -40,14 +40,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def rows_within(df: DataFrame, limit: int) -> bool:
-    """Whether ``df`` has at most ``limit`` rows; stops reading soon after ``limit``."""
-    return df.limit(limit + 1).count() <= limit
+def settle(df: DataFrame, limit: int = 20_000) -> DataFrame:
+    """A table with one row per group, computed once.
 
-
-def bounded_broadcast(df: DataFrame, limit: int = 200_000) -> DataFrame:
-    """Hint a broadcast only for a table that was counted; larger ones are shuffled."""
-    return F.broadcast(df) if rows_within(df, limit) else df
+    Up to ``limit`` rows are fetched and handed back as a table that is
+    broadcast where it is joined. A longer one stays a distributed plan.
+    """
+    rows = df.limit(limit + 1).collect()
+    return df if len(rows) > limit else F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
 
 
 def join_on(left: DataFrame, right: DataFrame, cols: list[str], how: str = "inner") -> DataFrame:

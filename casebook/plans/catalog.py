@@ -1,4 +1,4 @@
 """Imports every plan module, so that the registry is full."""
 
-from casebook.plans import counts, filters, joins, order  # noqa: F401
+from casebook.plans import counts, files, filters, joins, order, samples  # noqa: F401
 from casebook.plans.registry import COVERS, QUERIES, SQL  # noqa: F401
