@@ -90,10 +90,10 @@ def numbered(
     """Add the 1-based row number of each row (within ``groups``) in ``order``."""
     groups = list(groups)
     keyed = df.withColumn("_b", range_bucket(df, order, rows_per_bucket=rows_per_bucket))
-    local = keyed.withColumn("_rn", F.row_number().over(W.partitionBy(*groups, "_b").orderBy(*order)))
+    local = keyed.withColumn("_place", F.row_number().over(W.partitionBy(*groups, "_b").orderBy(*order)))
     spans = _spans(keyed.select(*groups, "_b"), groups).select(*groups, "_b", "_start")
     joined = join_on(local, spans, groups + ["_b"])
-    return joined.withColumn(name, (F.col("_start") + F.col("_rn")).cast("bigint")).drop("_b", "_rn", "_start")
+    return joined.withColumn(name, (F.col("_start") + F.col("_place")).cast("bigint")).drop("_b", "_place", "_start")
 
 
 def running_total(

@@ -15,7 +15,7 @@ EVENT_CSV = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type strin
 @query("folder_union_scan", "IO1", "SELECT event_id, ts, user_id, event_type, value, props FROM events")
 def _(spark, folder):
     path = scratch_path(spark, "events-csv")
-    table(spark, folder, "events").repartition(4).write.option("header", True).option("escape", '"').csv(path)
+    S.append_rows(table(spark, folder, "events").repartition(4), path)
     return S.scan_folder(spark, path, EVENT_CSV, "*.csv")
 
 

@@ -1 +1,307 @@
-"""Joins over the test tables."""
+"""Joins, name resolution and near-duplicate pairs over the test tables."""
+
+from pyspark.sql import functions as F
+
+from casebook.functions.runtime import table
+from casebook.operators import matching as J
+from casebook.operators import near_dup as N
+from casebook.operators.resolve import resolve_names
+from casebook.plans.registry import query
+
+
+def _keyed(spark, folder):
+    orders = table(spark, folder, "orders").selectExpr("o_orderkey", "o_custkey AS firm", "o_totalprice AS value")
+    return orders, table(spark, folder, "customer").selectExpr("c_custkey AS firm", "c_acctbal AS value", "c_mktsegment")
+
+
+@query(
+    "left_enrich",
+    "J1",
+    """SELECT o_orderkey, o_custkey AS firm, o_totalprice AS value, c_acctbal AS value_right, c_mktsegment
+       FROM orders LEFT JOIN customer ON o_custkey = c_custkey""",
+)
+def _(spark, folder):
+    orders, firms = _keyed(spark, folder)
+    return J.enrich(orders, firms, ["firm"])
+
+
+@query("inner_join", "J2", "SELECT n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey")
+def _(spark, folder):
+    nation, region = table(spark, folder, "nation"), table(spark, folder, "region")
+    return nation.join(region, nation.n_regionkey == region.r_regionkey).select("n_name", "r_name")
+
+
+@query("semi_join", "J3", "SELECT doc_id, source FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)")
+def _(spark, folder):
+    keys = table(spark, folder, "labels").filter("toxic = 1")
+    return J.only_in(table(spark, folder, "documents").select("doc_id", "source"), keys, ["doc_id"])
+
+
+@query("anti_join", "J4", "SELECT doc_id, source FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id AND quality = 1)")
+def _(spark, folder):
+    keys = table(spark, folder, "labels").filter("quality = 1")
+    return J.not_in(table(spark, folder, "documents").select("doc_id", "source"), keys, ["doc_id"])
+
+
+@query(
+    "keyed_overwrite",
+    "J6",
+    """WITH u AS (SELECT o_custkey, arg_max(o_orderpriority, (o_orderdate, o_orderkey)) AS p FROM orders
+         WHERE o_orderstatus = 'P' GROUP BY 1)
+       SELECT c_custkey, coalesce(p, c_mktsegment) AS segment FROM customer LEFT JOIN u ON c_custkey = o_custkey""",
+)
+def _(spark, folder):
+    updates = table(spark, folder, "orders").filter("o_orderstatus = 'P'").selectExpr(
+        "o_custkey AS c_custkey", "o_orderpriority AS segment", "o_orderdate", "o_orderkey"
+    )
+    firms = table(spark, folder, "customer").selectExpr("c_custkey", "c_mktsegment AS segment")
+    return J.overwrite(firms, updates, "c_custkey", ["segment"], [F.col("o_orderdate"), F.col("o_orderkey")])
+
+
+@query(
+    "fill_missing_values",
+    "J7",
+    """SELECT d.doc_id, coalesce(CASE WHEN lang <> 'en' THEN n_chars END, quality)::BIGINT AS size
+       FROM documents d LEFT JOIN labels USING (doc_id)""",
+)
+def _(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", F.when(F.col("lang") != "en", F.col("n_chars")).alias("size"))
+    other = table(spark, folder, "labels").select("doc_id", F.col("quality").cast("bigint").alias("size"))
+    return J.fill_missing(docs, other, "doc_id", ["size"])
+
+
+@query(
+    "abbreviation_expansion",
+    "J9",
+    """SELECT p_partkey, p_type, brand FROM part JOIN (SELECT DISTINCT p_type, p_brand AS brand FROM part WHERE p_size > 45) USING (p_type)""",
+)
+def _(spark, folder):
+    part = table(spark, folder, "part")
+    pairs = part.filter("p_size > 45").selectExpr("p_type", "p_brand AS brand")
+    return J.expand_names(part.select("p_partkey", "p_type"), "p_type", pairs).select("p_partkey", "p_type", "brand")
+
+
+@query(
+    "normalised_key_join",
+    "J10",
+    "SELECT c_custkey, o_orderkey FROM customer JOIN orders ON lower(trim(c_name)) = 'customer#' || lpad(o_custkey::VARCHAR, 9, '0')",
+)
+def _(spark, folder):
+    firms = table(spark, folder, "customer").select("c_custkey", F.concat(F.lit(" "), F.upper("c_name")).alias("firm"))
+    named = F.concat(F.lit("Customer#"), F.lpad(F.col("o_custkey").cast("string"), 9, "0"), F.lit("  ")).alias("written")
+    orders = table(spark, folder, "orders").select("o_orderkey", named)
+    return J.normalised_join(firms, orders, "firm", "written").select("c_custkey", "o_orderkey")
+
+
+NAMES = """n AS (SELECT DISTINCT CASE WHEN p_size > 25 THEN p_name || ' (' || lower(p_type) || ')' ELSE p_name END AS name FROM part),
+        t AS (SELECT DISTINCT CASE WHEN p_size > 40 THEN p_name ELSE p_name || '（' || p_brand || '）' END AS target FROM part WHERE p_type = 'PROMO')"""
+
+
+@query(
+    "two_stage_match",
+    "J11",
+    rf"""WITH {NAMES}, b AS (SELECT DISTINCT trim(regexp_replace(regexp_replace(regexp_replace(target, '（[^）]*）', '', 'g'), '\([^)]*\)', '', 'g'), '\s+', ' ', 'g')) AS bare FROM t)
+       SELECT name, CASE WHEN name IN (SELECT target FROM t) THEN 'exact'
+         WHEN trim(regexp_replace(regexp_replace(regexp_replace(name, '（[^）]*）', '', 'g'), '\([^)]*\)', '', 'g'), '\s+', ' ', 'g'))
+           IN (SELECT bare FROM b) THEN 'brackets' END AS stage FROM n""",
+)
+def _(spark, folder):
+    part = table(spark, folder, "part")
+    written = F.when(F.col("p_size") > 25, F.concat("p_name", F.lit(" ("), F.lower("p_type"), F.lit(")"))).otherwise(F.col("p_name"))
+    listed = F.when(F.col("p_size") > 40, F.col("p_name")).otherwise(F.concat("p_name", F.lit("（"), "p_brand", F.lit("）")))
+    targets = part.filter("p_type = 'PROMO'").select(listed.alias("target"))
+    return J.two_stage_match(part.select(written.alias("name")), "name", targets, "target")
+
+
+@query(
+    "spacing_rule_match",
+    "J12",
+    r"""WITH n AS (SELECT DISTINCT CASE WHEN p_size > 35 THEN replace(p_name, ' ', '  ') WHEN p_size > 20 THEN replace(p_name, ' ', chr(9)) ELSE p_name END AS name FROM part),
+        t AS (SELECT DISTINCT p_name AS target FROM part WHERE p_brand IN ('Brand#1', 'Brand#2'))
+       SELECT name, CASE WHEN name IN (SELECT target FROM t) THEN 'same'
+         WHEN replace(name, ' ', '') IN (SELECT replace(target, ' ', '') FROM t) THEN 'no_blanks'
+         WHEN regexp_replace(name, '\s+', '', 'g') IN (SELECT regexp_replace(target, '\s+', '', 'g') FROM t) THEN 'no_space' END AS rule FROM n""",
+)
+def _(spark, folder):
+    part = table(spark, folder, "part")
+    size, name = F.col("p_size"), F.col("p_name")
+    written = F.when(size > 35, F.replace(name, F.lit(" "), F.lit("  "))).when(
+        size > 20, F.replace(name, F.lit(" "), F.lit("\t"))
+    ).otherwise(name)
+    targets = part.filter(F.col("p_brand").isin("Brand#1", "Brand#2")).select(name.alias("target"))
+    return J.spacing_rule_match(part.select(written.alias("name")), "name", targets, "target")
+
+
+@query(
+    "containment_join",
+    "J13",
+    "SELECT doc_id, b.text AS passage FROM documents d JOIN benchmark b ON contains(d.text, b.text)",
+)
+def _(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    names = table(spark, folder, "benchmark").select(F.col("text").alias("passage"))
+    return J.containment_join(docs, "text", names, "passage").select("doc_id", "passage")
+
+
+@query(
+    "containment_join_automaton",
+    "J13",
+    """SELECT doc_id, w.name FROM documents d JOIN (SELECT DISTINCT split_part(text, ' ', 1) || ' ' || split_part(text, ' ', 2) AS name FROM pages_words) w
+         ON contains(d.text, w.name)""".replace(
+        "pages_words", "(SELECT text FROM conversations)"
+    ),
+)
+def _(spark, folder):
+    words = F.split("text", " ")
+    names = table(spark, folder, "conversations").select(F.concat_ws(" ", words[0], F.coalesce(F.try_element_at(words, F.lit(2)), F.lit(""))).alias("name"))
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return J.containment_join(docs, "text", names, "name").select("doc_id", "name")
+
+
+@query(
+    "resolved_names",
+    "J14",
+    """WITH r AS (SELECT doc_id, CASE lang WHEN 'fr' THEN source || '店' WHEN 'de' THEN source || '客服热线'
+              WHEN 'es' THEN source || ' 商家只有匹配成功后可见' ELSE source END AS name, text,
+              CASE WHEN n_chars < 300 THEN '待分配' ELSE '处理中' END AS progress FROM documents),
+        x AS (SELECT doc_id, contains(name, '商家只有匹配成功') OR contains(progress, '待分配') AS open_,
+              CASE WHEN contains(name, '商家只有匹配成功') THEN split_part(name, ' ', 1) ELSE name END AS name, contains(text, 'License') AS fin FROM r),
+        d AS (SELECT 'src' || p_size AS entry, min(p_partkey) AS code, p_size AS ord FROM part WHERE p_size BETWEEN 10 AND 30 GROUP BY p_size),
+        a(alias, canon) AS (VALUES ('src0', 'src12'), ('src4', 'src14')),
+        k AS (SELECT DISTINCT name, fin FROM x),
+        s AS (SELECT name, fin,
+              coalesce((SELECT canon FROM a WHERE alias = name), CASE WHEN contains(name, 'src5') THEN 'src15' END,
+                       CASE WHEN fin AND contains(name, 'src8') THEN 'src18' END) AS early,
+              (SELECT arg_min(code, ord) FROM d WHERE contains(entry, name)) AS c4,
+              (SELECT arg_min(entry, ord) FROM d WHERE contains(name, entry)) AS e5,
+              (SELECT canon FROM a WHERE contains(name, '客服') AND alias = split_part(name, '客服', 1)) AS r6 FROM k),
+        c AS (SELECT name, fin, coalesce(early, CASE WHEN c4 IS NOT NULL THEN name END, e5, r6) AS canon,
+              CASE WHEN early IS NULL AND c4 IS NOT NULL THEN c4 ELSE (SELECT code FROM d WHERE entry = coalesce(early, e5, r6)) END AS code FROM s)
+       SELECT doc_id, coalesce(canon, split_part(x.name, '客服', 1)) AS canonical,
+         CASE WHEN canon IS NOT NULL THEN code WHEN open_ THEN -2 ELSE -1 END::BIGINT AS code,
+         CASE WHEN open_ THEN CASE WHEN canon IS NOT NULL THEN 3 ELSE 0 END WHEN canon IS NOT NULL THEN 2 ELSE 1 END AS status
+       FROM x JOIN c ON x.name = c.name AND x.fin = c.fin""",
+)
+def _(spark, folder):
+    source = F.col("source")
+    name = (
+        F.when(F.col("lang") == "fr", F.concat(source, F.lit("店")))
+        .when(F.col("lang") == "de", F.concat(source, F.lit("客服热线")))
+        .when(F.col("lang") == "es", F.concat(source, F.lit(" 商家只有匹配成功后可见")))
+        .otherwise(source)
+    )
+    progress = F.when(F.col("n_chars") < 300, "待分配").otherwise("处理中")
+    rows = table(spark, folder, "documents").select("doc_id", name.alias("name"), "text", progress.alias("progress"))
+    dictionary = table(spark, folder, "part").filter("p_size BETWEEN 10 AND 30").groupBy(
+        F.concat(F.lit("src"), F.col("p_size").cast("string")).alias("entry"), F.col("p_size").alias("ord")
+    ).agg(F.min("p_partkey").alias("code"))
+    aliases = spark.createDataFrame([("src0", "src12"), ("src4", "src14")], "alias string, canonical string")
+    out = resolve_names(rows, "name", "text", "progress", dictionary, aliases, {"src5": "src15"}, {"src8": "src18"}, ["License"])
+    return out.select("doc_id", "canonical", F.col("code").cast("bigint").alias("code"), "status")
+
+
+# DuckDB counts bytes in edit distances: letters outside ASCII are mapped one to one onto unused control characters.
+LETTERS = "àâäçèéêëîïñóôöùúûüßÀÂÄÇÈÉÊËÎÏÑÓÔÖÙÚÛÜáíÁÍ¿¡"
+TEXT_ITEMS = """e AS (SELECT lang, text, min(doc_id) AS id FROM documents GROUP BY 1, 2),
+        n AS (SELECT *, length(text) AS len, floor(length(text) / 21) AS band, translate(text, '{letters}', '{codes}') AS t FROM e)"""
+
+
+@query("near_duplicate_pairs", "J15")
+def _(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", "lang", "text")
+    pairs = N.near_duplicates(docs, "doc_id", "lang", "text")
+    return pairs.withColumn("similarity", F.round("similarity", 6))
+
+
+@query("suspicious_pairs", "J16 J4")
+def _(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", "lang", "text")
+    times = table(spark, folder, "events").select(F.col("event_id").alias("doc_id"), "ts")
+    pairs = N.near_duplicates(docs, "doc_id", "lang", "text")
+    close = N.suspicious_pairs(pairs, times, "doc_id", "ts", 20)
+    return close.select("lang", "id_1", "id_2", F.round("similarity", 6).alias("similarity"), "gap_days")
+
+
+@query(
+    "fuzzy_best_match",
+    "J17",
+    """WITH n AS (SELECT DISTINCT p_name AS name FROM part), t AS (SELECT DISTINCT p_name AS target FROM part WHERE p_size < 30),
+        s AS (SELECT name, target, 1 - levenshtein(name, target) / greatest(length(name), length(target)) AS score FROM n JOIN t ON name <> target),
+        r AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY score DESC, target) AS rn FROM s WHERE score >= 0.75 - 1e-9)
+       SELECT name, target, round(score, 6) AS score FROM r WHERE rn = 1""",
+)
+def _(spark, folder):
+    part = table(spark, folder, "part")
+    names = part.select(F.col("p_name").alias("name"))
+    return J.fuzzy_best_match(names, "name", part.filter("p_size < 30").select(F.col("p_name").alias("target")), "target")
+
+
+@query(
+    "keyword_name_lookup",
+    "J18",
+    "SELECT DISTINCT p_name FROM part WHERE contains(p_name, 'red') ORDER BY p_name LIMIT 100",
+)
+def _(spark, folder):
+    return J.keyword_lookup(table(spark, folder, "part"), "p_name", "red")
+
+
+@query(
+    "existence_resolve",
+    "J19",
+    """SELECT s_suppkey, CASE WHEN s_acctbal < 0 THEN 'set' WHEN s_nationkey IN (SELECT c_nationkey FROM customer WHERE c_acctbal > 9900)
+         THEN s_nationkey::VARCHAR ELSE 'not found' END AS resolved FROM supplier""",
+)
+def _(spark, folder):
+    rows = table(spark, folder, "supplier").select(
+        "s_suppkey", F.col("s_nationkey").cast("string").alias("nation"), F.when(F.col("s_acctbal") < 0, "set").alias("resolved")
+    )
+    present = table(spark, folder, "customer").filter("c_acctbal > 9900").select(F.col("c_nationkey").cast("string").alias("nation"))
+    return J.resolve_existence(rows, "nation", present, "resolved", "not found").select("s_suppkey", "resolved")
+
+
+@query(
+    "membership_flag",
+    "J20",
+    "SELECT c_custkey, (c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 400000))::INT AS large FROM customer",
+)
+def _(spark, folder):
+    keys = table(spark, folder, "orders").filter("o_totalprice > 400000").select(F.col("o_custkey").alias("c_custkey"))
+    return J.membership_flag(table(spark, folder, "customer").select("c_custkey"), keys, ["c_custkey"], "large")
+
+
+@query(
+    "unmatched_keys",
+    "J21",
+    "SELECT p_partkey, p_name FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity >= 49)",
+)
+def _(spark, folder):
+    hits = table(spark, folder, "lineitem").filter("l_quantity >= 49").select(F.col("l_partkey").alias("p_partkey"))
+    return J.not_in(table(spark, folder, "part").select("p_partkey", "p_name"), hits, ["p_partkey"])
+
+
+@query(
+    "feature_lookup",
+    "J22",
+    """WITH f AS (SELECT l_orderkey, l_quantity, l_returnflag, row_number() OVER (PARTITION BY l_orderkey
+              ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS rn FROM lineitem)
+       SELECT o_orderkey, l_quantity, l_returnflag FROM orders LEFT JOIN f ON o_orderkey = l_orderkey AND rn = 1 WHERE o_orderstatus = 'P'""",
+)
+def _(spark, folder):
+    targets = table(spark, folder, "orders").filter("o_orderstatus = 'P'").select("o_orderkey")
+    facts = table(spark, folder, "lineitem").withColumnRenamed("l_orderkey", "o_orderkey")
+    order = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
+    return J.lookup_features(targets, facts, "o_orderkey", ["l_quantity", "l_returnflag"], order)
+
+
+@query(
+    "treated_entities",
+    "J23",
+    """SELECT c_custkey, c_name, sum(l_quantity)::BIGINT AS treat FROM customer JOIN orders ON c_custkey = o_custkey
+       JOIN lineitem ON l_orderkey = o_orderkey AND l_returnflag = 'R' GROUP BY 1, 2 HAVING treat > 0 ORDER BY treat DESC, c_custkey""",
+)
+def _(spark, folder):
+    returned = table(spark, folder, "lineitem").filter("l_returnflag = 'R'").groupBy("l_orderkey").agg(F.sum("l_quantity").alias("q"))
+    orders = table(spark, folder, "orders").select("o_orderkey", "o_custkey")
+    treat = orders.join(returned, F.col("o_orderkey") == F.col("l_orderkey")).groupBy("o_custkey").agg(F.sum("q").cast("bigint").alias("treat"))
+    firms = table(spark, folder, "customer").select("c_custkey", "c_name").join(treat, F.col("c_custkey") == F.col("o_custkey"))
+    return firms.filter("treat > 0").select("c_custkey", "c_name", "treat").orderBy(F.col("treat").desc(), "c_custkey")

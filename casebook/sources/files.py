@@ -10,11 +10,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from casebook.functions.ranking import numbered
 
 SHEET_ROWS = 1_048_570
+CSV = {"header": "true", "escape": '"', "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]"}
 
 
 def scan_folder(spark: SparkSession, path: str, schema: T.StructType | str, glob: str | None = None) -> DataFrame:
     """All CSV files of a folder as one table; names starting with ``.`` or ``_`` are skipped."""
-    reader = spark.read.schema(schema).option("header", True).option("escape", '"').option("multiLine", True)
+    reader = spark.read.schema(schema).options(**CSV).option("multiLine", True)
     if glob:
         reader = reader.option("pathGlobFilter", glob)
     return reader.csv(path)
@@ -72,8 +73,9 @@ def _decode(content: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([one(b) for b in content], columns=["text", "encoding"])
 
 
-def append_rows(df: DataFrame, path: str, header: bool = True) -> None:
-    df.write.mode("append").option("header", header).option("escape", '"').csv(path)
+def append_rows(df: DataFrame, path: str) -> None:
+    """Add rows to a folder of CSV files; each file has one header."""
+    df.write.mode("append").options(**CSV).csv(path)
 
 
 def write_months(df: DataFrame, when: str, path: str, mode: str = "overwrite") -> None:
@@ -94,7 +96,7 @@ def rewrite_months(df: DataFrame, when: str, path: str, cutoff: str) -> None:
 
 def write_capped(df: DataFrame, path: str, rows: int = SHEET_ROWS) -> None:
     """At most ``rows`` rows per file."""
-    df.write.mode("overwrite").option("maxRecordsPerFile", rows).option("header", True).csv(path)
+    df.write.mode("overwrite").option("maxRecordsPerFile", rows).options(**CSV).csv(path)
 
 
 def sheet_number(df: DataFrame, order: Sequence[str], rows: int = SHEET_ROWS, name: str = "sheet") -> DataFrame:
