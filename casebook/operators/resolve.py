@@ -10,11 +10,13 @@ from casebook.functions.text import before_marker, contains_any
 
 def _substrings(name: Column, lengths: list[int]) -> Column:
     """All distinct substrings of the given lengths."""
-    runs = []
-    for k in lengths:
-        spots = F.when(F.length(name) >= k, F.sequence(F.lit(1), F.length(name) - k + 1))
-        runs.append(F.transform(F.coalesce(spots, F.array().cast("array<int>")), lambda p, k=k: F.substring(name, p, F.lit(k))))
-    return F.array_distinct(F.flatten(F.array(*runs)))
+
+    def of_length(size: int) -> Column:
+        starts = F.when(F.length(name) >= size, F.sequence(F.lit(1), F.length(name) - size + 1))
+        starts = F.coalesce(starts, F.array().cast("array<int>"))
+        return F.transform(starts, lambda p: F.substring(name, p, F.lit(size)))
+
+    return F.array_distinct(F.flatten(F.array(*[of_length(k) for k in lengths])))
 
 
 def _lengths(df: DataFrame, col: str) -> list[int]:
