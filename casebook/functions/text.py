@@ -99,7 +99,7 @@ def normalise_document(col: Column, titles: Sequence[str]) -> Column:
 
 def sentences_with(col: Column, words: Sequence[str], stop: str = "[。？！.?!]+") -> Column:
     """Array of the sentences that hold one of the words."""
-    parts = F.transform(F.split(col, stop), F.trim)
+    parts = F.transform(F.split(col, stop), lambda s: F.regexp_replace(s, r"^\s+|\s+$", ""))
     return F.filter(parts, lambda s: contains_any(s, words))
 
 

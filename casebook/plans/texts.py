@@ -279,7 +279,7 @@ def _(spark, folder):
 @query(
     "sentences_with_words",
     "2.7 regex",
-    r"""WITH s AS (SELECT doc_id, trim(unnest(regexp_split_to_array(text, '[。？！.?!]+'))) AS sentence FROM documents)
+    r"""WITH s AS (SELECT doc_id, regexp_replace(unnest(regexp_split_to_array(text, '[。？！.?!]+')), '^\s+|\s+$', '', 'g') AS sentence FROM documents)
         SELECT doc_id, sentence FROM s WHERE contains(sentence, 'that') OR contains(sentence, 'License')""",
 )
 def _(spark, folder):
