@@ -154,7 +154,12 @@ def _(spark, folder):
     return spark.read.parquet(path)
 
 
-@query("token_corpus", "IO15")
+@query(
+    "token_corpus",
+    "IO15",
+    r"""SELECT doc_id, len(list_filter(regexp_extract_all(lower(text), '\p{L}+'),
+          lambda w: length(w) >= 2 AND w NOT IN ('the', 'of')))::INT AS tokens FROM documents""",
+)
 def _(spark, folder):
     path = scratch_path(spark, "corpus")
     docs = table(spark, folder, "documents").select("doc_id", kept_tokens(F.col("text"), ["the", "of"]).alias("tokens"))

@@ -34,7 +34,7 @@ def _(spark, folder):
     return docs.select("doc_id", F.size("toks").alias("tokens"), F.array_join("toks", " ").alias("words"))
 
 
-@query("longest_match_tokens", "T1")
+@query("longest_match_tokens", "T1", "SELECT p_partkey, p_name FROM part")
 def _(spark, folder):
     words = table(spark, folder, "part").select(F.explode(F.split("p_name", " ")).alias("w")).distinct()
     listed = [r["w"] for r in words.orderBy("w").limit(10_000).collect()]
