@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -10,6 +10,11 @@ from casebook.functions import fixed
 from casebook.functions.text import contains_any, ellipsis, first_group
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value worked out a single time per row."""
+    return F.element_at(F.transform(F.array(value), lambda v: use(v)), 1)
+
+
 def clean_reason(col: Column) -> Column:
     """Drop leading marks, then a lead-in up to the first full-width colon."""
     return F.regexp_replace(F.regexp_replace(col, r"^[，。：；、\s]+", ""), "^[^：]+：", "")
@@ -79,9 +84,9 @@ def parse_json(col: Column, schema: str) -> Column:
     Every field of a value that is no JSON object is null; such a value
     counts as unparsed and the next form is tried.
     """
-    body = json_body(unfence(col))
-    tries = [col, unfence(col), body, repair_json(body)]
-    return F.coalesce(*[_object(t, schema) for t in tries])
+    whole, bare = _object(col, schema), unfence(col)
+    inner = _once(json_body(bare), lambda body: F.coalesce(_object(body, schema), _object(repair_json(body), schema)))
+    return F.coalesce(whole, F.when(bare != col, _object(bare, schema)), inner)
 
 
 def _object(col: Column, schema: str) -> Column:
@@ -94,16 +99,19 @@ def json_answer(
     failed: str = "API调用失败", no_reason: str = "无理由提供",
 ) -> Column:
     """struct(flag, reason) from a JSON answer, or from words in the text if it holds none."""
-    parsed = parse_json(col, f"`{field}` string, `{reason}` string")
-    stated = F.lower(parsed.getField(field)).isin("true", "1")
-    guessed = contains_any(F.lower(col), [w.lower() for w in yes_words])
     blank = F.coalesce(F.trim(col), F.lit("")) == ""
-    return F.struct(
-        F.when(blank, F.lit(False)).when(parsed.isNotNull(), F.coalesce(stated, F.lit(False))).otherwise(guessed).alias("flag"),
-        F.when(blank, F.lit(failed)).when(
-            parsed.isNotNull(), F.coalesce(parsed.getField(reason), F.lit(no_reason))
-        ).otherwise(col).alias("reason"),
-    )
+
+    def read(parsed: Column) -> Column:
+        stated = F.lower(parsed.getField(field)).isin("true", "1")
+        guessed = contains_any(F.lower(col), [w.lower() for w in yes_words])
+        flag = F.when(parsed.isNotNull(), F.coalesce(stated, F.lit(False))).otherwise(guessed)
+        why = F.when(parsed.isNotNull(), F.coalesce(parsed.getField(reason), F.lit(no_reason))).otherwise(col)
+        return F.struct(
+            F.when(blank, F.lit(False)).otherwise(flag).alias("flag"),
+            F.when(blank, F.lit(failed)).otherwise(why).alias("reason"),
+        )
+
+    return _once(parse_json(col, f"`{field}` string, `{reason}` string"), read)
 
 
 def validated_class(col: Column, source: Column, field: str, reason: str, allowed: Sequence[str]) -> Column:
@@ -134,13 +142,16 @@ def code_lists(col: Column) -> Column:
     after_header = F.regexp_replace(F.regexp_replace(col, header, ""), r"^[：:，、\s-]+", "")
     reason = F.when(marked, F.trim(after_block)).when(headed, after_header).otherwise(col)
 
-    def of_length(k: int) -> Column:
-        return F.array_join(F.filter(codes, lambda c: F.length(c) == k), ",")
+    def by_length(found: Column) -> Column:
+        def of_length(k: int) -> Column:
+            return F.array_join(F.filter(found, lambda c: F.length(c) == k), ",")
 
-    return F.struct(
-        of_length(1).alias("one_digit"), of_length(2).alias("two_digit"), of_length(3).alias("three_digit"),
-        reason.alias("reason"),
-    )
+        return F.struct(
+            of_length(1).alias("one_digit"), of_length(2).alias("two_digit"), of_length(3).alias("three_digit"),
+            reason.alias("reason"),
+        )
+
+    return _once(codes, by_length)
 
 
 def choice_field(col: Column, label: str, choices: Sequence[str], default: str) -> Column:
