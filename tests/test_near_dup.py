@@ -1,0 +1,86 @@
+import datetime
+import random
+
+import pytest
+from hypothesis import given, settings, strategies as st
+
+from casebook.functions import edits
+from casebook.operators import near_dup as N
+
+
+def slow(a, b, change=1):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (0 if x == y else change)))
+        row = new
+    return row[-1]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.text("abcé", max_size=70), st.text("abcé", max_size=70), st.integers(0, 40))
+def test_edit_distances(a, b, limit):
+    d, e = slow(a, b), slow(a, b, 2)
+    assert edits.distance(a, b) == d
+    assert edits.within(a, b, limit) == (d if d <= limit else -1)
+    assert edits.indel_within(a, b, limit) == (e if e <= limit else -1)
+
+
+def _texts():
+    rnd = random.Random(5)
+    words = "alpha beta gamma delta 公司 贷款 über".split()
+    rows = []
+    for i in range(60):
+        base = " ".join(rnd.choice(words) for _ in range(rnd.choice([1, 2, 6, 14])))
+        rows.append((2 * i, rnd.choice("xxy"), base))
+        copy = list(base)
+        for _ in range(rnd.randint(0, max(1, len(copy) // 6))):
+            copy[rnd.randrange(len(copy))] = rnd.choice("qz")
+        rows.append((2 * i + 1, rows[-1][1], "".join(copy)))
+    return rows + [(1000, "x", None), (1001, None, "alpha"), (1002, "x", ""), (1003, "x", "")]
+
+
+def _brute(rows, threshold, metric):
+    items = {}
+    for i, block, text in sorted(rows, key=lambda r: r[0]):
+        if text is not None and block is not None:
+            items.setdefault((block, text), []).append(i)
+    want = {(b, ids[0], i): 100.0 for (b, _), ids in items.items() for i in ids[1:]}
+    flat = [(b, t, ids[0]) for (b, t), ids in items.items()]
+    for k, (b1, t1, i1) in enumerate(flat):
+        for b2, t2, i2 in flat[:k]:
+            if b1 == b2 and abs(len(t1) - len(t2)) <= 20:
+                size = max(len(t1), len(t2)) if metric == "edit" else len(t1) + len(t2)
+                s = 100.0 * (1 - slow(t1, t2, 1 if metric == "edit" else 2) / size)
+                if s > threshold:
+                    want[(b1, min(i1, i2), max(i1, i2))] = s
+    return want
+
+
+@pytest.mark.parametrize("threshold,metric", [(80.0, "edit"), (90.0, "edit"), (80.0, "indel")])
+@pytest.mark.parametrize("hot_rows", [0, 2000])
+def test_pairs_equal_brute_force_on_both_ways(spark, threshold, metric, hot_rows):
+    rows = _texts()
+    df = spark.createDataFrame(rows, "id bigint, block string, text string").repartition(5)
+    got = N.near_duplicates(df, "id", "block", "text", threshold, hot_rows=hot_rows, metric=metric).collect()
+    assert len(got) == len({(r["block"], r["id_1"], r["id_2"]) for r in got})
+    assert {(r["block"], r["id_1"], r["id_2"]): pytest.approx(r["similarity"]) for r in got} == _brute(rows, threshold, metric)
+
+
+def test_many_copies_make_a_star(spark):
+    df = spark.createDataFrame([(i, "b", "same words here") for i in range(400)], "id bigint, block string, text string")
+    got = N.near_duplicates(df, "id", "block", "text").collect()
+    assert len(got) == 399 and {r["id_1"] for r in got} == {0}
+
+
+def test_gap_is_limited_on_one_side_unless_asked(spark):
+    day = datetime.datetime(2024, 5, 1)
+    gaps = {1: 0, 2: 89, 3: 90, 4: -5, 5: -200}
+    pairs = spark.createDataFrame([("b", 0, i, 95.0) for i in gaps] + [("b", 0, 9, 85.0)], "block string, id_1 bigint, id_2 bigint, similarity double")
+    rows = [(0, day), (9, day)] + [(i, day + datetime.timedelta(days=g)) for i, g in gaps.items()]
+    facts = spark.createDataFrame(rows, "id bigint, at timestamp_ntz")
+    one = {r["id_2"]: r["gap_days"] for r in N.suspicious_pairs(pairs, facts, "id", "at").collect()}
+    assert one == {1: 0, 2: 89, 4: -5, 5: -200}
+    both = {r["id_2"] for r in N.suspicious_pairs(pairs, facts, "id", "at", abs_days=True).collect()}
+    assert both == {1, 2, 4}
