@@ -117,7 +117,9 @@ def containment_join(
     passes = []
     for i in range(shares):
         share = words if shares == 1 else words.filter(F.pmod(F.xxhash64(name), F.lit(shares)) == i)
-        passes.append(_scan_share(usable, text, [r[0] for r in share.collect()], name))
+        patterns = [r[0] for r in share.collect()]
+        if patterns:
+            passes.append(_scan_share(usable, text, patterns, name))
     return align_union(passes)
 
 

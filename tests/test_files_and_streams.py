@@ -99,11 +99,7 @@ def test_nearest_labels_do_not_depend_on_shares(spark):
     assert all(one[i] == float(i % 3) for i in one)
 
 
-def _loader():
-    return lambda batch: [len(t) for t in batch]
-
-
 def test_scoring_skips_blanks_and_rows_outside(spark):
     df = spark.createDataFrame([(1, "ab", 1), (2, " ", 1), (3, None, 1), (4, "abc", None), (5, "abcd", 0)], "id int, t string, d int")
-    got = {r["id"]: r["prediction"] for r in K.score_texts(df, "t", _loader, within=F.col("d") == 1).collect()}
+    got = {r["id"]: r["prediction"] for r in K.score_texts(df, "t", lambda: lambda batch: [len(t) for t in batch], within=F.col("d") == 1).collect()}
     assert got == {1: 2}
