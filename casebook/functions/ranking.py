@@ -47,9 +47,11 @@ def _bounds(df: DataFrame, order: Sequence[str], want: int) -> list:
 
 def range_bucket(
     df: DataFrame, order: Sequence[str], fanout: int = FANOUT, rows_per_bucket: int = ROWS_PER_BUCKET
-) -> Column:
+) -> Column | None:
     """Bucket number that grows with ``order`` (ascending, nulls first).
 
+    None for a table that was counted and fits one bucket.
+
     The number of buckets follows the number of rows, up to ``fanout**2``.
     Bounds come from a bounded sample, so buckets are about even for any
     distribution, and a two-step search needs at most ``2 * fanout``
@@ -57,7 +59,7 @@ def range_bucket(
     """
     want = min(fanout * fanout, -(-df.count() // rows_per_bucket))
     if want <= 1:
-        return F.lit(0)
+        return None
     values = _bounds(df, order, want)
     types = [df.schema[c].dataType for c in order]
 
@@ -89,7 +91,10 @@ def numbered(
 ) -> DataFrame:
     """Add the 1-based row number of each row (within ``groups``) in ``order``."""
     groups = list(groups)
-    keyed = df.withColumn("_b", range_bucket(df, order, rows_per_bucket=rows_per_bucket))
+    bucket = range_bucket(df, order, rows_per_bucket=rows_per_bucket)
+    if bucket is None:
+        return df.withColumn(name, F.row_number().over(W.partitionBy(*groups).orderBy(*order)).cast("bigint"))
+    keyed = df.withColumn("_b", bucket)
     local = keyed.withColumn("_place", F.row_number().over(W.partitionBy(*groups, "_b").orderBy(*order)))
     spans = _spans(keyed.select(*groups, "_b"), groups).select(*groups, "_b", "_start")
     joined = join_on(local, spans, groups + ["_b"])
@@ -106,7 +111,11 @@ def running_total(
 ) -> DataFrame:
     """Add the sum of ``value`` over the earlier rows of the group (0 for the first)."""
     groups = list(groups)
-    keyed = df.withColumn("_b", range_bucket(df, order, rows_per_bucket=rows_per_bucket)).withColumn("_v", value.cast("bigint"))
+    bucket = range_bucket(df, order, rows_per_bucket=rows_per_bucket)
+    if bucket is None:
+        before = W.partitionBy(*groups).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+        return df.withColumn(name, F.coalesce(F.sum(value.cast("bigint")).over(before), F.lit(0)))
+    keyed = df.withColumn("_b", bucket).withColumn("_v", value.cast("bigint"))
     inside = W.partitionBy(*groups, "_b").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
     local = keyed.withColumn("_local", F.sum("_v").over(inside) - F.col("_v"))
     sums = keyed.groupBy(*groups, "_b").agg(F.sum("_v").alias("_n"))
@@ -125,7 +134,7 @@ def values_at_ranks(df: DataFrame, order: Sequence[str], ranks: Sequence[int], b
     if not wanted:
         return {}
     bucket = range_bucket(df, order) if bucket is None else bucket
-    keyed = df.select(*order, bucket.alias("_b"))
+    keyed = df.select(*order, (F.lit(0) if bucket is None else bucket).alias("_b"))
     sizes = sorted((r["_b"], r["n"]) for r in keyed.groupBy("_b").agg(F.count(F.lit(1)).alias("n")).collect())
     places, before, todo = [], 0, list(wanted)
     for b, n in sizes:

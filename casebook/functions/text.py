@@ -16,11 +16,13 @@ def quote_words(words: Sequence[str]) -> str:
 
 
 def matches_any(col: str | Column, words: Sequence[str], ci: bool = True) -> Column:
-    """Whether a word occurs; null text counts as no."""
+    """Whether a word occurs, in any case unless ``ci`` is off; null text counts as no.
+
+    Plain search in the lower-cased text: several times faster than a
+    case-insensitive pattern, and words are literal without quoting.
+    """
     c = F.col(col) if isinstance(col, str) else col
-    if not words:
-        return F.lit(False)
-    return F.coalesce(c.rlike(("(?iu)" if ci else "") + "(" + quote_words(words) + ")"), F.lit(False))
+    return contains_any(F.lower(c), [w.lower() for w in words]) if ci else contains_any(c, words)
 
 
 def contains_any(col: str | Column, words: Sequence[str]) -> Column:
