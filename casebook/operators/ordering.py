@@ -10,13 +10,19 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from casebook.functions.ranking import numbered, values_at_ranks
 
 
-def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column]) -> DataFrame:
+def keep_first(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], digest: bool = False
+) -> DataFrame:
     """First row of each key in ``order``.
 
+    With ``digest`` a single text key is compared by its SHA-256, so that
+    long texts travel only if they are part of the result.
+
     Spark turns the ``= 1`` test into a per-task limit ahead of the shuffle,
     so a key with very many copies sends one row per task.
     """
-    w = W.partitionBy(*keys).orderBy(*order)
+    parts = [F.sha2(F.col(keys[0]), 256)] if digest and len(keys) == 1 else list(keys)
+    w = W.partitionBy(*parts).orderBy(*order)
     return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") == 1).drop("_rn")
 
 

@@ -14,7 +14,7 @@ from casebook.plans.registry import query
        WHERE rn = 1""",
 )
 def _(spark, folder):
-    return O.keep_first(table(spark, folder, "documents"), ["text"], ["doc_id"]).select("doc_id", "source")
+    return O.keep_first(table(spark, folder, "documents"), ["text"], ["doc_id"], digest=True).select("doc_id", "source")
 
 
 @query(

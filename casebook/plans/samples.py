@@ -257,7 +257,7 @@ CAPPED_BASE = f"""{DOCS}, e AS (SELECT * FROM (SELECT *, row_number() OVER (PART
 )
 def _(spark, folder):
     docs = table(spark, folder, "documents").select("doc_id", "source", "lang", "text")
-    english = keep_first(docs.filter("lang = 'en'"), ["text"], ["doc_id"]).drop("lang")
+    english = keep_first(docs.filter("lang = 'en'"), ["text"], ["doc_id"], digest=True).drop("lang")
     base = S.cap_entities(english, "doc_id", "source", {"src1": 5, "src2": 8})
     full = S.refill(base, docs, "doc_id", "source", "text", ["src1", "src2"], 800)
     return S.shuffled(full, "doc_id").select("doc_id", "source")
