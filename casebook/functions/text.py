@@ -7,7 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, functions as F
 
-from casebook.functions.fixed import CHINESE_DIGITS, SALUTATION
+from casebook.functions.fixed import CHINESE_DIGITS, GREETING, SALUTATION
 
 
 def quote_words(words: Sequence[str]) -> str:
@@ -91,6 +91,11 @@ def drop_salutations(col: Column) -> Column:
     return F.regexp_replace(col, SALUTATION, "$1")
 
 
+def drop_greetings(col: Column) -> Column:
+    """Remove a greeting up to and including the mark that ends it."""
+    return F.regexp_replace(col, GREETING, "")
+
+
 def drop_leading_titles(col: Column, titles: Sequence[str]) -> Column:
     return F.regexp_replace(col, "(?m)^(" + quote_words(titles) + ")", "")
 

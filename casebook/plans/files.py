@@ -82,9 +82,9 @@ def _(spark, folder):
     path = scratch_path(spark, "mixed")
     docs = table(spark, folder, "documents").select("lang", "source", F.regexp_replace("text", r"[\r\n]", " ").alias("value"))
     for lang, charset in (("fr", "ISO-8859-1"), ("en", "UTF-8"), ("de", "UTF-8"), ("es", "UTF-8")):
-        part = docs.filter(F.col("lang") == lang)
-        part.repartition("source").drop("lang").write.mode("append").partitionBy("source").option("encoding", charset).text(f"{path}/{lang}")
-    raw = S.read_texts(spark, f"{path}/*/*/*.txt").select("text", "encoding")
+        part = docs.filter(F.col("lang") == lang).drop("lang")
+        part.repartition("source").write.partitionBy("source").option("encoding", charset).csv(f"{path}/{lang}")
+    raw = S.read_texts(spark, f"{path}/*/*/*.csv").select("text", "encoding")
     return raw.groupBy("encoding").agg(F.count(F.lit(1)).alias("files"), F.sum(F.length("text")).alias("chars"))
 
 

@@ -19,6 +19,7 @@ def test_names_and_numbers(spark):
     assert column(spark, X.chinese_number, ["十", "二十一", "二〇二三", "12", "三十", "x", None]) == [10, 21, 2023, 12, 30, None, None]
     assert column(spark, lambda c: X.pad_code(c), ["1", "1234567", None]) == ["000001", "1234567", None]
     assert column(spark, X.drop_salutations, ["请问董事长 您，你好", "请问好"]) == ["，你好", "请问好"]
+    assert column(spark, X.drop_greetings, ["董事长您好，请问 A", "您好！", "问题好吗"]) == ["请问 A", "", "问题好吗"]
     assert column(spark, lambda c: X.id_from_url(c), ["http://a/12345678901/x", "http://b"]) == ["12345678901", "N/A"]
 
 
