@@ -17,13 +17,12 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from casebook.functions.ranking import numbered
+from casebook.functions.ranking import key_bucket, numbered, seeded_key
 from casebook.functions.runtime import cut_lineage, join_on
 
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
 SEED = 42
-KEY_BITS = 12
 
 
 def word_count(text: Column) -> Column:
@@ -77,12 +76,12 @@ def mix(
     seed: int = SEED,
 ) -> DataFrame:
     """Per row: ``doc_id``, ``source``, ``mark``, ``size``, ``source_size``, ``target``, ``copies``."""
-    key = F.xxhash64(F.col(id_col).cast("string"), F.lit(seed))
+    key = F.coalesce(seeded_key(id_col, seed), F.lit(""))
     sizes = cut_lineage(
         docs.select(
             F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.xxhash64(text_col).alias("mark"),
             word_count(F.col(text_col)).alias("size"), key.alias("key"),
-            F.shiftright(key, 64 - KEY_BITS).alias("bucket"),
+            key_bucket(key).alias("bucket"),
         )
     )
     targets = cut_lineage(water_fill(weighted_sources(sizes, weights), max_epochs))

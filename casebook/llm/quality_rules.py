@@ -32,10 +32,8 @@ RULES = (
     ("word_length_high", "mean_word_chars", None, 14.0),
     ("symbols", "symbols_per_word", None, 0.1),
     ("stop_words", "stop_word_share", 0.02, None),
-    ("upper_case", "upper_share", None, 0.3),
     ("marks", "shouting_share", None, 0.1),
     ("repeated_words", "repeated_word_share", None, 0.5),
-    ("repeated_neighbours", "same_as_next_share", None, 0.2),
     ("repeated_lines", "repeated_line_share", None, 0.3),
 )
 
@@ -50,45 +48,34 @@ def _share(part: str, whole: str) -> Column:
 
 def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", stop_words: Sequence[str] = STOP_WORDS) -> DataFrame:
     """``doc_id``, counts and ratios of every row."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
     low = (1 << 24) - 1
-    words = F.filter(F.split(F.col("text"), f"[{BLANKS}]+"), lambda w: w != "")
-    base = docs.select(F.col(id_col).alias("doc_id"), text.alias("text")).withColumn("words", words)
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    base = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.btrim(text, F.lit(BLANKS)).alias("bare"))
+    words = F.when(F.col("bare") != "", F.split("bare", f"[{BLANKS}]+")).otherwise(F.array().cast("array<string>"))
     lines = F.filter(F.split("text", "\n"), lambda x: F.length(F.btrim(x, F.lit(BLANKS))) > 0)
-    counted = base.select(
+    # One pass over the characters; the few that are left are counted apart.
+    marks = F.regexp_replace("text", "[^#*$%&|<>!?]++", "")
+    cut = base.select("doc_id", words.alias("words"), lines.alias("lines"), marks.alias("marks"))
+    hashed = cut.select(
         "doc_id",
-        "words",
         _count(F.col("words")).alias("n_words"),
-        F.length(F.regexp_replace("text", f"[{BLANKS}]++", "")).cast("bigint").alias("word_chars"),
-        F.length(F.regexp_replace("text", "[^#*$%&|<>]++", "")).cast("bigint").alias("n_symbols"),
-        F.length(F.regexp_replace("text", r"[^\p{Lu}]++", "")).cast("bigint").alias("n_upper"),
-        F.length(F.regexp_replace("text", "[^!?]++", "")).cast("bigint").alias("n_marks"),
-        lines.alias("lines"),
-    )
-    stops = [w for w in dict.fromkeys(stop_words)]
-    hashed = counted.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_upper", "n_marks",
+        F.length(F.array_join("words", "")).cast("bigint").alias("word_chars"),
+        F.length(F.regexp_replace("marks", "[!?]+", "")).cast("bigint").alias("n_symbols"),
+        F.length("marks").cast("bigint").alias("n_all_marks"),
         _count(F.col("lines")).alias("n_lines"),
         (_count(F.col("lines")) - _count(F.array_distinct("lines"))).alias("n_dup_lines"),
-        _count(F.filter("words", lambda w: F.lower(w).isin(stops))).alias("n_stop_words"),
         F.transform("words", lambda w: F.xxhash64(w)).alias("h"),
     )
-    triples = hashed.withColumn(
-        "windows",
-        F.when(
-            F.col("n_words") >= 3,
-            F.zip_with(
-                F.slice("h", 3, F.greatest(F.size("h") - 2, F.lit(0))),
-                F.zip_with(F.slice("h", 1, F.greatest(F.size("h") - 2, F.lit(0))), F.slice("h", 2, F.greatest(F.size("h") - 2, F.lit(0))), lambda a, b: F.xxhash64(a, b)),
-                lambda c, ab: F.xxhash64(ab, c),
-            ),
-        ).otherwise(F.array().cast("array<bigint>")),
-    ).withColumn(
-        "n_same_as_next",
-        _count(F.filter(F.zip_with("h", F.slice("h", 2, F.greatest(F.size("h"), F.lit(1))), lambda a, b: a == b), lambda x: x)),
+    # Stop words by their hash, as written and with a capital.
+    forms = sorted({f for w in stop_words for f in (w, w.capitalize())})
+    stops = [F.xxhash64(F.lit(f)) for f in forms]
+    windows = F.transform(
+        F.slice("h", 3, F.greatest(F.size("h") - 2, F.lit(0))), lambda c, i: F.xxhash64(F.get("h", i), F.get("h", i + 1), c)
     )
+    triples = hashed.withColumn("n_stop_words", _count(F.filter("h", lambda h: h.isin(stops)))).withColumn("windows", windows)
     # Texts without a repeated window stop here.
     repeats = triples.withColumn("repeats", F.size(F.array_distinct("windows")) < F.size("windows"))
+    # 40 bits of the hash above 24 bits of place: primitive longs sort fast and equal windows come side by side.
     packed = repeats.withColumn(
         "packed",
         F.when(
@@ -96,56 +83,44 @@ def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", st
             F.sort_array(F.transform("windows", lambda h, i: h.bitwiseAND(F.lit(~low)).bitwiseOR(i.cast("bigint")))),
         ),
     )
-    size = F.size("packed")
 
-    def place(x: Column) -> Column:
-        return x.bitwiseAND(F.lit(low))
+    def alike(x: Column, y: Column) -> Column:
+        return F.coalesce(x.bitwiseXOR(y).bitwiseAND(F.lit(~low)) == 0, F.lit(False))
+
+    near = packed.withColumn(
+        "near",
+        F.filter("packed", lambda x, i: alike(x, F.get("packed", i + 1)) | alike(x, F.get("packed", i - 1))),
+    )
 
     def window(x: Column) -> Column:
-        return F.get("windows", place(x).cast("int"))
-
-    # Each entry with the one before it: equal windows stand side by side.
-    pairs = F.zip_with(
-        F.slice("packed", 1, F.greatest(size - 1, F.lit(0))),
-        F.slice("packed", 2, F.greatest(size - 1, F.lit(0))),
-        lambda a, b: F.when(
-            a.bitwiseAND(F.lit(~low)) == b.bitwiseAND(F.lit(~low)),
-            F.when(window(a) == window(b), F.struct(place(a).alias("a"), place(b).alias("b"))).otherwise(
-                F.struct(F.lit(-1).cast("bigint").alias("a"), F.lit(-1).cast("bigint").alias("b"))
-            ),
-        ),
+        return F.get("windows", x.bitwiseAND(F.lit(low)).cast("int"))
+
+    # Different windows that share 40 bits (about never) are told apart by comparing whole hashes with all others.
+    mixed = F.exists(
+        F.zip_with("near", F.slice("near", 2, F.greatest(F.size("near"), F.lit(1))), lambda x, y: alike(x, y) & (window(x) != window(y))),
+        lambda different: F.coalesce(different, F.lit(False)),
     )
-    paired = packed.withColumn("pairs", F.when(F.col("repeats"), F.filter(pairs, lambda p: p.isNotNull())))
-    # Two windows that share 40 bits only (about never): count them by comparing whole hashes instead.
-    exact = F.filter(F.sequence(F.lit(0), F.size("windows") - 1), lambda i: F.size(
-        F.filter("windows", lambda h: h == F.get("windows", i))) > 1).cast("array<bigint>")
-    found = paired.withColumn(
+    exact = F.filter("near", lambda x: F.size(F.filter("near", lambda y: window(x) == window(y))) > 1)
+    found = near.withColumn("mixed", F.coalesce(mixed, F.lit(False))).withColumn(
         "places",
-        F.when(~F.col("repeats"), F.array().cast("array<bigint>"))
-        .when(F.exists("pairs", lambda p: p["a"] == -1), exact)
-        .otherwise(F.array_distinct(F.sort_array(F.flatten(F.transform("pairs", lambda p: F.array(p["a"], p["b"])))))),
+        F.when(~F.col("repeats"), F.array().cast("array<bigint>")).otherwise(
+            F.sort_array(F.transform(F.when(F.col("mixed"), exact).otherwise(F.col("near")), lambda x: x.bitwiseAND(F.lit(low))))
+        ),
     )
-    covered = F.when(F.size("places") == 0, F.lit(0)).otherwise(
-        F.aggregate(
-            F.zip_with(
-                F.slice("places", 1, F.greatest(F.size("places") - 1, F.lit(0))),
-                F.slice("places", 2, F.greatest(F.size("places") - 1, F.lit(0))),
-                lambda a, b: F.least(b - a, F.lit(3).cast("bigint")),
-            ),
-            F.lit(3).cast("bigint"),
-            lambda total, gap: total + gap,
-        )
+    # A window covers three words; the next one adds what it does not share with it.
+    covered = F.aggregate(
+        F.transform("places", lambda p, i: F.least(F.coalesce(F.get("places", i + 1) - p, F.lit(3)), F.lit(3))),
+        F.lit(0).cast("bigint"),
+        lambda total, gap: total + gap,
     )
-    done = found.withColumn("n_repeat_words", covered.cast("bigint"))
+    done = found.withColumn("n_repeat_words", covered).withColumn("n_marks", F.col("n_all_marks") - F.col("n_symbols"))
     return done.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         _share("word_chars", "n_words").alias("mean_word_chars"),
         _share("n_symbols", "n_words").alias("symbols_per_word"),
         _share("n_stop_words", "n_words").alias("stop_word_share"),
-        _share("n_upper", "word_chars").alias("upper_share"),
         _share("n_marks", "word_chars").alias("shouting_share"),
         _share("n_repeat_words", "n_words").alias("repeated_word_share"),
-        _share("n_same_as_next", "n_words").alias("same_as_next_share"),
         _share("n_dup_lines", "n_lines").alias("repeated_line_share"),
     )
 

@@ -8,11 +8,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from casebook.functions.runtime import table
 from casebook.llm import (
-    cotraining, language, licences, line_dedup, minhash, mixing, nearest, packing, personal, quality_rules,
+    cotraining, language, licences, line_dedup, minhash, mixing, nearest, oracles, packing, personal, quality_rules,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = dict(oracles.SQL)
 
 
 def query(fn):
