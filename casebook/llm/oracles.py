@@ -34,7 +34,7 @@ WITH d AS (
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
     NOT base_failed AND word_chars / n_words BETWEEN 2.0 AND 14.0 AND n_symbols / n_words <= 0.1 AND n_stop / n_words >= 0.02
-        AND n_marks / word_chars <= 0.1 AND n_repeat_words / n_words <= 0.5 AND n_dup_lines / n_lines <= 0.3 AS kept
+        AND n_marks / word_chars <= 0.1 AND n_repeat_words / n_words <= 0.5 AND n_dup_lines / n_lines <= 0.5 AS kept
 FROM b
 """
 

@@ -34,7 +34,7 @@ RULES = (
     ("stop_words", "stop_word_share", 0.02, None),
     ("marks", "shouting_share", None, 0.1),
     ("repeated_words", "repeated_word_share", None, 0.5),
-    ("repeated_lines", "repeated_line_share", None, 0.3),
+    ("repeated_lines", "repeated_line_share", None, 0.5),
 )
 
 
