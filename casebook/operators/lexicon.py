@@ -20,44 +20,58 @@ def tokens_of(df: DataFrame, text: str, stop_words: Sequence[str] = (), min_len:
     return df.select(*rest, F.posexplode(kept_tokens(F.col(text), stop_words, min_len)).alias("pos", "word"))
 
 
-def dictionary_tokens(df: DataFrame, text: str, words: Sequence[str], out: str = "tokens") -> DataFrame:
+def dictionary_tokens(df: DataFrame, text: str, words: DataFrame, word: str, out: str = "tokens") -> DataFrame:
     """Longest-match segmentation for scripts without blanks.
 
     At each place the longest dictionary word is taken; elsewhere a run of
-    Latin letters or digits, or a single character. ``words`` is a word list
-    the caller keeps in memory, so it is shipped to the tasks as it is.
+    Latin letters or digits, or a single character. The pieces of the texts
+    that are as long as some word meet the dictionary in an equi-join, so it
+    may have any size; the places found are then walked once per text. Equal
+    texts are cut once; null text has null tokens.
     """
-    shipped = df.sparkSession.sparkContext.broadcast(sorted(set(words)))
-
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import re
-
-        by_head: dict[str, list[str]] = {}
-        for w in shipped.value:
-            by_head.setdefault(w[:1], []).append(w)
-        for same_head in by_head.values():
-            same_head.sort(key=len, reverse=True)
-        run = re.compile(r"[A-Za-z0-9]+")
-
-        def one(value: str | None) -> list[str] | None:
-            if value is None:
-                return None
-            found, i = [], 0
-            while i < len(value):
-                hit = next((w for w in by_head.get(value[i], ()) if value.startswith(w, i)), None)
-                if hit is None:
-                    m = run.match(value, i)
-                    hit = m.group() if m else value[i]
-                if not hit.isspace():
-                    found.append(hit)
-                i += len(hit)
-            return found
-
-        for batch in batches:
-            yield batch.drop(columns=[text]).assign(**{out: [one(v) for v in batch[text]]})
-
-    fields = [f for f in df.schema.fields if f.name != text]
-    return df.mapInPandas(cut, T.StructType(fields + [T.StructField(out, T.ArrayType(T.StringType()))]))
+    listed = words.select(F.col(word).alias("_piece")).filter(F.col(word) != "").distinct()
+    # The lengths that occur: as many numbers as the longest word has characters.
+    sizes = sorted(r[0] for r in listed.select(F.length("_piece")).distinct().collect())
+    rows = df.withColumn("_key", F.sha2(text, 256))
+    texts = rows.filter(F.col(text).isNotNull()).select("_key", F.col(text).alias("_text")).dropDuplicates(["_key"])
+
+    def cuts(size: int) -> Column:
+        pieces = F.transform(
+            F.sequence(F.lit(1), F.length("_text") - size + 1),
+            lambda i: F.struct(i.alias("at"), F.lit(size).alias("size"), F.substring("_text", i, F.lit(size)).alias("piece")),
+        )
+        return F.when(F.length("_text") >= size, pieces)
+
+    places = texts.select("_key", F.lit(None).cast("array<struct<at:int,size:int>>").alias("_hits")).limit(0)
+    if sizes:
+        cut = texts.select("_key", F.explode(F.flatten(F.array_compact(F.array(*[cuts(n) for n in sizes])))).alias("c"))
+        hits = cut.select("_key", F.col("c.at").alias("at"), F.col("c.size").alias("size"), F.col("c.piece").alias("_piece"))
+        longest = hits.join(listed, "_piece", "left_semi").groupBy("_key", "at").agg(F.max("size").alias("size"))
+        places = longest.groupBy("_key").agg(F.array_sort(F.collect_list(F.struct("at", "size"))).alias("_hits"))
+    run = "[A-Za-z0-9]"
+
+    def rest(start: Column, end: Column) -> Column:
+        """Runs and single characters from ``start`` up to before ``end``."""
+        return F.regexp_extract_all(F.substring("_text", start, end - start), F.lit(f"(?sU)({run}+|\\S)"), F.lit(1))
+
+    def step(state: Column, hit: Column) -> Column:
+        at, size = hit["at"], hit["size"]
+        # A run that began before the place goes on over it.
+        inside = (at > state["next"]) & F.substring("_text", at - 1, F.lit(2)).rlike(f"^{run}{run}$")
+        taken = F.struct(
+            (at + size).alias("next"),
+            F.concat(state["found"], rest(state["next"], at), F.array(F.substring("_text", at, size))).alias("found"),
+        )
+        return F.when((at >= state["next"]) & ~inside, taken).otherwise(state)
+
+    start = F.struct(F.lit(1).alias("next"), F.array().cast("array<string>").alias("found"))
+    walked = F.aggregate(F.coalesce("_hits", F.array().cast("array<struct<at:int,size:int>>")), start, step)
+    done = texts.join(places, "_key", "left").select("_key", "_text", walked.alias("_w"))
+    tokens = done.select(
+        "_key",
+        F.filter(F.concat("_w.found", rest(F.col("_w.next"), F.length("_text") + 1)), lambda t: F.length(F.btrim(t)) > 0).alias(out),
+    )
+    return rows.join(tokens, "_key", "left").select(*[c for c in df.columns if c != text], out)
 
 
 def word_frequency(df: DataFrame, text: str, stop_words: Sequence[str] = (), min_freq: int = 5) -> DataFrame:

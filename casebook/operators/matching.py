@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from casebook.functions.runtime import join_on
@@ -94,55 +93,51 @@ def spacing_rule_match(names: DataFrame, name: str, targets: DataFrame, target:
     return out.select(name, rule.alias("rule"))
 
 
-def containment_join(
-    texts: DataFrame, text: str, names: DataFrame, name: str, few: int = 64, max_chars: int = 2_000_000
-) -> DataFrame:
+ANCHOR = 6
+
+
+def _anchored(words: DataFrame, name: str) -> DataFrame:
+    """Each name with the one of its pieces that the fewest names hold.
+
+    Pieces have ``ANCHOR`` characters; a shorter name is its own piece.
+    """
+    width = F.least(F.length(name), F.lit(ANCHOR))
+    pieces = words.withColumn("_width", width).withColumn(
+        "_piece",
+        F.explode(F.array_distinct(F.transform(
+            F.sequence(F.lit(1), F.length(name) - F.col("_width") + 1), lambda i: F.substring(name, i, F.col("_width"))
+        ))),
+    )
+    use = pieces.groupBy("_piece").agg(F.count(F.lit(1)).alias("_use"))
+    ranked = pieces.join(use, "_piece")
+    return ranked.groupBy(name).agg(F.min_by("_piece", F.struct("_use", "_piece")).alias("_piece"))
+
+
+def containment_join(texts: DataFrame, text: str, names: DataFrame, name: str) -> DataFrame:
     """One row per (text row, name) whose text holds the name.
 
-    The list of names is measured first. A short one is tested with built-in
-    ``contains``. A longer one is cut into shares of at most about
-    ``max_chars`` characters, and every share is one pass over the texts with
-    a multi-pattern automaton: time is linear in the text, no pair of text
-    and name is formed before it is found, and no share outgrows a task.
+    Every name has one anchor, its rarest piece of fixed length. The distinct
+    pieces of the texts meet the anchors in an equi-join, and only the names
+    behind a shared anchor are looked for in the text. One way for any number
+    of names; neither side passes through the driver. Equal texts are
+    searched once. Null and empty names match nothing.
     """
     words = names.select(F.col(name)).filter(F.coalesce(F.col(name), F.lit("")) != "").distinct()
-    size = words.agg(F.count(F.lit(1)).alias("n"), F.sum(F.length(name)).alias("chars")).first()
-    usable = texts.filter(F.col(text).isNotNull())
-    if not size["n"]:
-        return usable.withColumn(name, F.lit(None).cast("string")).filter(F.lit(False))
-    if size["n"] <= few:
-        listed = F.array(*[F.lit(r[0]) for r in words.orderBy(name).collect()])
-        return usable.withColumn(name, F.explode(F.filter(listed, lambda w: F.col(text).contains(w))))
-    shares = -(-int(size["chars"]) // max_chars)
-    passes = []
-    for i in range(shares):
-        share = words if shares == 1 else words.filter(F.pmod(F.xxhash64(name), F.lit(shares)) == i)
-        patterns = [r[0] for r in share.collect()]
-        if patterns:
-            passes.append(_scan_share(usable, text, patterns, name))
-    return align_union(passes)
-
-
-def _scan_share(texts: DataFrame, text: str, patterns: list[str], name: str) -> DataFrame:
-    shipped = texts.sparkSession.sparkContext.broadcast(patterns)
-
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import ahocorasick
-
-        automaton = ahocorasick.Automaton()
-        for p in shipped.value:
-            automaton.add_word(p, p)
-        automaton.make_automaton()
-        for batch in batches:
-            rows, found = [], []
-            for i, value in enumerate(batch[text].tolist()):
-                hits = {p for _, p in automaton.iter(value)}
-                rows.extend([i] * len(hits))
-                found.extend(sorted(hits))
-            yield batch.iloc[rows].assign(**{name: found})
-
-    schema = T.StructType(texts.schema.fields + [T.StructField(name, T.StringType())])
-    return texts.mapInPandas(scan, schema)
+    anchors = _anchored(words, name)
+    usable = texts.filter(F.col(text).isNotNull()).withColumn("_key", F.sha2(text, 256))
+    distinct = usable.select("_key", F.col(text).alias("_text")).dropDuplicates(["_key"])
+    # The lengths of anchors: at most ``ANCHOR`` numbers.
+    widths = sorted(r[0] for r in anchors.select(F.length("_piece")).distinct().collect())
+    if not widths:
+        return texts.withColumn(name, F.lit(None).cast("string")).filter(F.lit(False))
+    per_width = [
+        F.when(F.length("_text") >= w, F.regexp_extract_all("_text", F.lit(f"(?s)(?=(.{{{w}}}))"), F.lit(1))).otherwise(F.array())
+        for w in widths
+    ]
+    pieces = distinct.select("_key", F.explode(F.array_distinct(F.concat(*per_width))).alias("_piece"))
+    candidates = pieces.join(anchors, "_piece").select("_key", name)
+    found = candidates.join(distinct, "_key").filter(F.col("_text").contains(F.col(name))).select("_key", name)
+    return usable.join(found, "_key").select(*texts.columns, name)
 
 
 def keyword_lookup(df: DataFrame, col: str, word: str, limit: int = 100) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
@@ -88,26 +87,16 @@ def first_seen_union(lists: Sequence[DataFrame], col: str) -> DataFrame:
     return align_union(tagged).groupBy(col).agg(F.min("list_no").alias("list_no"))
 
 
-def pack_blocks(df: DataFrame, block: str, bins: int = 20, max_blocks: int = 1_000_000) -> DataFrame:
-    """Assign whole blocks to bins, each to the bin that is least loaded so far.
+def pack_blocks(df: DataFrame, block: str, bins: int = 20) -> DataFrame:
+    """Assign whole blocks to bins of about equal size.
 
-    The choice is sequential, so it runs on the table of block sizes, whose
-    length is checked. Larger tables are dealt in size order instead, which
-    Spark does with a row number.
+    Blocks are dealt in the order of their size, largest first and ties by
+    name, forth and back over the bins: a bin that got a larger block in one
+    turn gets a smaller one in the next. One rule for any number of blocks,
+    and nothing but a row number over the block sizes.
     """
-    sizes = df.filter(F.col(block).isNotNull()).groupBy(block).agg(F.count(F.lit(1)).alias("n"))
-    rows = sizes.orderBy(block).limit(max_blocks + 1).collect()
-    if len(rows) > max_blocks:
-        ranked = numbered(sizes.withColumn("_neg", -F.col("n")), ["_neg", block], "_r")
-        turn = ((F.col("_r") - 1) % (2 * bins)).cast("int")
-        placed = ranked.withColumn("bin", F.when(turn < bins, turn).otherwise(2 * bins - 1 - turn)).select(block, "bin")
-    else:
-        loads = [(0, i) for i in range(bins)]
-        chosen = []
-        for r in rows:
-            load, i = heapq.heappop(loads)
-            chosen.append((r[block], i))
-            heapq.heappush(loads, (load + r["n"], i))
-        schema = f"`{block}` {sizes.schema[block].dataType.simpleString()}, bin int"
-        placed = df.sparkSession.createDataFrame(chosen, schema)
+    sizes = df.filter(F.col(block).isNotNull()).groupBy(block).agg(F.count(F.lit(1)).alias("_n"))
+    ranked = numbered(sizes.withColumn("_down", -F.col("_n")), ["_down", block], "_r")
+    turn = (F.col("_r") - 1) % (2 * bins)
+    placed = ranked.select(block, F.when(turn < bins, turn).otherwise(2 * bins - 1 - turn).cast("int").alias("bin"))
     return df.join(placed, block)

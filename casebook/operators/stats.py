@@ -6,9 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from casebook.functions.ranking import numbered, running_total, seeded_key
-
-BIG_TEXT = 64_000_000
+from casebook.functions.ranking import numbered, seeded_key
 
 
 def frequency_table(df: DataFrame, key: str, count: str = "n", rank: str = "rank") -> DataFrame:
@@ -62,37 +60,27 @@ def column_profile(df: DataFrame) -> DataFrame:
     return one.selectExpr(f"stack({len(df.columns)}, {pairs}) as (column, filled)")
 
 
-def concat_texts(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], text: str, sep: str = " ", max_chars: int = BIG_TEXT
-) -> DataFrame:
-    """One text per key, its pieces in order: (keys, part_no, text, pieces).
+def concat_texts(df: DataFrame, keys: Sequence[str], order: Sequence[str], text: str, sep: str = " ") -> DataFrame:
+    """One text per key, its pieces in order: (keys, text, pieces).
 
-    A key whose text would pass ``max_chars`` goes on in further parts, so no
-    task and no cell has to hold a group of any size. Whether there is such a
-    key is found first, from sums alone.
+    The text is one cell, so a key must fit a cell; ``ordered_pieces`` has
+    the same pieces as rows, for keys of any size.
     """
-    rows = df.filter(F.col(text).isNotNull()).select(*keys, *order, text)
-    size = F.length(text) + len(sep)
-    longest = rows.groupBy(*keys).agg(F.sum(size).alias("s")).agg(F.max("s")).first()[0] or 0
-    if longest <= max_chars:
-        parted = rows.withColumn("part_no", F.lit(0).cast("bigint"))
-    else:
-        parted = running_total(rows, keys, order, size, "_before").withColumn(
-            "part_no", F.floor(F.col("_before") / max_chars).cast("bigint")
-        )
     piece = F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)], F.col(text).alias("t"))
-    return parted.groupBy(*keys, "part_no").agg(
+    return df.filter(F.col(text).isNotNull()).groupBy(*keys).agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(piece)), lambda p: p["t"]), sep).alias(text),
         F.count(F.lit(1)).alias("pieces"),
     )
 
 
-def joined_values(df: DataFrame, key: str, col: str, out: str, sep: str = "; ") -> DataFrame:
-    """Distinct non-blank values of each key, sorted and joined.
+def ordered_pieces(df: DataFrame, keys: Sequence[str], order: Sequence[str], text: str) -> DataFrame:
+    """The pieces of every key, numbered in order: (keys, piece_no, text). No key is gathered in one place."""
+    rows = df.filter(F.col(text).isNotNull()).select(*keys, *order, text)
+    return numbered(rows, order, "piece_no", keys).select(*keys, "piece_no", text)
 
-    Values are made distinct before they are gathered, so a hot key holds its
-    different values only; very many of them continue in further parts.
-    """
+
+def joined_values(df: DataFrame, key: str, col: str, out: str, sep: str = "; ") -> DataFrame:
+    """Distinct non-blank values of each key, sorted and joined; one row per key."""
     trimmed = df.select(key, F.trim(col).alias(out)).filter(F.col(out) != "").distinct()
     return concat_texts(trimmed, [key], [out], out, sep).drop("pieces")
 
@@ -114,8 +102,14 @@ def entity_month_panel(df: DataFrame, entity: Column, when: str, source: Column
     )
 
 
-def wide_panel(panel: DataFrame, index: str, column: str, values: Sequence, measure: str) -> DataFrame:
-    """One column per listed value, 0 where there is no row."""
+def wide_panel(panel: DataFrame, index: str, column: str, measure: str, values: Sequence | None = None) -> DataFrame:
+    """One column per value of ``column``, 0 where there is no row.
+
+    All values of the panel become columns, from the least to the greatest;
+    ``values`` names them where they are known before.
+    """
+    if values is None:
+        values = sorted(r[0] for r in panel.select(column).filter(F.col(column).isNotNull()).distinct().collect())
     return panel.groupBy(index).pivot(column, list(values)).agg(F.sum(measure)).fillna(0)
 
 

@@ -12,7 +12,7 @@ def _arriving(spark, folder):
     """The events as a stream of files, two per batch."""
     path = scratch_path(spark, "arriving")
     events = table(spark, folder, "events")
-    events.repartitionByRange(6, "ts").write.parquet(path)
+    events.repartitionByRange("ts").write.option("maxRecordsPerFile", 50_000).parquet(path)
     return N.file_stream(spark, path, events.schema, files_per_batch=2)
 
 
@@ -26,7 +26,7 @@ def _(spark, folder):
 @query("intake_of_new_ids", "X2", "SELECT DISTINCT user_id FROM events")
 def _(spark, folder):
     path = scratch_path(spark, "new-ids")
-    N.append_new_ids(_arriving(spark, folder).select("user_id"), "user_id", path, path + "-progress")
+    N.append_new_ids(_arriving(spark, folder).select("user_id", "ts", "event_id"), "user_id", ["ts", "event_id"], path, path + "-progress")
     return spark.read.parquet(path).select("user_id")
 
 
@@ -37,8 +37,10 @@ def _(spark, folder):
 )
 def _(spark, folder):
     path = scratch_path(spark, "windows")
-    N.keep_current(N.windowed_counts(_arriving(spark, folder), "ts", ["event_type"]), path, path + "-progress")
-    return spark.read.parquet(path).select(as_clock(F.col("window_start")).alias("window_start"), "event_type", "n")
+    counts = N.windowed_counts(_arriving(spark, folder), "ts", ["event_type"], late="40 days")
+    N.keep_updates(counts, path, path + "-progress")
+    latest = N.latest_counts(spark.read.parquet(path), ["window_start", "event_type"])
+    return latest.select(as_clock(F.col("window_start")).alias("window_start"), "event_type", "n")
 
 
 @query(

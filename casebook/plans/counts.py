@@ -129,13 +129,23 @@ def _(spark, folder):
 @query(
     "firm_year_documents",
     "A12",
-    """SELECT conv_id, role, 0::BIGINT AS part_no, string_agg(text, ' ' ORDER BY turn) AS text, count(*) AS pieces
+    """SELECT conv_id, role, string_agg(text, ' ' ORDER BY turn) AS text, count(*) AS pieces
        FROM conversations GROUP BY 1, 2""",
 )
 def _(spark, folder):
     return A.concat_texts(table(spark, folder, "conversations"), ["conv_id", "role"], ["turn"], "text")
 
 
+@query(
+    "firm_year_pieces",
+    "A12",
+    """SELECT conv_id, role, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS piece_no, text
+       FROM conversations WHERE text IS NOT NULL""",
+)
+def _(spark, folder):
+    return A.ordered_pieces(table(spark, folder, "conversations"), ["conv_id", "role"], ["turn"], "text")
+
+
 @query(
     "joined_distinct_values",
     "A13 J8",
@@ -165,15 +175,13 @@ def _(spark, folder):
     return _panel(spark, folder)
 
 
-@query(
-    "wide_panel",
-    "A15",
-    f"""WITH p AS ({PANEL_SQL}) SELECT entity, coalesce(sum(n) FILTER (year = 1996), 0)::BIGINT AS "1996",
-         coalesce(sum(n) FILTER (year = 1997), 0)::BIGINT AS "1997", coalesce(sum(n) FILTER (year = 1998), 0)::BIGINT AS "1998"
-       FROM p GROUP BY 1""",
-)
+PANEL_YEARS = range(1995, 2002)
+PANEL_COLUMNS = ", ".join(f"""coalesce(sum(n) FILTER (year = {y}), 0)::BIGINT AS "{y}\"""" for y in PANEL_YEARS)
+
+
+@query("wide_panel", "A15", f"WITH p AS ({PANEL_SQL}) SELECT entity, {PANEL_COLUMNS} FROM p GROUP BY 1")
 def _(spark, folder):
-    return A.wide_panel(_panel(spark, folder), "entity", "year", [1996, 1997, 1998], "n")
+    return A.wide_panel(_panel(spark, folder), "entity", "year", "n")
 
 
 @query(
@@ -254,13 +262,15 @@ def _(spark, folder):
 @query(
     "documents_with_both_lists",
     "A23",
-    """SELECT source, count(*) AS n FROM documents WHERE regexp_matches(text, '\\b(that|this)\\b')
-         AND regexp_matches(text, '\\bfrom\\b') GROUP BY 1""",
+    """SELECT strftime(DATE '2020-01-01' + (doc_id % 730)::INT, '%Y-%m') AS month, count(*) AS n FROM documents
+       WHERE regexp_matches(text, '\\b(that|this)\\b') AND regexp_matches(text, '\\bfrom\\b') GROUP BY 1""",
 )
 def _(spark, folder):
+    # Documents have no date: their day follows from the id.
     docs = table(spark, folder, "documents")
     both = F.col("text").rlike(r"\b(that|this)\b") & F.col("text").rlike(r"\bfrom\b")
-    return docs.filter(both).groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+    day = F.date_add(F.lit("2020-01-01").cast("date"), (F.col("doc_id") % 730).cast("int"))
+    return docs.filter(both).groupBy(F.date_format(day, "yyyy-MM").alias("month")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(

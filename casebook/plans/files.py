@@ -15,7 +15,7 @@ EVENT_CSV = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type strin
 @query("folder_union_scan", "IO1", "SELECT event_id, ts, user_id, event_type, value, props FROM events")
 def _(spark, folder):
     path = scratch_path(spark, "events-csv")
-    S.append_rows(table(spark, folder, "events").repartition(4), path)
+    S.append_rows(table(spark, folder, "events"), path)
     return S.scan_folder(spark, path, EVENT_CSV, "*.csv")
 
 
@@ -76,16 +76,22 @@ def _(spark, folder):
     return S.drop_files(both, "^part").select(F.col("s_suppkey").alias("key"), F.col("s_nationkey").alias("nation"))
 
 
-@query("mixed_encoding_texts", "IO7")
+@query(
+    "mixed_encoding_texts",
+    "IO7",
+    "SELECT lang IS DISTINCT FROM 'fr' AS utf8, count(*) AS lines FROM documents WHERE text IS NOT NULL GROUP BY 1",
+)
 def _(spark, folder):
-    # One file per source and language; the French ones are not valid UTF-8.
+    # French rows are written in Latin-1, which is not valid UTF-8, all others in UTF-8.
     path = scratch_path(spark, "mixed")
-    docs = table(spark, folder, "documents").select("lang", "source", F.regexp_replace("text", r"[\r\n]", " ").alias("value"))
-    for lang, charset in (("fr", "ISO-8859-1"), ("en", "UTF-8"), ("de", "UTF-8"), ("es", "UTF-8")):
-        part = docs.filter(F.col("lang") == lang).drop("lang")
-        part.repartition("source").write.partitionBy("source").option("encoding", charset).csv(f"{path}/{lang}")
-    raw = S.read_texts(spark, f"{path}/*/*/*.csv").select("text", "encoding")
-    return raw.groupBy("encoding").agg(F.count(F.lit(1)).alias("files"), F.sum(F.length("text")).alias("chars"))
+    docs = table(spark, folder, "documents").filter(F.col("text").isNotNull())
+    french = F.coalesce(F.col("lang") == "fr", F.lit(False))
+    for charset, rows in (("ISO-8859-1", docs.filter(french)), ("UTF-8", docs.filter(~french))):
+        value = rows.select(F.regexp_replace("text", r"[\r\n]", " ").alias("value"))
+        value.write.option("encoding", charset).option("maxRecordsPerFile", 20_000).csv(f"{path}/{charset}")
+    raw = S.read_texts(spark, f"{path}/*/*.csv")
+    lines = F.size(F.filter(F.split("text", "\n"), lambda x: x != ""))
+    return raw.groupBy((F.col("encoding") == "utf-8").alias("utf8")).agg(F.sum(lines).alias("lines"))
 
 
 @query("append_with_header_once", "IO8", "SELECT s_suppkey, s_name FROM supplier UNION ALL SELECT c_custkey, c_name FROM customer")

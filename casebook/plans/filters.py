@@ -240,16 +240,18 @@ def _(spark, folder):
 @query(
     "monthly_keyword_share",
     "A6 A7 A20 P2",
-    """WITH d AS (SELECT source, CASE WHEN n_chars < 500 THEN 'short' WHEN n_chars < 3000 THEN 'middle' ELSE 'long' END AS band,
+    """WITH d AS (SELECT strftime(DATE '2020-01-01' + (doc_id % 730)::INT, '%Y-%m') AS month, source,
                          regexp_matches(text, '(?i)(that|pour|nicht)') AS hit FROM documents),
-            c AS (SELECT source, band, count(*) FILTER (hit) AS hits, count(*) AS total FROM d GROUP BY 1, 2)
-       SELECT source, band, hits, total, round(100.0 * hits / total, 6) AS percent FROM c""",
+            c AS (SELECT month, source, count(*) FILTER (hit) AS hits, count(*) AS total FROM d GROUP BY 1, 2)
+       SELECT month, source, hits, total, round(100.0 * hits / total, 6) AS percent FROM c""",
 )
 def _(spark, folder):
-    n = F.col("n_chars")
-    band = F.when(n < 500, "short").when(n < 3000, "middle").otherwise("long")
-    docs = table(spark, folder, "documents").select("source", band.alias("band"), matches_any("text", COMMON_WORDS).alias("hit"))
-    counts = docs.groupBy("source", "band").agg(F.count_if("hit").alias("hits"), F.count(F.lit(1)).alias("total"))
+    # Documents have no date: their day follows from the id.
+    day = F.date_add(F.lit("2020-01-01").cast("date"), (F.col("doc_id") % 730).cast("int"))
+    docs = table(spark, folder, "documents").select(
+        F.date_format(day, "yyyy-MM").alias("month"), "source", matches_any("text", COMMON_WORDS).alias("hit")
+    )
+    counts = docs.groupBy("month", "source").agg(F.count_if("hit").alias("hits"), F.count(F.lit(1)).alias("total"))
     return counts.withColumn("percent", F.round(100.0 * F.col("hits") / F.col("total"), 6))
 
 

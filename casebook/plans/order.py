@@ -66,7 +66,13 @@ def _(spark, folder):
     return rows.select("l_orderkey", "l_linenumber", "l_partkey")
 
 
-@query("balanced_blocks", "W6")
+@query(
+    "balanced_blocks",
+    "W6",
+    """WITH s AS (SELECT source, count(*) AS n, (row_number() OVER (ORDER BY count(*) DESC, source) - 1) % 12 AS turn
+         FROM documents WHERE source IS NOT NULL GROUP BY source)
+       SELECT source, (CASE WHEN turn < 6 THEN turn ELSE 11 - turn END)::INT AS bin, n FROM s""",
+)
 def _(spark, folder):
     docs = O.pack_blocks(table(spark, folder, "documents").select("doc_id", "source"), "source", 6)
     return docs.groupBy("source", "bin").agg(F.count(F.lit(1)).alias("n"))

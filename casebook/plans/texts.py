@@ -36,10 +36,9 @@ def _(spark, folder):
 
 @query("longest_match_tokens", "T1", "SELECT p_partkey, p_name FROM part")
 def _(spark, folder):
-    words = table(spark, folder, "part").select(F.explode(F.split("p_name", " ")).alias("w")).distinct()
-    listed = [r["w"] for r in words.orderBy("w").limit(10_000).collect()]
+    words = table(spark, folder, "part").select(F.explode(F.split("p_name", " ")).alias("w"))
     glued = table(spark, folder, "part").select("p_partkey", F.replace("p_name", F.lit(" "), F.lit("")).alias("name"))
-    out = L.dictionary_tokens(glued, "name", listed)
+    out = L.dictionary_tokens(glued, "name", words, "w")
     return out.select("p_partkey", F.array_join("tokens", " ").alias("p_name"))
 
 

@@ -54,10 +54,12 @@ def read_texts(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     raw = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path)
     raw = raw.select(F.element_at(F.split("path", "/"), -1).alias("file"), "content")
     plain = F.try_validate_utf8(F.col("content").cast("string"))
-    marked = raw.withColumn("_plain", plain)
-    good = marked.filter(F.col("_plain").isNotNull()).select("file", F.col("_plain").alias("text"), F.lit("utf-8").alias("encoding"))
-    rest = marked.filter(F.col("_plain").isNull()).withColumn("_d", _decode("content"))
-    return good.unionByName(rest.select("file", "_d.text", "_d.encoding"))
+    # One pass: valid files send an empty cell to Python.
+    marked = raw.withColumn("_plain", plain).withColumn("_d", _decode(F.when(F.col("_plain").isNull(), F.col("content"))))
+    return marked.select(
+        "file", F.coalesce("_plain", "_d.text").alias("text"),
+        F.when(F.col("_plain").isNotNull(), "utf-8").otherwise(F.col("_d.encoding")).alias("encoding"),
+    )
 
 
 _DECODED = T.StructType([T.StructField("text", T.StringType()), T.StructField("encoding", T.StringType())])
@@ -65,7 +67,9 @@ _DECODED = T.StructType([T.StructField("text", T.StringType()), T.StructField("e
 
 @F.pandas_udf(_DECODED)
 def _decode(content: pd.Series) -> pd.DataFrame:
-    def one(b: bytes) -> tuple[str, str]:
+    def one(b: bytes | None) -> tuple[str | None, str | None]:
+        if b is None:
+            return None, None
         try:
             return b.decode("gbk"), "gbk"
         except UnicodeDecodeError:

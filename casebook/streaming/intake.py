@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from pyspark.sql.streaming import StreamingQuery
 
 from casebook.functions.dates import as_instant
+from casebook.operators.ordering import keep_first
 
 
 def file_stream(
@@ -37,9 +38,11 @@ def append_stream(stream: DataFrame, path: str, progress: str) -> None:
     )
 
 
-def append_new_ids(stream: DataFrame, id_col: str, path: str, progress: str) -> None:
+def append_new_ids(stream: DataFrame, id_col: str, order: list[str], path: str, progress: str) -> None:
     """Append rows whose id the target does not hold yet; a repeated batch adds nothing.
 
+    Of several rows of an id in one batch the first in ``order`` is kept.
+
     Each batch writes its own folder and is compared with the folders of
     earlier batches only, so a batch run again after a failure replaces
     what it wrote before.
@@ -47,7 +50,7 @@ def append_new_ids(stream: DataFrame, id_col: str, path: str, progress: str) ->
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        fresh = batch.dropDuplicates([id_col])
+        fresh = keep_first(batch, [id_col], order)
         if number > 0:
             earlier = spark.read.schema(batch.schema).parquet(path).filter(F.col("batch") < number)
             fresh = fresh.join(earlier.select(id_col), id_col, "left_anti")
@@ -61,7 +64,7 @@ def append_new_ids(stream: DataFrame, id_col: str, path: str, progress: str) ->
 def windowed_counts(
     stream: DataFrame, when: str, by: list[str], width: str = "1 day", late: str = "1 hour"
 ) -> DataFrame:
-    """Rows per tumbling window; a window is closed when the watermark has passed it."""
+    """Rows per tumbling window; a window is closed, and its state dropped, when the watermark has passed it."""
     timed = stream.withColumn("_at", as_instant(when)).withWatermark("_at", late)
     return timed.groupBy(F.window("_at", width).alias("_w"), *by).agg(F.count(F.lit(1)).alias("n")).select(
         F.col("_w.start").alias("window_start"), *by, "n"
@@ -90,13 +93,22 @@ def first_seen(stream: DataFrame, id_col: str, when: str, late: str) -> DataFram
     return timed.dropDuplicatesWithinWatermark([id_col]).drop("_at")
 
 
-def keep_current(counts: DataFrame, path: str, progress: str) -> None:
-    """Replace a folder by the current state of an aggregation after every batch."""
+def keep_updates(counts: DataFrame, path: str, progress: str) -> None:
+    """Write the windows that a batch changed to the batch's own folder; see ``latest_counts``.
+
+    Update mode: windows behind the watermark leave the state, and a batch
+    writes what it changed only. A repeated batch replaces its folder.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(path)
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     run(
-        counts.writeStream.foreachBatch(write).option("checkpointLocation", progress).outputMode("complete")
+        counts.writeStream.foreachBatch(write).option("checkpointLocation", progress).outputMode("update")
         .trigger(availableNow=True).start()
     )
+
+
+def latest_counts(written: DataFrame, keys: list[str], count: str = "n") -> DataFrame:
+    """The last state of every window; counts only grow, so it is the largest."""
+    return written.groupBy(*keys).agg(F.max(count).alias(count))

@@ -63,7 +63,7 @@ def test_new_ids_over_several_runs(spark):
     out = scratch_path(spark, "out")
 
     def run():
-        N.append_new_ids(N.file_stream(spark, path, schema, files_per_batch=1).select("id"), "id", out, out + "-progress")
+        N.append_new_ids(N.file_stream(spark, path, schema, files_per_batch=1), "id", ["at"], out, out + "-progress")
         return sorted(r["id"] for r in spark.read.parquet(out).select("id").collect())
 
     assert run() == [1, 2, 3]
@@ -72,14 +72,23 @@ def test_new_ids_over_several_runs(spark):
     assert run() == [1, 2, 3, 4]
 
 
+def test_the_first_row_of_a_new_id_is_kept(spark):
+    path = scratch_path(spark, "first")
+    rows = [(1, datetime.datetime(2024, 1, d)) for d in (9, 3, 5)]
+    spark.createDataFrame(rows, "id bigint, at timestamp_ntz").repartition(3).write.parquet(path)
+    out = scratch_path(spark, "first-out")
+    N.append_new_ids(N.file_stream(spark, path, spark.read.parquet(path).schema), "id", ["at"], out, out + "-progress")
+    assert [r["at"].day for r in spark.read.parquet(out).collect()] == [3]
+
+
 def test_windows_survive_a_restart(spark):
     path, schema = _files(spark, "win", [range(0, 30), range(30, 50)])
     out = scratch_path(spark, "win-out")
 
     def run():
         stream = N.file_stream(spark, path, schema, files_per_batch=1)
-        N.keep_current(N.windowed_counts(stream, "at", []), out, out + "-progress")
-        return sorted(r["n"] for r in spark.read.parquet(out).collect())
+        N.keep_updates(N.windowed_counts(stream, "at", []), out, out + "-progress")
+        return sorted(r["n"] for r in N.latest_counts(spark.read.parquet(out), ["window_start"]).collect())
 
     assert run() == [2, 24, 24]
     rows = [(100, datetime.datetime(2024, 1, 3, 5))]

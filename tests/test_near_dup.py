@@ -84,3 +84,17 @@ def test_gap_is_limited_on_one_side_unless_asked(spark):
     assert one == {1: 0, 2: 89, 4: -5, 5: -200}
     both = {r["id_2"] for r in N.suspicious_pairs(pairs, facts, "id", "at", abs_days=True).collect()}
     assert both == {1, 2, 4}
+
+
+def test_columns_may_have_any_name(spark):
+    rows = [(1, "x", "some text here"), (2, "x", "some text her"), (3, "y", "some text here")]
+    for block in ("a", "b", "na", "tb", "id"):
+        df = spark.createDataFrame(rows, f"row_id bigint, {block} string, t string")
+        assert [(r["id_1"], r["id_2"]) for r in N.near_duplicates(df, "row_id", block, "t").collect()] == [(1, 2)]
+
+
+@pytest.mark.parametrize("hot_rows", [0, 2000])
+def test_a_threshold_that_binds_nothing_is_refused(spark, hot_rows):
+    df = spark.createDataFrame([(1, "x", "t")], "id bigint, b string, t string")
+    with pytest.raises(ValueError):
+        N.near_duplicates(df, "id", "b", "t", 50, metric="indel", hot_rows=hot_rows)

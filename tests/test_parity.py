@@ -22,7 +22,7 @@ def test_query(spark, con, name):
 
 def test_entry(spark):
     df = entry.entry(spark)
-    assert df.columns == ["source", "band", "hits", "total", "percent"]
+    assert df.columns == ["month", "source", "hits", "total", "percent"]
     assert df.count() > 0
 
 

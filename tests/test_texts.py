@@ -94,18 +94,24 @@ def test_scores_do_not_depend_on_chunks_or_rows(spark):
             assert (got[2]["topic_score"], got[2]["joint_score"]) == (0.0, 0.0)
 
 
-def test_long_documents_go_on_in_parts(spark):
+def test_joined_texts_and_their_pieces(spark):
     df = spark.createDataFrame([("a", i, f"w{i:03d}") for i in range(50)] + [("b", 0, None), ("c", 0, "x")], "k string, o int, t string")
-    parts = A.concat_texts(df, ["k"], ["o"], "t", max_chars=60).orderBy("k", "part_no").collect()
-    joined = " ".join(r["t"] for r in parts if r["k"] == "a")
-    assert joined == " ".join(f"w{i:03d}" for i in range(50)) and max(len(r["t"]) for r in parts) <= 64
-    assert [r["t"] for r in parts if r["k"] == "c"] == ["x"] and not [r for r in parts if r["k"] == "b"]
+    words = [f"w{i:03d}" for i in range(50)]
+    got = {r["k"]: (r["t"], r["pieces"]) for r in A.concat_texts(df, ["k"], ["o"], "t").collect()}
+    assert got == {"a": (" ".join(words), 50), "c": ("x", 1)}
+    rows = A.ordered_pieces(df, ["k"], ["o"], "t").orderBy("k", "piece_no").collect()
+    assert [(r["k"], r["piece_no"], r["t"]) for r in rows] == [("a", i + 1, w) for i, w in enumerate(words)] + [("c", 1, "x")]
 
 
 def test_longest_match_in_chinese(spark):
-    df = spark.createDataFrame([(1, "供应链风险管理ABC1 高"), (2, None)], "id int, t string")
-    got = {r["id"]: r["tokens"] for r in L.dictionary_tokens(df, "t", ["供应", "供应链", "风险", "管理层"]).collect()}
-    assert got == {1: ["供应链", "风险", "管", "理", "ABC1", "高"], 2: None}
+    df = spark.createDataFrame([(1, "供应链风险管理ABC1 高"), (2, None), (3, "xyAB风险1"), (4, "ABab"), (5, "")], "id int, t string")
+    words = spark.createDataFrame([(w,) for w in ("供应", "供应链", "风险", "管理层", "AB", "", None)], "w string")
+    got = {r["id"]: r["tokens"] for r in L.dictionary_tokens(df, "t", words, "w").collect()}
+    assert got == {
+        1: ["供应链", "风险", "管", "理", "AB", "C1", "高"], 2: None, 3: ["xyAB", "风险", "1"], 4: ["AB", "ab"], 5: [],
+    }
+    none = L.dictionary_tokens(df, "t", words.limit(0), "w")
+    assert {r["id"]: r["tokens"] for r in none.collect()}[1] == ["供", "应", "链", "风", "险", "管", "理", "ABC1", "高"]
 
 
 def test_section_skips_titles_in_running_text(spark):
