@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
-from casebook.functions.runtime import join_on
+from casebook.functions.runtime import cut_lineage, join_on
 from casebook.functions.text import strip_all_spaces, strip_brackets
 from casebook.operators.ordering import align_union, keep_first
 
@@ -173,47 +173,92 @@ def name_similarity(a: Column, b: Column) -> Column:
     return F.when(longer > 0, 1 - F.levenshtein(a, b) / longer).otherwise(F.lit(1.0))
 
 
-def fuzzy_best_match(names: DataFrame, name: str, targets: DataFrame, target: str, threshold: float = 0.75) -> DataFrame:
-    """For each distinct name the most similar other target at or above ``threshold``.
+def _deletions(word: Column, edits: int) -> Column:
+    """The word and all it can become by dropping up to ``edits`` characters."""
+    out = F.array(word)
+    for _ in range(edits):
+        out = F.array_distinct(F.concat(out, F.flatten(F.transform(out, lambda w: F.transform(
+            F.when(F.length(w) > 0, F.sequence(F.lit(1), F.length(w))).otherwise(F.array().cast("array<int>")),
+            lambda i: F.concat(F.substring(w, F.lit(1), i - 1), F.substring(w, i + 1, F.length(w))),
+        )))))
+    return out
 
-    Candidates come from an equi-join, not from all pairs. A target within
-    ``k`` edits of a name must hold one of its ``k + 1`` pieces unchanged,
-    at most ``k`` positions away; pieces of targets are joined with the
-    substrings of names that could equal them. This loses no pair.
-    """
-    a = names.select(F.col(name)).filter(F.col(name) != "").distinct()
-    b = targets.select(F.col(target)).filter(F.col(target) != "").distinct()
-    loss = 1.0 - threshold
 
-    def pieces(m: Column) -> Column:
-        return F.floor(F.lit(loss / threshold) * m + 1e-9) + 1
+def _close_pairs(a: DataFrame, name: str, b: DataFrame, target: str, edits: int) -> DataFrame:
+    """Pairs that include all within ``edits`` edits: dropping as many characters makes them equal."""
+    left = a.select(name, F.explode(_deletions(F.col(name), edits)).alias("_d"))
+    right = b.select(target, F.explode(_deletions(F.col(target), edits)).alias("_d"))
+    return left.join(right, "_d").select(name, target).distinct()
 
-    def start(i: Column, m: Column) -> Column:
-        return F.floor(i * m / pieces(m))
 
-    def numbers(low: Column, high: Column) -> Column:
-        return F.explode(F.when(low <= high, F.sequence(low.cast("int"), high.cast("int"))))
+def _rare_gram_pairs(a: DataFrame, name: str, b: DataFrame, target: str, threshold: float) -> DataFrame:
+    """Pairs that include all at or above ``threshold``.
 
-    m, i, n = F.col("_m"), F.col("_i"), F.col("_n")
-    cut = (
-        b.withColumn("_m", F.length(target))
-        .withColumn("_i", numbers(F.lit(0), pieces(m) - 1))
-        .withColumn("_piece", F.substring(F.col(target), (start(i, m) + 1).cast("int"), (start(i + 1, m) - start(i, m)).cast("int")))
-    )
-    edits = F.floor(F.lit(loss) * F.greatest(n, m) + 1e-9)
-    width = start(i + 1, m) - start(i, m)
-    probes = (
-        a.withColumn("_n", F.length(name))
-        .withColumn("_m", numbers(F.ceil(n * threshold - 1e-9), F.floor(n / threshold + 1e-9)))
-        .withColumn("_i", numbers(F.lit(0), pieces(m) - 1))
-        .withColumn("_p", numbers(F.greatest(F.lit(0), start(i, m) - edits), F.least(n - width, start(i, m) + edits)))
-        .withColumn("_piece", F.substring(F.col(name), F.col("_p") + 1, width.cast("int")))
-        .select(name, "_m", "_i", "_piece")
-        .distinct()
-    )
-    pairs = probes.join(cut.select(target, "_m", "_i", "_piece"), ["_m", "_i", "_piece"]).select(name, target).distinct()
+    ``k`` edits spoil at most ``q * k`` q-grams, so similar words share a
+    known number of them. With all grams in one order, rare ones first, two
+    such words then share a gram among the first ones of each; only those are
+    joined. Words whose longer one is short use single characters.
+    """
+    loss = 1.0 - threshold
+    bound = 2 * loss
+    # The longer word of a pair on single characters has at most this length.
+    short = int(2 / (1 - bound)) + 2 if bound < 1 else None
+
+    def tokens(df: DataFrame, col: str) -> DataFrame:
+        n = F.length(col)
+        single = F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(col, i, F.lit(1)))
+        need = F.greatest(F.lit(1), F.ceil(n * threshold - 1e-9))
+        kinds = [df.filter(n <= short if short else F.lit(True)).select(col, F.lit(1).alias("_q"), need.alias("_need"), F.explode(single).alias("_g"))]
+        if short:
+            double = F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.substring(col, i, F.lit(2)))
+            need = F.greatest(F.lit(1), F.ceil(F.greatest(n, F.lit(short + 1)) * (1 - bound) - 1 - 1e-9))
+            long = df.filter((n >= 2) & (n > short * threshold - 1e-9))
+            kinds.append(long.select(col, F.lit(2).alias("_q"), need.alias("_need"), F.explode(double).alias("_g")))
+        every = kinds[0] if len(kinds) == 1 else kinds[0].unionByName(kinds[1])
+        # The n-th occurrence of a gram counts as a gram of its own.
+        counted = every.groupBy(col, "_q", "_need", "_g").agg(F.count(F.lit(1)).cast("int").alias("_t"))
+        return counted.withColumn("_nth", F.explode(F.sequence(F.lit(1), F.col("_t")))).drop("_t")
+
+    left, right = tokens(a, name), tokens(b, target)
+    key = ["_q", "_g", "_nth"]
+    use = left.select(*key).unionByName(right.select(*key)).groupBy(*key).agg(F.count(F.lit(1)).alias("_use"))
+
+    def prefix(tokened: DataFrame, col: str) -> DataFrame:
+        own = W.partitionBy(col, "_q")
+        ranked = tokened.join(use, key).withColumn("_rn", F.row_number().over(own.orderBy("_use", "_g", "_nth"))).withColumn(
+            "_all", F.count(F.lit(1)).over(own)
+        )
+        return ranked.filter(F.col("_rn") <= F.col("_all") - F.col("_need") + 1).select(col, *key)
+
+    return prefix(left, name).join(prefix(right, target), key).select(name, target).distinct()
+
+
+def _best(pairs: DataFrame, name: str, target: str, threshold: float) -> DataFrame:
+    """(name, target, score): the best pair of each name, ties to the target first in order."""
     scored = pairs.filter(F.col(name) != F.col(target)).withColumn("score", name_similarity(F.col(name), F.col(target)))
     best = scored.filter(F.col("score") >= threshold - 1e-9).groupBy(name).agg(
         F.min_by(F.struct(target, "score"), F.struct((-F.col("score")).alias("s"), F.col(target))).alias("_b")
     )
-    return best.select(name, F.col(f"_b.{target}").alias(target), F.round("_b.score", 6).alias("score"))
+    return best.select(name, F.col(f"_b.{target}").alias(target), F.col("_b.score").alias("score"))
+
+
+def fuzzy_best_match(names: DataFrame, name: str, targets: DataFrame, target: str, threshold: float = 0.75) -> DataFrame:
+    """For each distinct name the most similar other target at or above ``threshold``.
+
+    Near ones first: pairs within one edit, then within two, come from equal
+    deletions. A name is settled once no pair with more edits can beat what it
+    has; only the others are searched with rare grams. No pair is lost, and
+    names that differ in a running number never meet all others.
+    """
+    left = cut_lineage(names.select(F.col(name)).filter(F.col(name) != "").distinct())
+    right = cut_lineage(targets.select(F.col(target)).filter(F.col(target) != "").distinct())
+    settled = []
+    for edits in (1, 2):
+        found = cut_lineage(_best(_close_pairs(left, name, right, target, edits), name, target, threshold))
+        # With more edits the score is at most this, the longer word being as long as it can.
+        limit = 1 - F.lit(edits + 1) / (F.length(name) + edits + 1)
+        sure = found.filter(F.col("score") > limit + 1e-9)
+        settled.append(sure)
+        left = cut_lineage(left.join(sure, name, "left_anti"))
+    settled.append(_best(_rare_gram_pairs(left, name, right, target, threshold), name, target, threshold))
+    return align_union(settled).withColumn("score", F.round("score", 6))

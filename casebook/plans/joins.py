@@ -231,15 +231,32 @@ def _(spark, folder):
 @query(
     "fuzzy_best_match",
     "J17",
-    """WITH n AS (SELECT DISTINCT p_name AS name FROM part), t AS (SELECT DISTINCT p_name AS target FROM part WHERE p_size < 30),
+    """WITH n AS (SELECT DISTINCT c_name AS name FROM customer),
+        t AS (SELECT c_name AS target FROM customer UNION SELECT s_name FROM supplier UNION SELECT p_name FROM part),
         s AS (SELECT name, target, 1 - levenshtein(name, target) / greatest(length(name), length(target)) AS score FROM n JOIN t ON name <> target),
         r AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY score DESC, target) AS rn FROM s WHERE score >= 0.75 - 1e-9)
        SELECT name, target, round(score, 6) AS score FROM r WHERE rn = 1""",
 )
+def _(spark, folder):
+    names = table(spark, folder, "customer").select(F.col("c_name").alias("name"))
+    targets = names.select(F.col("name").alias("target"))
+    for other, column in (("supplier", "s_name"), ("part", "p_name")):
+        targets = targets.unionByName(table(spark, folder, other).select(F.col(column).alias("target")))
+    return J.fuzzy_best_match(names, "name", targets, "target")
+
+
+@query(
+    "fuzzy_part_match",
+    "J17",
+    """WITH n AS (SELECT DISTINCT p_name AS name FROM part),
+        s AS (SELECT a.name, b.name AS target, 1 - levenshtein(a.name, b.name) / greatest(length(a.name), length(b.name)) AS score
+              FROM n a JOIN n b ON a.name <> b.name),
+        r AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY score DESC, target) AS rn FROM s WHERE score >= 0.75 - 1e-9)
+       SELECT name, target, round(score, 6) AS score FROM r WHERE rn = 1""",
+)
 def _(spark, folder):
     part = table(spark, folder, "part")
-    names = part.select(F.col("p_name").alias("name"))
-    return J.fuzzy_best_match(names, "name", part.filter("p_size < 30").select(F.col("p_name").alias("target")), "target")
+    return J.fuzzy_best_match(part.select(F.col("p_name").alias("name")), "name", part.select(F.col("p_name").alias("target")), "target")
 
 
 @query(

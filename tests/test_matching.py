@@ -58,6 +58,19 @@ def test_fuzzy_best_match_equals_brute_force(spark):
     assert {r["n"]: r["t"] for r in J.fuzzy_best_match(a, "n", b, "t").collect()} == want
 
 
+@pytest.mark.parametrize("threshold", [0.5, 0.75, 0.9])
+def test_rare_grams_lose_no_pair(spark, threshold):
+    from tests.test_near_dup import slow
+
+    rnd = random.Random(7)
+    base = ["firm#" + "".join(rnd.choice("0123") for _ in range(rnd.randint(0, 9))) for _ in range(50)] + ["a", "ab", "b", "firm"]
+    words = sorted(set(base + [b[:2] + "x" + b[3:] for b in base]))
+    frame = spark.createDataFrame([(w,) for w in words], "n string")
+    pairs = {(r["n"], r["t"]) for r in J._rare_gram_pairs(frame, "n", frame.withColumnRenamed("n", "t"), "t", threshold).collect()}
+    want = {(x, y) for x in words for y in words if 1 - slow(x, y) / max(len(x), len(y)) >= threshold - 1e-9}
+    assert want <= pairs
+
+
 def test_cascade_rules(spark):
     dictionary = spark.createDataFrame(
         [("中国建设银行", 1, 1), ("美团借钱", 2, 2), ("招联消费金融", 3, 3), ("招联", 4, 4), ("花呗", 5, 5)], "entry string, code int, ord int"
