@@ -60,48 +60,65 @@ class Tokens:
     def __init__(self, encode: Callable[[str], list[int]]):
         self.encode = encode
         self.known: dict[str, bytes] = {}
-
-    def _word(self, word: str) -> bytes:
-        return array("I", self.encode(" " + word)).tobytes()
-
-    def __call__(self, texts: pa.LargeStringArray) -> tuple[np.ndarray, np.ndarray]:
-        """Bounds of each text's ids, and the ids (without closing ids)."""
+        self.tab = encode("\t")[0]
+
+    def _learn(self, words: list[str]) -> None:
+        """Encode words as they stand behind a blank.
+
+        Words without white space at their ends go in one text, between tabs:
+        a tab before a blank is a piece of its own, and no word here has one.
+        """
+        plain = [w for w in words if w and not w[0].isspace() and not w[-1].isspace() and "\t" not in w]
+        if plain:
+            ids = np.array(self.encode("\t".join([" " + w for w in plain])), "<u4")
+            ends = np.append(np.flatnonzero(ids == self.tab), len(ids)) * 4
+            raw, start = ids.tobytes(), 0
+            for word, end in zip(plain, ends.tolist()):
+                self.known[word] = raw[start:end]
+                start = end + 4
+        for word in words:
+            if word not in self.known:
+                self.known[word] = array("I", self.encode(" " + word)).tobytes()
+
+    def __call__(self, texts: pa.LargeStringArray) -> tuple[np.ndarray, np.ndarray, tuple | None]:
+        """Bounds of each text's ids, the ids (without closing ids), and the texts' words as numbers.
+
+        The words are left out if a text had to be encoded whole.
+        """
         odd = np.asarray(pc.match_substring_regex(texts, ODD_BLANKS))
         plain = pc.if_else(pa.array(odd), "", texts) if odd.any() else texts
         lists = pc.split_pattern(plain, " ")
         bounds = np.asarray(lists.offsets, dtype=np.int64)
         coded = lists.values.slice(bounds[0], bounds[-1] - bounds[0]).dictionary_encode()
         bounds = bounds - bounds[0]
-        codes = np.asarray(coded.indices)
+        words = np.asarray(coded.indices)
         distinct = coded.dictionary.to_pylist()
         if len(self.known) > CACHED_WORDS:
             self.known.clear()
-        known, word = self.known, self._word
-        parts = [known.get(w) or known.setdefault(w, word(w)) for w in distinct]
+        if new := [w for w in distinct if w not in self.known]:
+            self._learn(new)
+        parts = list(map(self.known.__getitem__, distinct))
         # Words at the head of a text have no blank before them; odd texts take the place of one.
         heads = bounds[:-1]
-        first = [distinct[c] for c in codes[heads].tolist()]
+        first = [distinct[c] for c in words[heads].tolist()]
         own = [array("I", self.encode(w)).tobytes() for w in first]
         for i in np.flatnonzero(odd).tolist():
             own[i] = array("I", self.encode(texts[i].as_py())).tobytes()
         ids = np.frombuffer(b"".join([*parts, *own]), "<u4")
-        sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
-        own_sizes = np.fromiter(map(len, own), np.int64, len(own)) // 4
-        starts = np.concatenate([np.cumsum(sizes) - sizes, sizes.sum() + np.cumsum(own_sizes) - own_sizes])
-        sizes = np.concatenate([sizes, own_sizes])
-        codes = codes.astype(np.int64)
+        sizes = np.fromiter(map(len, [*parts, *own]), np.int64, len(parts) + len(own)) // 4
+        codes = words.astype(np.int64)
         codes[heads] = len(parts) + np.arange(len(own))
         lengths = sizes[codes]
         total = np.concatenate([[0], np.cumsum(lengths)])
-        return total[bounds], ids[gather(starts[codes], lengths)]
+        starts = np.cumsum(sizes) - sizes
+        return total[bounds], ids[gather(starts[codes], lengths)], None if odd.any() else (bounds, words, len(distinct))
 
 
 class Index:
     """Inverted index of one shard with BM25 weights in its postings."""
 
-    def __init__(self, texts: pa.LargeStringArray, max_share: float = MAX_SHARE):
-        bounds, codes, distinct = coded_words(texts)
-        n, v = len(texts), max(1, len(distinct))
+    def __init__(self, bounds: np.ndarray, codes: np.ndarray, terms: int, max_share: float = MAX_SHARE):
+        n, v = len(bounds) - 1, max(1, terms)
         lengths = np.diff(bounds)
         rows = np.repeat(np.arange(n, dtype=np.int64), lengths)
         keys, counts = np.unique(rows * v + codes, return_counts=True)
@@ -121,6 +138,11 @@ class Index:
         self.post_rows, self.post_weights = row[order], weight[order]
         self.term_bounds = np.concatenate([[0], np.cumsum(np.bincount(term, minlength=v))])
 
+    @classmethod
+    def of(cls, texts: pa.LargeStringArray, max_share: float = MAX_SHARE) -> Index:
+        bounds, codes, distinct = coded_words(texts)
+        return cls(bounds, codes, len(distinct), max_share)
+
     def neighbours(self, seed: int, free: np.ndarray) -> np.ndarray:
         """Free rows that share a useful word with the seed, best score first, ties by place."""
         terms = self.row_terms[self.row_bounds[seed] : self.row_bounds[seed + 1]]
@@ -222,14 +244,15 @@ def pack(
             tokens = tokens or Tokens(byte_bpe(ranks_path, pattern))
             texts = texts_of(table.column("text"))
             doc_ids = table.column("doc_id").to_pylist()
-            bounds, ids = tokens(texts)
+            bounds, ids, words = tokens(texts)
+            index = Index(*words) if words else Index.of(texts)
             lengths = np.diff(bounds) + 1
             # Closing ids go in behind each text's own ids.
             ids = np.insert(ids, bounds[1:], end_id).astype("<u4").tobytes()
             offsets = (bounds[:-1] + np.arange(len(texts))).tolist()
             sizes = lengths.tolist()
             out: list[list] = [[] for _ in schema]
-            for pieces in pack_shard(lengths, Index(texts), window):
+            for pieces in pack_shard(lengths, index, window):
                 place = 0
                 for row, start, length in pieces:
                     at = 4 * (offsets[row] + start)

@@ -36,14 +36,14 @@ def reference_tokenizer():
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.text(ODD, max_size=60), min_size=1, max_size=5))
 def test_ids_equal_the_tokenizer(tokens, reference_tokenizer, values):
-    bounds, ids = tokens(texts(values))
+    bounds, ids, _ = tokens(texts(values))
     for value, a, b in zip(values, bounds, bounds[1:]):
         assert ids[a:b].tolist() == reference_tokenizer.encode(value, add_special_tokens=False).ids
 
 
 def test_ids_of_special_strings_and_long_words(tokens, reference_tokenizer):
     values = ["<|endoftext|> it's  we'll \n\n x", "a" * 5000, "", " ", "  ", " lead", "trail "]
-    bounds, ids = tokens(texts(values))
+    bounds, ids, _ = tokens(texts(values))
     for value, a, b in zip(values, bounds, bounds[1:]):
         assert ids[a:b].tolist() == reference_tokenizer.encode(value, add_special_tokens=False).ids
 
@@ -54,7 +54,7 @@ def test_every_id_is_packed_once(lengths, rnd):
     words = [" ".join(rnd.choice("abcdefgh") for _ in range(6)) for _ in lengths]
     window, room = 32, np.array(lengths, np.int64)
     seen = [np.zeros(n, int) for n in lengths]
-    for pieces in packing.pack_shard(room, packing.Index(texts(words), 1.0), window):
+    for pieces in packing.pack_shard(room, packing.Index.of(texts(words), 1.0), window):
         size = sum(n for _, _, n in pieces)
         assert size == window or size & (size - 1) == 0
         for row, start, n in pieces:
@@ -64,7 +64,7 @@ def test_every_id_is_packed_once(lengths, rnd):
 
 def test_neighbours_are_ranked_by_bm25():
     values = ["red fox den", "blue sky", "red fox den hole", "red car", "fox den den", ""]
-    index = packing.Index(texts(values), 1.0)
+    index = packing.Index.of(texts(values), 1.0)
     n, k1, b = len(values), packing.K1, packing.B
     split = [v.split() for v in values]
     mean = sum(map(len, split)) / n
