@@ -33,13 +33,6 @@ UNCLEAR_VERDICT = "未完全识别"
 # Date layouts tried in order.
 DATE_LAYOUTS = ["yyyy-MM-dd", "yyyy/MM/dd", "yyyy年MM月dd日", "yyyy.MM.dd", "yyyyMMdd"]
 
-# Section headings of annual reports and the headings that may follow.
-SECTION_TITLES = [
-    "董事会报告", "董事局报告", "经营情况讨论与分析", "主要业务讨论与分析", "经营层讨论与分析",
-    "管理层讨论与分析", "管理层分析与讨论", "董事会工作报告", "董事局工作报告",
-]
-NEXT_TITLES = ["监事会工作报告", "监事会报告", "重要事项", "公司治理"]
-
 # Words that mark the old and the new wording in clause changes.
 ORIGINAL_MARKS = [
     "原内容", "原章程", "原条款", "原规定", "原规则", "原规章", "原规范", "原第", "原议事", "现条款", "修订前",
@@ -50,6 +43,7 @@ APPEND_MARKS = [
     "增加第", "新增第", "新增一", "新增条款", "增加“", "增加一", "增加二", "增加三", "增加四", "增加五", "增加六",
     "增加七", "增加八", "增加九", "增加十", "增加了", "顺延为", "增加如下", "新增以下", "增加条目",
 ]
+# Entries that another entry contains are left out: they find nothing more.
 MODIFIED_MARKS = [
     "修改后", "修订后", "修订为", "现修订", "修改为", "新增", "变更后", "变更为", "修订条款", "修订规定", "修订规则",
     "修订规章", "修订规范", "修订第", "增加第", "改为：", "更为：", "更改为", "删除", "改为第", "改为“", "顺延为",
@@ -69,3 +63,15 @@ CLAUSE_CATEGORIES = [
     ("自主安排的管理层权力配置条款", ["董事会", "监事会", "高管", "总经理", "管理层", "决策权", "任免权", "薪酬"]),
 ]
 OTHER_CATEGORY = "其他"
+
+# What follows a field name in an answer whose JSON can't be repaired, and the levels of confidence.
+RESCUED_VALUE = "[\"':\\s]+([^\",}'\\n]+)"
+RELATED_WORDS = ["true", "相关", "是"]
+UNRELATED_WORDS = ["false", "不相关", "否"]
+CONFIDENCE_LEVELS = ["高", "中", "低"]
+
+# Where code lists and their reasons stand in an answer.
+CODE_BLOCK = r"\*\*分类序号：\*\*([\s\S]*?)(?:\*\*理由：\*\*|$)"
+CODE_HEADER = r"(?i)^(?:分类|类别|分类序号)[：:\s]*([\d\s，、,-]+)"
+CODE_WORD = r"\b(\d{1,3})\b"
+CODE_REASON = r"\*\*理由：\*\*([\s\S]*)$"

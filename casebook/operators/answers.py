@@ -114,6 +114,26 @@ def json_answer(
     return _once(parse_json(col, f"`{field}` string, `{reason}` string"), read)
 
 
+def rescued_fields(
+    col: Column, fields: Sequence[str] = ("category", "reason", "confidence"), level: str = "confidence"
+) -> Column:
+    """struct(related, fields...) from an answer whose JSON no repair makes valid.
+
+    The flag follows the words for yes, then those for no, else it is null.
+    Each field is what stands behind its name up to the next quote, comma,
+    brace or line; ``level`` counts only if it is a known level.
+    """
+    lower = F.lower(col)
+    related = F.when(contains_any(lower, fixed.RELATED_WORDS), F.lit(True)).when(
+        contains_any(lower, fixed.UNRELATED_WORDS), F.lit(False)
+    )
+    found = []
+    for name in fields:
+        value = F.nullif(F.trim(F.regexp_extract(col, f"(?i){name}{fixed.RESCUED_VALUE}", 1)), F.lit(""))
+        found.append((F.when(value.isin(fixed.CONFIDENCE_LEVELS), value) if name == level else value).alias(name))
+    return F.struct(related.alias("related"), *found)
+
+
 def validated_class(col: Column, source: Column, field: str, reason: str, allowed: Sequence[str]) -> Column:
     """The class a JSON answer states if it is an allowed one, else ``Error``; ``Skip`` for blank sources."""
     parsed = F.from_json(json_body(col), f"`{field}` string, `{reason}` string")
@@ -128,17 +148,16 @@ def code_lists(col: Column) -> Column:
 
     Taken from a marked block, else from a header line, else from the whole text.
     """
-    block = r"\*\*分类序号：\*\*([\s\S]*?)(?:\*\*理由：\*\*|$)"
-    header = r"(?i)^(?:分类序号|分类|类别)[：:\s]*([\d\s，、,-]+)"
+    block, header = fixed.CODE_BLOCK, fixed.CODE_HEADER
     marked = F.regexp_count(col, F.lit(block)) > 0
     headed = F.regexp_count(col, F.lit(header)) > 0
-    words = F.lit(r"\b(\d{1,3})\b")
+    words = F.lit(fixed.CODE_WORD)
     codes = (
         F.when(marked, F.regexp_extract_all(F.regexp_extract(col, block, 1), words, F.lit(1)))
         .when(headed, F.regexp_extract_all(F.regexp_extract(col, header, 1), F.lit(r"(\d{1,3})"), F.lit(1)))
         .otherwise(F.regexp_extract_all(col, words, F.lit(1)))
     )
-    after_block = F.regexp_extract(col, r"\*\*理由：\*\*([\s\S]*)$", 1)
+    after_block = F.regexp_extract(col, fixed.CODE_REASON, 1)
     after_header = F.regexp_replace(F.regexp_replace(col, header, ""), r"^[：:，、\s-]+", "")
     reason = F.when(marked, F.trim(after_block)).when(headed, after_header).otherwise(col)
 

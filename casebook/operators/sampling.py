@@ -14,7 +14,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, WindowSpec, functions as F
 
-from casebook.functions.ranking import cutoffs, key_bucket, numbered, seeded_key, values_at_ranks
+from casebook.functions.ranking import cutoffs, key_bucket, numbered, running_total, seeded_key, values_at_ranks
 from casebook.functions.runtime import join_on, settle
 
 
@@ -247,7 +247,8 @@ def one_per_entity_sample(df: DataFrame, id_col: str, entity: str, n: int, seed:
     k = sizes.count()
     if k > n:
         return quota_sample(df, id_col, [entity], simple_sample(sizes, entity, n, seed).withColumn("quota", F.lit(1)), seed)
-    extra = F.floor(F.col("n") / F.sum("n").over(_all()) * (n - k))
+    total = sizes.agg(F.sum("n")).first()[0] or 1
+    extra = F.floor(F.col("n") / F.lit(total) * (n - k))
     quotas = sizes.withColumn("quota", (1 + F.when(F.col("n") - 1 >= extra, extra).otherwise(0)).cast("bigint"))
     return _to_size(mark_quota(df.dropna(subset=[entity]), [entity], quotas, seeded_key(id_col, seed)), quotas, n)
 
@@ -259,19 +260,21 @@ def capped_entity_quota(sizes: DataFrame, entity: str, n: int, cap: int = 50, mi
     least ``min_entities`` or 60 % of all entities are drawn. Each gets 1,
     then a proportional part up to ``cap``; what is left goes to the largest.
     """
-    total = F.count(F.lit(1)).over(_all())
-    ranked = sizes.withColumn("_r", _place([F.col("n"), F.col(entity)]) - 1).withColumn("_all", total)
-    middle = ranked.filter((F.col("_r") >= F.floor(F.col("_all") * 0.2)) & (F.col("_r") < F.floor(F.col("_all") * 0.8)))
-    goal = F.least(F.greatest(F.lit(min_entities), F.floor(F.col("_all") * 0.6)), F.col("_all"))
-    drawn = middle.withColumn("_d", _place([seeded_key(entity, seed)])).filter(F.col("_d") <= goal)
+    every = sizes.count()
+    ranked = numbered(sizes, ["n", entity], "_r")
+    middle = ranked.filter((F.col("_r") > int(every * 0.2)) & (F.col("_r") <= int(every * 0.8)))
+    goal = min(max(min_entities, int(every * 0.6)), every)
+    keyed = numbered(middle.withColumn("_key", seeded_key(entity, seed)), ["_key"], "_d")
+    drawn = keyed.filter(F.col("_d") <= goal).select(entity, "n")
+    held = drawn.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("k")).first()
     room = F.least(F.lit(cap), F.col("n")) - 1
-    part = F.floor(F.col("n") / F.sum("n").over(_all()) * (n - F.count(F.lit(1)).over(_all())))
-    first = drawn.withColumn("_q", 1 + F.least(part, room))
+    part = F.floor(F.col("n") / F.lit(held["n"] or 1) * F.lit(n - held["k"]))
+    first = drawn.withColumn("_q", 1 + F.least(part, room)).withColumn("_down", -F.col("n"))
+    left = max(0, n - (first.agg(F.sum("_q")).first()[0] or 0))
     spare = F.least(F.lit(cap), F.col("n")) - F.col("_q")
-    before = _all().orderBy(F.col("n").desc(), F.col(entity)).rowsBetween(W.unboundedPreceding, -1)
-    left = F.greatest(F.lit(n) - F.sum("_q").over(_all()), F.lit(0))
-    more = F.greatest(F.lit(0), F.least(spare, left - F.coalesce(F.sum(spare).over(before), F.lit(0))))
-    return first.withColumn("quota", (F.col("_q") + more).cast("bigint")).select(entity, "n", "quota")
+    filled = running_total(first, [], ["_down", entity], spare, "_before")
+    more = F.greatest(F.lit(0), F.least(spare, F.lit(left) - F.col("_before")))
+    return filled.withColumn("quota", (F.col("_q") + more).cast("bigint")).select(entity, "n", "quota")
 
 
 def capped_entity_sample(
@@ -301,11 +304,18 @@ def important_class_sample(
 
 def _nested(sizes: DataFrame, outer: Sequence[str], inner: str, goal: str) -> DataFrame:
     """Share ``goal`` of each outer group over its inner values, the rounding gap on the largest share."""
-    group = W.partitionBy(*outer)
-    shared = sizes.withColumn("_q", F.bround(F.col("n") / F.sum("n").over(group) * F.col(goal)).cast("bigint"))
-    place = F.row_number().over(group.orderBy(F.col("_q").desc(), F.col("n").desc(), F.col(inner)))
-    gap = F.col(goal) - F.sum("_q").over(group)
-    return shared.withColumn("_q", F.col("_q") + F.when(place == 1, gap).otherwise(0))
+    outer = list(outer)
+    totals = sizes.groupBy(*outer).agg(F.sum("n").alias("_total"))
+    shared = join_on(sizes, totals, outer).withColumn(
+        "_q", F.bround(F.col("n") / F.col("_total") * F.col(goal)).cast("bigint")
+    )
+    rank = F.struct((-F.col("_q")).alias("q"), (-F.col("n")).alias("n"), F.col(inner).alias("i"))
+    gaps = shared.groupBy(*outer).agg(
+        (F.max(goal) - F.sum("_q")).alias("_gap"), F.min_by(F.struct(F.col(inner).alias("i")), rank).alias("_largest")
+    )
+    joined = join_on(shared, gaps, outer)
+    step = F.when(F.struct(F.col(inner).alias("i")).eqNullSafe(F.col("_largest")), F.col("_gap")).otherwise(0)
+    return joined.withColumn("_q", F.col("_q") + step).drop("_total", "_gap", "_largest")
 
 
 def nested_quota(df: DataFrame, label: str, entity: str, year: str, targets: dict[str, int]) -> DataFrame:
@@ -315,7 +325,8 @@ def nested_quota(df: DataFrame, label: str, entity: str, year: str, targets: dic
     for value, t in targets.items():
         goal = F.when(F.col(label) == value, F.lit(t)).otherwise(goal)
     firms = cells.groupBy(label, entity).agg(F.sum("n").alias("n")).withColumn("_goal", goal)
-    firms = firms.withColumn("_whole", F.sum("n").over(W.partitionBy(label)) <= F.coalesce("_goal", F.lit(2**62)))
+    rows = firms.groupBy(label).agg(F.sum("n").alias("_rows"))
+    firms = join_on(firms, rows, [label]).withColumn("_whole", F.col("_rows") <= F.coalesce("_goal", F.lit(2**62))).drop("_rows")
     firms = _nested(firms, [label], entity, "_goal").select(
         label, entity, F.col("_q").alias("_firm"), "_whole", F.col("n").alias("_firm_n")
     )
@@ -366,6 +377,12 @@ def cap_entities(df: DataFrame, id_col: str, entity: str, caps: dict[str, int],
     return quota_sample(named, id_col, [entity], quotas, seed).unionByName(others)
 
 
+def _unseen(pool: DataFrame, base: DataFrame, text: str) -> DataFrame:
+    """Rows of ``pool`` whose text ``base`` does not hold, compared by digest."""
+    seen = base.select(F.sha2(text, 256).alias("_h")).distinct()
+    return pool.withColumn("_h", F.sha2(text, 256)).join(seen, "_h", "left_anti").drop("_h")
+
+
 def refill(
     base: DataFrame, pool: DataFrame, id_col: str, entity: str, text: str, banned: Sequence[str], n: int, seed: int = 42
 ) -> DataFrame:
@@ -374,7 +391,7 @@ def refill(
     if need <= 0:
         return simple_sample(base, id_col, n, seed)
     fresh = pool.filter(F.col(entity).isNotNull() & ~F.col(entity).isin(list(banned)))
-    fresh = fresh.join(base.select(text).distinct(), text, "left_anti").select(*base.columns)
+    fresh = _unseen(fresh, base, text).select(*base.columns)
     sizes = strata_sizes(fresh, [entity])
     each = F.greatest(F.lit(1), F.floor(F.lit(need) / F.count(F.lit(1)).over(_all())))
     quotas = sizes.withColumn("quota", each.cast("bigint"))
@@ -391,7 +408,7 @@ def supplement_new_entities(
 ) -> DataFrame:
     """Add pool rows with unseen texts, the first row of each entity, up to ``n`` rows in all."""
     need = n - matched.count()
-    fresh = pool.join(matched.select(text).distinct(), text, "left_anti").select(*matched.columns)
+    fresh = _unseen(pool, matched, text).select(*matched.columns)
     w = W.partitionBy(entity).orderBy(id_col)
     firsts = fresh.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") == 1).drop("_rn")
     return matched.unionByName(simple_sample(firsts, id_col, max(0, need), seed))

@@ -3,10 +3,11 @@
 from pyspark.sql import functions as F
 
 from casebook.functions.dates import in_years, quarter_of
-from casebook.functions.runtime import table
+from casebook.functions.runtime import scratch_path, table
 from casebook.functions.text import contains_any, first_keyword_category, matches_any
 from casebook.operators import predicates as P
 from casebook.plans.registry import query
+from casebook.sources.files import write_both
 
 LICENSE_WORDS = ["license", "apache", "copyright"]
 COMMON_WORDS = ["that", "pour", "nicht"]
@@ -265,3 +266,16 @@ def _(spark, folder):
     kept, rejected = P.kept_and_rejected(docs, contains_any("text", ["that", "sich"]))
     both = kept.select("lang", F.lit(True).alias("kept")).union(rejected.select("lang", F.lit(False).alias("kept")))
     return both.groupBy("lang", "kept").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "kept_and_rejected_files",
+    "IO14",
+    """SELECT CASE WHEN contains(text, 'that') OR contains(text, 'sich') THEN 'kept' ELSE 'rejected' END AS output, doc_id FROM documents""",
+)
+def _(spark, folder):
+    path = scratch_path(spark, "two-outputs")
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    write_both(docs, contains_any("text", ["that", "sich"]), f"{path}/kept", f"{path}/rejected")
+    outputs = [spark.read.parquet(f"{path}/{name}").select(F.lit(name).alias("output"), "doc_id") for name in ("kept", "rejected")]
+    return outputs[0].unionByName(outputs[1])

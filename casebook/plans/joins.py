@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from casebook.functions.runtime import table
 from casebook.operators import matching as J
 from casebook.operators import near_dup as N
+from casebook.operators import ordering as O
 from casebook.operators.resolve import resolve_names
 from casebook.plans.registry import query
 
@@ -224,10 +225,60 @@ def _(spark, folder):
 @query("documents_without_suspicion", "J16 J4")
 def _(spark, folder):
     docs = table(spark, folder, "documents").select("doc_id", "source")
-    members = N.pair_members(_pairs(spark, folder).filter("similarity >= 90"))
+    times = table(spark, folder, "events").select(F.col("event_id").alias("doc_id"), "ts")
+    members = N.pair_members(N.suspicious_pairs(_pairs(spark, folder), times, "doc_id", "ts"))
     return J.not_in(docs, members.withColumnRenamed("id", "doc_id"), ["doc_id"])
 
 
+# Addresses of pages are short enough for SQL, and ASCII: the SQL edit distance counts bytes.
+PAGES_SQL = r"""r AS (SELECT page_id AS id, regexp_extract(url, '//([^/]+)', 1) AS host, url,
+           DATE '2020-01-01' + ((page_id * 37) % 400)::INT AS day FROM pages WHERE url IS NOT NULL),
+        f AS (SELECT host, url, min(id) AS id FROM r GROUP BY host, url),
+        p AS (SELECT a.host, a.id AS id_1, b.id AS id_2, 100.0::DOUBLE * (1 - levenshtein(a.url, b.url)::DOUBLE / greatest(length(a.url), length(b.url))) AS similarity
+              FROM f a JOIN f b ON a.host = b.host AND a.id < b.id AND abs(length(a.url) - length(b.url)) <= 20),
+        s AS (SELECT p.host, p.id_1, p.id_2, p.similarity, y.day - x.day AS gap FROM p JOIN r x ON x.id = p.id_1 JOIN r y ON y.id = p.id_2
+              WHERE p.similarity >= 90 AND y.day - x.day < 90)"""
+
+
+def _addresses(spark, folder):
+    day = F.date_add(F.lit("2020-01-01").cast("date"), ((F.col("page_id") * 37) % 400).cast("int"))
+    rows = table(spark, folder, "pages").filter("url IS NOT NULL")
+    host = F.regexp_extract("url", "//([^/]+)", 1).alias("host")
+    return rows.select(F.col("page_id").alias("id"), host, "url", day.cast("timestamp_ntz").alias("day"))
+
+
+def _address_pairs(spark, folder):
+    """Equal texts of a block first become one row, as the clean-up chain does."""
+    first = O.keep_first(_addresses(spark, folder), ["host", "url"], ["id"])
+    return N.near_duplicates(first, "id", "host", "url")
+
+
+@query(
+    "near_duplicate_addresses",
+    "W1 J15",
+    f"WITH {PAGES_SQL} SELECT host, id_1, id_2, round(similarity, 6) AS similarity FROM p WHERE similarity > 80",
+)
+def _(spark, folder):
+    return _address_pairs(spark, folder).withColumn("similarity", F.round("similarity", 6))
+
+
+@query("suspicious_addresses", "J16", f"WITH {PAGES_SQL} SELECT host, id_1, id_2, gap::BIGINT AS gap_days FROM s")
+def _(spark, folder):
+    close = N.suspicious_pairs(_address_pairs(spark, folder), _addresses(spark, folder), "id", "day")
+    return close.select("host", "id_1", "id_2", "gap_days")
+
+
+@query(
+    "addresses_without_suspicion",
+    "W1 J15 J16 J4",
+    f"WITH {PAGES_SQL} SELECT id, host FROM f WHERE id NOT IN (SELECT id_1 FROM s) AND id NOT IN (SELECT id_2 FROM s)",
+)
+def _(spark, folder):
+    first = O.keep_first(_addresses(spark, folder), ["host", "url"], ["id"])
+    members = N.pair_members(N.suspicious_pairs(_address_pairs(spark, folder), _addresses(spark, folder), "id", "day"))
+    return J.not_in(first.select("id", "host"), members, ["id"])
+
+
 @query(
     "fuzzy_best_match",
     "J17",

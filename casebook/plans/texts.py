@@ -359,3 +359,25 @@ def _(spark, folder):
         .otherwise(F.concat(name, F.lit("章程修订说明")))
     )
     return table(spark, folder, "part").select("p_partkey", C.is_revision_draft(title).alias("draft"))
+
+
+@query(
+    "complaint_times",
+    "2.7 date",
+    "SELECT event_id, CASE WHEN event_id % 5 > 0 THEN date_trunc('minute', ts)::TIMESTAMP END AS at FROM events",
+)
+def _(spark, folder):
+    stamp = F.date_format("ts", "yyyy年MM月dd日 HH:mm")
+    written = F.when(F.col("event_id") % 5 > 0, stamp).otherwise(F.concat(stamp, F.lit(" ?")))
+    return table(spark, folder, "events").select("event_id", D.parse_clock(written).alias("at"))
+
+
+@query(
+    "questions_without_greeting",
+    "2.7 regex",
+    """SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN text ELSE '请问 ' || text END AS question FROM conversations""",
+)
+def _(spark, folder):
+    opening = F.when(F.col("turn") % 2 == 0, "尊敬的董秘您好，").otherwise("董秘你好！请问 ")
+    rows = table(spark, folder, "conversations")
+    return rows.select("conv_id", "turn", X.drop_greetings(F.concat(opening, F.col("text"))).alias("question"))
