@@ -125,7 +125,7 @@ TFIDF_SQL = r"""g AS (SELECT doc_id, text, md5(doc_id::VARCHAR || '|42') AS k FR
         idf AS (SELECT word, ln((1.0::DOUBLE + (SELECT count(*) FROM g)) / (1.0::DOUBLE + count(*))) + 1 AS idf
                 FROM (SELECT unnest(list_distinct(toks)) AS word FROM gt) GROUP BY 1),
         dr AS (SELECT source, doc_id, text, row_number() OVER (PARTITION BY source ORDER BY md5(doc_id::VARCHAR || '|42')) AS r FROM documents),
-        ot AS (SELECT source, r, list_filter(regexp_extract_all(lower(text), '\p{L}+'), lambda w: length(w) >= 2) AS toks FROM dr WHERE r <= 30),
+        ot AS (SELECT source, r, list_filter(regexp_extract_all(lower(text), '\p{L}+'), lambda w: length(w) >= 2) AS toks FROM dr WHERE r <= 300),
         ow AS (SELECT source, r, word, count(*) * any_value(idf) AS w FROM (SELECT source, r, unnest(toks) AS word FROM ot) JOIN idf USING (word) GROUP BY 1, 2, 3),
         o AS (SELECT source, r, word, w / sqrt(sum(w * w) OVER (PARTITION BY source, r)) AS w FROM ow),
         gw AS (SELECT doc_id, word, count(*) * any_value(idf) AS w FROM (SELECT doc_id, unnest(toks) AS word FROM gt) JOIN idf USING (word) GROUP BY 1, 2),
@@ -135,7 +135,7 @@ TFIDF_SQL = r"""g AS (SELECT doc_id, text, md5(doc_id::VARCHAR || '|42') AS k FR
 
 def _similarity(spark, folder, pairing):
     docs = table(spark, folder, "documents").select("doc_id", "source", "text")
-    return L.group_similarity(docs.filter("source = 'src3'"), docs, "doc_id", "source", "text", 30, pairing)
+    return L.group_similarity(docs.filter("source = 'src3'"), docs, "doc_id", "source", "text", pairing=pairing)
 
 
 @query(
@@ -143,7 +143,7 @@ def _similarity(spark, folder, pairing):
     "T10",
     f"""WITH {TFIDF_SQL}, gr AS (SELECT doc_id, row_number() OVER (ORDER BY k) AS r FROM g),
         d AS (SELECT source, sum(o.w * gn.w) AS dot FROM o JOIN gr ON gr.r = o.r JOIN gn ON gn.doc_id = gr.doc_id AND gn.word = o.word GROUP BY 1),
-        p AS (SELECT source, count(*) AS pairs FROM dr WHERE r <= least(30, (SELECT count(*) FROM g)) GROUP BY 1)
+        p AS (SELECT source, count(*) AS pairs FROM dr WHERE r <= least(300, (SELECT count(*) FROM g)) GROUP BY 1)
         SELECT source, n, round(coalesce(dot, 0) / pairs, 6) AS similarity FROM n JOIN p USING (source) LEFT JOIN d USING (source)""",
 )
 def _(spark, folder):
@@ -155,7 +155,7 @@ def _(spark, folder):
     "T10",
     f"""WITH {TFIDF_SQL}, a AS (SELECT word, sum(w) AS w FROM gn GROUP BY 1), b AS (SELECT source, word, sum(w) AS w FROM o GROUP BY 1, 2),
         d AS (SELECT source, sum(a.w * b.w) AS dot FROM a JOIN b USING (word) GROUP BY 1),
-        p AS (SELECT source, count(*) * (SELECT count(*) FROM g) AS pairs FROM dr WHERE r <= 30 GROUP BY 1)
+        p AS (SELECT source, count(*) * (SELECT count(*) FROM g) AS pairs FROM dr WHERE r <= 300 GROUP BY 1)
         SELECT source, n, round(coalesce(dot, 0) / pairs, 6) AS similarity FROM n JOIN p USING (source) LEFT JOIN d USING (source)""",
 )
 def _(spark, folder):
