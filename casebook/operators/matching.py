@@ -99,9 +99,11 @@ ANCHOR = 6
 def _anchored(words: DataFrame, name: str) -> DataFrame:
     """Each name with the one of its pieces that the fewest names hold.
 
-    Pieces have ``ANCHOR`` characters; a shorter name is its own piece.
+    Pieces have ``ANCHOR`` characters; those of shorter names have as many as
+    the shortest name, so that texts are cut in two lengths at most.
     """
-    width = F.least(F.length(name), F.lit(ANCHOR))
+    shortest = words.agg(F.min(F.length(name))).first()[0] or 1
+    width = F.when(F.length(name) >= ANCHOR, F.lit(ANCHOR)).otherwise(F.lit(shortest))
     pieces = words.withColumn("_width", width).withColumn(
         "_piece",
         F.explode(F.array_distinct(F.transform(
@@ -126,7 +128,7 @@ def containment_join(texts: DataFrame, text: str, names: DataFrame, name: str) -
     anchors = _anchored(words, name)
     usable = texts.filter(F.col(text).isNotNull()).withColumn("_key", F.sha2(text, 256))
     distinct = usable.select("_key", F.col(text).alias("_text")).dropDuplicates(["_key"])
-    # The lengths of anchors: at most ``ANCHOR`` numbers.
+    # The lengths of anchors: two numbers at most.
     widths = sorted(r[0] for r in anchors.select(F.length("_piece")).distinct().collect())
     if not widths:
         return texts.withColumn(name, F.lit(None).cast("string")).filter(F.lit(False))
