@@ -85,13 +85,6 @@ def years_and_part(year: Column, quarter: Column, first: int, last: int, last_qu
     return ((year >= first) & (year < last)) | ((year == last) & (quarter <= last_quarter))
 
 
-def drop_blank(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    test = F.lit(True)
-    for c in cols:
-        test = test & yes(F.trim(F.col(c)) != "")
-    return df.filter(test)
-
-
 def relabel(df: DataFrame, col: str, mapping: dict, name: str, default: Column | None = None) -> DataFrame:
     """Look a code up in a literal map; unknown codes get ``default`` (null if none)."""
     pairs = [F.lit(x) for kv in mapping.items() for x in kv]

@@ -81,6 +81,27 @@ def _(spark, folder):
     return S.stratified_sample(_orders(spark, folder), "o_orderkey", ["ym", "p"], 1010, "stepwise").select("o_orderkey", "ym", "p")
 
 
+@query(
+    "stratified_sample_topped_up",
+    "S4",
+    """WITH k AS (SELECT o_orderkey, o_custkey AS c, md5(o_orderkey::VARCHAR || '|42') AS key FROM orders),
+        q AS (SELECT c, count(*) AS n, round_even(count(*) / sum(count(*)) OVER () * 300, 0)::BIGINT AS q FROM k GROUP BY c),
+        x AS (SELECT sum(q)::BIGINT - 300 AS excess FROM q),
+        u AS (SELECT c, count(*) AS less FROM (SELECT c, unnest(range(0, q)) AS v FROM q ORDER BY v DESC, c
+              LIMIT (SELECT greatest(excess, 0) FROM x)) GROUP BY 1),
+        b AS (SELECT c FROM q ORDER BY q DESC, c LIMIT 1),
+        f AS (SELECT q.c, q.q - coalesce(less, 0) + CASE WHEN b.c IS NOT NULL AND (SELECT excess FROM x) < 0
+              THEN -(SELECT excess FROM x) ELSE 0 END AS quota FROM q LEFT JOIN u ON q.c = u.c LEFT JOIN b ON q.c = b.c),
+        r AS (SELECT k.*, row_number() OVER (PARTITION BY k.c ORDER BY key) <= quota AS kept FROM k JOIN f ON k.c = f.c),
+        t AS (SELECT *, row_number() OVER (PARTITION BY kept ORDER BY key) AS place FROM r)
+       SELECT o_orderkey, c AS o_custkey FROM t WHERE kept OR place <= 300 - (SELECT count(*) FROM r WHERE kept)""",
+)
+def _(spark, folder):
+    # Most customers round to no row at all and the largest has too few: the rest is drawn from all others.
+    orders = table(spark, folder, "orders").select("o_orderkey", "o_custkey")
+    return S.stratified_sample(orders, "o_orderkey", ["o_custkey"], 300, "stepwise", top_up=True)
+
+
 @query(
     "stratified_sample_largest",
     "S5",

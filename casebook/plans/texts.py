@@ -381,3 +381,16 @@ def _(spark, folder):
     opening = F.when(F.col("turn") % 2 == 0, "尊敬的董秘您好，").otherwise("董秘你好！请问 ")
     rows = table(spark, folder, "conversations")
     return rows.select("conv_id", "turn", X.drop_greetings(F.concat(opening, F.col("text"))).alias("question"))
+
+
+@query(
+    "sections_to_blank_line",
+    "T11",
+    r"""WITH t AS (SELECT doc_id, 'Summary:' || chr(10) || text || chr(10) || chr(10) || 'x Outlook:  ' || chr(10) || text AS t FROM documents),
+        s AS (SELECT doc_id, regexp_extract_all(t, '(?s)((?:Summary|Outlook):[^\S\n]*\n.{300}.*?)(?:\n\n|\z)', 1) AS s FROM t)
+        SELECT doc_id, len(s)::INT AS sections, array_to_string(s, '|') AS text FROM s""",
+)
+def _(spark, folder):
+    report = F.concat(F.lit("Summary:\n"), F.col("text"), F.lit("\n\nx Outlook:  \n"), F.col("text"))
+    found = table(spark, folder, "documents").select("doc_id", L.sections_to_blank_line(report, ["Summary", "Outlook"]).alias("s"))
+    return found.select("doc_id", F.size("s").alias("sections"), F.array_join("s", "|").alias("text"))
