@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import base64
 from array import array
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -158,8 +158,15 @@ def powers(n: int) -> list[int]:
     return [1 << b for b in range(n.bit_length() - 1, -1, -1) if n >> b & 1]
 
 
-def pack_shard(lengths: np.ndarray, index: Index, window: int = WINDOW) -> Iterator[list[tuple[int, int, int]]]:
-    """Sequences of one shard as lists of (row, start, length)."""
+def pack_shard(
+    lengths: np.ndarray, index: Index, window: int = WINDOW, owners: Sequence | None = None
+) -> Iterator[list[tuple[int, int, int]]]:
+    """Sequences of one shard as lists of (row, start, length).
+
+    ``owners`` names the document of each row: copies of one document share a
+    packed window only if nothing else is left to fill it.
+    """
+    owners = range(len(lengths)) if owners is None else owners
     begin = lengths // window * window
     for row in np.flatnonzero(begin).tolist():
         for start in range(0, int(begin[row]), window):
@@ -173,28 +180,31 @@ def pack_shard(lengths: np.ndarray, index: Index, window: int = WINDOW) -> Itera
             cursor += 1
         if cursor == n:
             return
-        held, room = [], window
+        held, inside, room = [], set(), window
 
         def take(row: int) -> None:
             nonlocal room
             size = min(room, left[row])
             held.append((row, begin[row], size))
+            inside.add(owners[row])
             begin[row] += size
             left[row] -= size
             room -= size
             free[row] = left[row] > 0
 
+        def fill(rows, again: bool = False) -> None:
+            for row in rows:
+                if not room:
+                    return
+                if free[row] and (again or owners[row] not in inside):
+                    take(row)
+
         take(cursor)
         if room:
-            for row in index.neighbours(cursor, free).tolist():
-                take(row)
-                if not room:
-                    break
-        at = cursor
-        while room and at < n:
-            if free[at]:
-                take(at)
-            at += 1
+            fill(index.neighbours(cursor, free).tolist())
+        # Nothing more that is alike: what comes next, and copies at the very end.
+        fill(range(cursor, n))
+        fill(range(cursor, n), again=True)
         if not room:
             yield held
             continue
@@ -252,7 +262,7 @@ def pack(
             offsets = (bounds[:-1] + np.arange(len(texts))).tolist()
             sizes = lengths.tolist()
             out: list[list] = [[] for _ in schema]
-            for pieces in pack_shard(lengths, index, window):
+            for pieces in pack_shard(lengths, index, window, doc_ids):
                 place = 0
                 for row, start, length in pieces:
                     at = 4 * (offsets[row] + start)

@@ -62,6 +62,14 @@ def test_every_id_is_packed_once(lengths, rnd):
     assert all((s == 1).all() for s in seen)
 
 
+def test_copies_meet_last():
+    words = texts(["red fox den", "red fox den", "red car fox", "sky", "red fox den"])
+    index = packing.Index.of(words, 1.0)
+    first, *rest = packing.pack_shard(np.array([8, 8, 4, 4, 8]), index, 16, [7, 7, 1, 2, 7])
+    assert first == [(0, 0, 8), (2, 0, 4), (3, 0, 4)]
+    assert rest == [[(1, 0, 8), (4, 0, 8)]]
+
+
 def test_neighbours_are_ranked_by_bm25():
     values = ["red fox den", "blue sky", "red fox den hole", "red car", "fox den den", ""]
     index = packing.Index.of(texts(values), 1.0)
