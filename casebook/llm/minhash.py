@@ -181,33 +181,52 @@ def components(edges: DataFrame) -> DataFrame:
     """``node`` and the least node it is connected with, for every node that has an edge.
 
     Alternates large stars and small stars over edges on disk, so depth
-    falls by a factor each round and no component is gathered anywhere.
+    falls by a factor each round and no component is gathered anywhere. The
+    edges stay as they are once they are stars; a count and a sum of hashes
+    tell whether they did.
     """
-    current = cut_lineage(
-        edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct()
-    )
+    pair = F.struct(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+    current = edges.select(pair.alias("e")).select("e.*").filter("u <> v").distinct()
+    state = None
     while True:
+        current = cut_lineage(current)
+        mark = F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))
+        now = tuple(current.agg(F.count(F.lit(1)), mark).first())
+        if now == state:
+            break
+        state = now
         both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         below = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = (
-            large.join(below, "u")
-            .select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
-            .select("e.*").filter("u <> v").distinct()
+        down = F.struct(F.col("u"), F.col("m").alias("v"))
+        across = F.struct(F.col("v").alias("u"), F.col("m").alias("v"))
+        current = (
+            large.join(below, "u").select(F.explode(F.array(down, across)).alias("e")).select("e.*").filter("u <> v").distinct()
         )
-        following = cut_lineage(small)
-        # A star forest maps to itself.
-        moved = following.join(current, ["u", "v"], "left_anti").limit(1).count()
-        same = not moved and following.count() == current.count()
-        current = following
-        if same:
-            break
     leaves = current.select(F.col("u").alias("node"), F.col("v").alias("component"))
     roots = current.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return leaves.unionByName(roots)
 
 
+def joined_up(grouped: DataFrame | None, links: DataFrame) -> DataFrame:
+    """Components after more links: only the components that the links touch are grouped again."""
+    if grouped is None:
+        return components(links)
+    name = grouped.select("node", "component")
+    a = links.join(name.withColumnsRenamed({"node": "a", "component": "ca"}), "a", "left")
+    ends = a.join(name.withColumnsRenamed({"node": "b", "component": "cb"}), "b", "left").select(
+        F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")
+    )
+    merged = cut_lineage(components(ends)).select(F.col("node").alias("component"), F.col("component").alias("least"))
+    # Nodes without an earlier link come in under their own name.
+    old = grouped.join(merged, "component", "left").select("node", F.coalesce("least", "component").alias("component"))
+    new = merged.join(grouped.select("node"), F.col("component") == F.col("node"), "left_anti").select(
+        F.col("component").alias("node"), F.col("least").alias("component")
+    )
+    return old.unionByName(new)
+
+
 def star_edges(members: DataFrame, turn: int) -> DataFrame:
     """Edges from bucket members to their bucket's centre in this turn.
 
@@ -250,7 +269,7 @@ def near_duplicates(
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     wanted = texts.join(involved, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     sets = cut_lineage(shingle_sets(wanted, shingle))
-    links, grouped, tried = None, None, None
+    grouped, tried = None, None
     for turn in range(MAX_ROUNDS):
         if grouped is None:
             current = members
@@ -269,8 +288,7 @@ def near_duplicates(
         new = cut_lineage(confirmed(edges, sets, percent))
         if turn >= QUIET_ROUNDS and new.isEmpty():
             break
-        links = new if links is None else links.unionByName(new)
-        grouped = cut_lineage(components(links))
+        grouped = cut_lineage(joined_up(grouped, new))
     found = classes.select("digest", F.col("doc_id").alias("node"))
     if grouped is not None:
         found = found.join(grouped, "node", "left")

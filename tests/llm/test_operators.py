@@ -197,6 +197,15 @@ def test_components(spark):
     assert found == {**dict.fromkeys(range(1, 61), 1), 100: 100, 200: 100, 300: 100}
 
 
+def test_components_join_up(spark):
+    def of(edges):
+        return spark.createDataFrame(edges, "a bigint, b bigint")
+
+    first = minhash.joined_up(None, of([(5, 6), (6, 7), (10, 11)]))
+    more = minhash.joined_up(first, of([(7, 11), (2, 10), (30, 31)]))
+    assert {r["node"]: r["component"] for r in more.collect()} == {**dict.fromkeys((2, 5, 6, 7, 10, 11), 2), 30: 30, 31: 30}
+
+
 def test_packing(docs, rows, nothing):
     pieces = packing.pack(docs, *vocabulary(), window=256, shard_rows=30).collect()
     import public_tokenizers
