@@ -7,8 +7,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 
-BLOCK_CHARS = 4_000_000
+BLOCK_CHARS = 1_500_000
+BATCH_ROWS = 512
+BATCH_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def texts_of(column) -> pa.LargeStringArray:
@@ -18,6 +21,18 @@ def texts_of(column) -> pa.LargeStringArray:
     return pc.fill_null(column.cast(pa.large_string()), "")
 
 
+def in_batches(rows: DataFrame) -> DataFrame:
+    """``rows``, sent to tasks in batches of at most ``BATCH_ROWS`` texts.
+
+    Spark's default of 10,000 rows a batch is meant for numbers. The session
+    keeps the smaller setting: it is read when the plan runs.
+    """
+    conf = rows.sparkSession.conf
+    if int(conf.get(BATCH_CONF)) > BATCH_ROWS:
+        conf.set(BATCH_CONF, BATCH_ROWS)
+    return rows
+
+
 def blocks(batches: Iterator[pa.RecordBatch], text: str, rows: int, chars: int = BLOCK_CHARS) -> Iterator[pa.Table]:
     """Regroup the rows of a task, in order, into tables of bounded length.
 
@@ -41,6 +56,9 @@ def blocks(batches: Iterator[pa.RecordBatch], text: str, rows: int, chars: int =
             held.append(batch.slice(start))
     if held:
         yield pa.Table.from_batches(held)
+        held.clear()
+    # The worker goes on with other tasks: what this one needed goes back to the system.
+    pa.default_memory_pool().release_unused()
 
 
 def coded_words(texts: pa.LargeStringArray) -> tuple[np.ndarray, np.ndarray, list[str]]:

@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from casebook.functions.runtime import cut_lineage
-from casebook.llm.arrays import blocks, coded_words, texts_of
+from casebook.llm.arrays import blocks, coded_words, in_batches, texts_of
 
 WORD_DIMS, SHAPE_DIMS, STATS = 192, 48, 4
 SOURCE_DIMS, LANG_DIMS, LAYOUT = 64, 16, 4
@@ -34,8 +34,8 @@ LABELLED, UNLABELLED = 6_000, 4_000
 ROUNDS, GIVEN = 2, 400
 SURE = 0.9
 KEEP = 0.5
-BLOCK_ROWS = 2_048
-CACHED_WORDS = 200_000
+BLOCK_ROWS = 1_024
+CACHED_WORDS = 100_000
 
 
 class TextView:
@@ -110,7 +110,7 @@ def views(rows: DataFrame) -> DataFrame:
                 [table.column("doc_id").combine_chunks(), pa.array(a, vector), pa.array(b, vector)], names=["doc_id", "a", "b"]
             )
 
-    return rows.mapInArrow(run, "doc_id bigint, a array<float>, b array<float>")
+    return in_batches(rows).mapInArrow(run, "doc_id bigint, a array<float>, b array<float>")
 
 
 def scored(rows: DataFrame, weights: dict) -> DataFrame:
@@ -133,7 +133,7 @@ def scored(rows: DataFrame, weights: dict) -> DataFrame:
                 names=["doc_id", "text_logit", "meta_logit", "score"],
             )
 
-    return rows.mapInArrow(run, "doc_id bigint, text_logit double, meta_logit double, score double")
+    return in_batches(rows).mapInArrow(run, "doc_id bigint, text_logit double, meta_logit double, score double")
 
 
 def _fit(rows: DataFrame, view: str) -> tuple[np.ndarray, float]:

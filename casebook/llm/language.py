@@ -19,7 +19,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 
-from casebook.llm.arrays import blocks, coded_words, texts_of
+from casebook.llm.arrays import blocks, coded_words, in_batches, texts_of
 
 UNKNOWN = "und"
 ROWS_PER_LANGUAGE = 2_000
@@ -27,8 +27,8 @@ WORDS_PER_LANGUAGE = 20_000
 GRAMS_PER_LANGUAGE = 6_000
 MAX_GRAM = 4
 FLOOR = 0.5
-CACHED_WORDS = 200_000
-BLOCK_ROWS = 2_048
+CACHED_WORDS = 100_000
+BLOCK_ROWS = 1_024
 
 
 def labelled_sample(
@@ -205,4 +205,4 @@ def identify(
             table = table.append_column(score_out, pa.array(scores, pa.float64()))
             yield from table.to_batches()
 
-    return docs.mapInArrow(run, schema)
+    return in_batches(docs).mapInArrow(run, schema)

@@ -20,10 +20,10 @@ from typing import NamedTuple
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from casebook.llm.arrays import blocks, texts_of
+from casebook.llm.arrays import blocks, in_batches, texts_of
 
 EDITS_PER_CHARS = 16
-BLOCK_ROWS = 2_048
+BLOCK_ROWS = 1_024
 # Phrases whose exact places are counted, and their labels.
 BASE = (
     ("under the mit license", "mit"),
@@ -178,4 +178,4 @@ def scan(
             yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, f"doc_id bigint, n_words bigint, matches array<struct<{MATCH}>>")
+    return in_batches(rows).mapInArrow(run, f"doc_id bigint, n_words bigint, matches array<struct<{MATCH}>>")

@@ -28,13 +28,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from casebook.functions.runtime import cut_lineage
-from casebook.llm.arrays import blocks, coded_words, texts_of
+from casebook.llm.arrays import blocks, coded_words, in_batches, texts_of
 
 SHINGLE = 2
 BINS, ROWS_PER_BAND = 128, 4
 PERCENT = 80
-BLOCK_ROWS, BLOCK_CHARS = 1_024, 4_000_000
-CACHED_WORDS = 200_000
+BLOCK_ROWS = 1_024
+CACHED_WORDS = 100_000
 CENTRES = 4
 QUIET_ROUNDS, MAX_ROUNDS = 2, 8
 SKETCH = "doc_id bigint, n_shingles bigint, digest binary, bands array<bigint>"
@@ -128,7 +128,7 @@ def sketches(
         schema = pa.schema(
             [("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("bands", pa.list_(pa.int64()))]
         )
-        for table in blocks(batches, "text", BLOCK_ROWS, BLOCK_CHARS):
+        for table in blocks(batches, "text", BLOCK_ROWS):
             sizes, digests, bands = [], [], []
             for own in make(texts_of(table.column("text"))):
                 sizes.append(len(own))
@@ -139,7 +139,7 @@ def sketches(
             yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, SKETCH)
+    return in_batches(rows).mapInArrow(run, SKETCH)
 
 
 def shingle_sets(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
@@ -147,12 +147,12 @@ def shingle_sets(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = Shingles(shingle)
-        for table in blocks(batches, "text", BLOCK_ROWS, BLOCK_CHARS):
+        for table in blocks(batches, "text", BLOCK_ROWS):
             sets = [own.tobytes() for own in make(texts_of(table.column("text")))]
             ids = table.column("doc_id").combine_chunks()
             yield pa.RecordBatch.from_arrays([ids, pa.array(sets, pa.binary())], names=["doc_id", "shingles"])
 
-    return docs.mapInArrow(run, "doc_id bigint, shingles binary")
+    return in_batches(docs).mapInArrow(run, "doc_id bigint, shingles binary")
 
 
 def confirmed(edges: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:

@@ -23,13 +23,13 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from casebook.llm.arrays import blocks, coded_words, gather, texts_of
+from casebook.llm.arrays import blocks, coded_words, gather, in_batches, texts_of
 
 WINDOW = 2048
 END_ID = 1
-SHARD_ROWS = 2048
-SHARD_CHARS = 6_000_000
-CACHED_WORDS = 250_000
+SHARD_ROWS = 1024
+SHARD_CHARS = 3_000_000
+CACHED_WORDS = 150_000
 MAX_SHARE = 0.1
 K1, B = 1.2, 0.75
 # White space before a blank that white space or the end follows: words can't be cut there.
@@ -273,4 +273,5 @@ def pack(
                 sequence += 1
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema)], schema=schema)
 
-    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, PIECES)
+    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
+    return in_batches(rows).mapInArrow(run, PIECES)
