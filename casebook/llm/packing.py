@@ -15,6 +15,7 @@ repeat an id are packed once each. An empty table gives no pieces.
 from __future__ import annotations
 
 import base64
+import json
 from array import array
 from collections.abc import Callable, Iterator, Sequence
 
@@ -48,17 +49,41 @@ def byte_bpe(ranks_path: str, pattern: str) -> Callable[[str], list[int]]:
     return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
 
+def added_tokens(tokenizer_path: str) -> list[str]:
+    """Strings that a tokenizer's file has besides its vocabulary, and that it finds inside texts."""
+    with open(tokenizer_path, encoding="utf-8") as f:
+        return [t["content"] for t in json.load(f).get("added_tokens") or [] if t["content"]]
+
+
+def by_tokenizer(tokenizer_path: str) -> Callable[[str], list[int]]:
+    """Ids of a text by the tokenizer's own file; it is read with the first text."""
+    made = None
+
+    def encode(text: str) -> list[int]:
+        nonlocal made
+        if made is None:
+            from tokenizers import Tokenizer
+
+            made = Tokenizer.from_file(tokenizer_path)
+        return made.encode(text, add_special_tokens=False).ids
+
+    return encode
+
+
 class Tokens:
     """Ids of many texts at once.
 
     A blank before a word always starts a new piece of this vocabulary, so
     texts are cut there and each distinct word is encoded once for a shard.
     Frequent words are kept between shards, up to ``CACHED_WORDS``. Texts in
-    which blanks meet other white space are encoded whole.
+    which blanks meet other white space are encoded whole, and texts that
+    hold one of the ``added`` tokens are left to ``exact``.
     """
 
-    def __init__(self, encode: Callable[[str], list[int]]):
-        self.encode = encode
+    def __init__(
+        self, encode: Callable[[str], list[int]], exact: Callable[[str], list[int]] | None = None, added: Sequence[str] = ()
+    ):
+        self.encode, self.exact, self.added = encode, exact, added
         self.known: dict[str, bytes] = {}
         self.tab = encode("\t")[0]
 
@@ -86,6 +111,10 @@ class Tokens:
         The words are left out if a text had to be encoded whole.
         """
         odd = np.asarray(pc.match_substring_regex(texts, ODD_BLANKS))
+        special = np.zeros(len(texts), bool)
+        for token in self.added:
+            special |= np.asarray(pc.match_substring(texts, token))
+        odd = odd | special
         plain = pc.if_else(pa.array(odd), "", texts) if odd.any() else texts
         lists = pc.split_pattern(plain, " ")
         bounds = np.asarray(lists.offsets, dtype=np.int64)
@@ -103,7 +132,8 @@ class Tokens:
         first = [distinct[c] for c in words[heads].tolist()]
         own = [array("I", self.encode(w)).tobytes() for w in first]
         for i in np.flatnonzero(odd).tolist():
-            own[i] = array("I", self.encode(texts[i].as_py())).tobytes()
+            encode = self.exact if special[i] else self.encode
+            own[i] = array("I", encode(texts[i].as_py())).tobytes()
         ids = np.frombuffer(b"".join([*parts, *own]), "<u4")
         sizes = np.fromiter(map(len, [*parts, *own]), np.int64, len(parts) + len(own)) // 4
         codes = words.astype(np.int64)
@@ -233,13 +263,17 @@ def pack(
     end_id: int = END_ID,
     shard_rows: int = SHARD_ROWS,
     shard_chars: int = SHARD_CHARS,
+    tokenizer_path: str | None = None,
 ) -> DataFrame:
     """Pieces of all documents with their ids (little-endian unsigned 32-bit), see ``PIECES``.
 
     ``ranks_path`` and ``pattern`` name the vocabulary, which every worker
-    must reach. Sequences hold at most ``window`` ids; those shorter than a
-    window have a length that is a power of two.
+    must reach. So does ``tokenizer_path``, the file of a tokenizer with the
+    same vocabulary: texts that hold one of its added tokens get its ids.
+    Without it no string is special. Sequences hold at most ``window`` ids;
+    those shorter than a window have a length that is a power of two.
     """
+    added = added_tokens(tokenizer_path) if tokenizer_path else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -251,7 +285,7 @@ def pack(
         tokens = None
         sequence = TaskContext.get().partitionId() << 33
         for table in blocks(batches, "text", shard_rows, shard_chars):
-            tokens = tokens or Tokens(byte_bpe(ranks_path, pattern))
+            tokens = tokens or Tokens(byte_bpe(ranks_path, pattern), tokenizer_path and by_tokenizer(tokenizer_path), added)
             texts = texts_of(table.column("text"))
             doc_ids = table.column("doc_id").to_pylist()
             bounds, ids, words = tokens(texts)

@@ -27,6 +27,13 @@ def vocabulary() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
 
+def tokenizer_file() -> str:
+    """The tokenizer of this vocabulary, with its added tokens."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 @query
 def op1_licence_scan(spark: SparkSession, folder: str) -> DataFrame:
     found = licences.scan(table(spark, folder, "documents"))
@@ -97,7 +104,7 @@ def op6_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def op7_lexical_packing(spark: SparkSession, folder: str) -> DataFrame:
-    pieces = packing.pack(table(spark, folder, "documents"), *vocabulary())
+    pieces = packing.pack(table(spark, folder, "documents"), *vocabulary(), tokenizer_path=tokenizer_file())
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 

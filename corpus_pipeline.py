@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from casebook.functions.runtime import cut_lineage, table
 from casebook.llm import language, line_dedup, minhash, mixing, packing
-from casebook.llm.queries import vocabulary
+from casebook.llm.queries import tokenizer_file, vocabulary
 
 MIN_LANGUAGE_SCORE = 0.4
 
@@ -52,7 +52,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of training sequences with their ids."""
-    return packing.pack(docs, *vocabulary())
+    return packing.pack(docs, *vocabulary(), tokenizer_path=tokenizer_file())
 
 
 STAGES = [
