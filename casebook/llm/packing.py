@@ -31,7 +31,6 @@ END_ID = 1
 SHARD_ROWS = 1024
 SHARD_CHARS = 3_000_000
 CACHED_WORDS = 150_000
-MAX_SHARE = 0.1
 K1, B = 1.2, 0.75
 # White space before a blank that white space or the end follows: words can't be cut there.
 ODD_BLANKS = r"[\t-\r\x{85}\pZ] ([\t-\r\x{85}\pZ]|\z)"
@@ -105,11 +104,8 @@ class Tokens:
             if word not in self.known:
                 self.known[word] = array("I", self.encode(" " + word)).tobytes()
 
-    def __call__(self, texts: pa.LargeStringArray) -> tuple[np.ndarray, np.ndarray, tuple | None]:
-        """Bounds of each text's ids, the ids (without closing ids), and the texts' words as numbers.
-
-        The words are left out if a text had to be encoded whole.
-        """
+    def __call__(self, texts: pa.LargeStringArray) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray, int]]:
+        """Bounds of each text's ids, the ids (without closing ids), and the texts' words as ``Index`` takes them."""
         odd = np.asarray(pc.match_substring_regex(texts, ODD_BLANKS))
         special = np.zeros(len(texts), bool)
         for token in self.added:
@@ -137,24 +133,30 @@ class Tokens:
         ids = np.frombuffer(b"".join([*parts, *own]), "<u4")
         sizes = np.fromiter(map(len, [*parts, *own]), np.int64, len(parts) + len(own)) // 4
         codes = words.astype(np.int64)
+        # The same words as of coded_words(texts), but each distinct one is cut at white space only once.
+        whole = codes.copy()
+        whole[heads[odd]] = len(distinct) + np.arange(int(odd.sum()))
+        cut, terms, known = coded_words(pa.concat_arrays([coded.dictionary, texts.filter(pa.array(odd))]))
+        runs = np.diff(cut)[whole]
+        found = np.concatenate([[0], np.cumsum(runs)])[bounds], terms[gather(cut[whole], runs)], len(known)
         codes[heads] = len(parts) + np.arange(len(own))
         lengths = sizes[codes]
         total = np.concatenate([[0], np.cumsum(lengths)])
         starts = np.cumsum(sizes) - sizes
-        return total[bounds], ids[gather(starts[codes], lengths)], None if odd.any() else (bounds, words, len(distinct))
+        return total[bounds], ids[gather(starts[codes], lengths)], found
 
 
 class Index:
     """Inverted index of one shard with BM25 weights in its postings."""
 
-    def __init__(self, bounds: np.ndarray, codes: np.ndarray, terms: int, max_share: float = MAX_SHARE):
+    def __init__(self, bounds: np.ndarray, codes: np.ndarray, terms: int, max_share: float = 1.0):
         n, v = len(bounds) - 1, max(1, terms)
         lengths = np.diff(bounds)
         rows = np.repeat(np.arange(n, dtype=np.int64), lengths)
         keys, counts = np.unique(rows * v + codes, return_counts=True)
         row, term = keys // v, keys % v
         df = np.bincount(term, minlength=v)
-        # A word of one document joins nothing; a word of very many tells nothing.
+        # A word of one document joins nothing; frequent ones have a low weight and stay.
         useful = (df >= 2) & (df <= max(2, max_share * n))
         keep = useful[term]
         row, term, counts = row[keep], term[keep], counts[keep]
@@ -169,7 +171,7 @@ class Index:
         self.term_bounds = np.concatenate([[0], np.cumsum(np.bincount(term, minlength=v))])
 
     @classmethod
-    def of(cls, texts: pa.LargeStringArray, max_share: float = MAX_SHARE) -> Index:
+    def of(cls, texts: pa.LargeStringArray, max_share: float = 1.0) -> Index:
         bounds, codes, distinct = coded_words(texts)
         return cls(bounds, codes, len(distinct), max_share)
 
@@ -289,7 +291,7 @@ def pack(
             texts = texts_of(table.column("text"))
             doc_ids = table.column("doc_id").to_pylist()
             bounds, ids, words = tokens(texts)
-            index = Index(*words) if words else Index.of(texts)
+            index = Index(*words)
             lengths = np.diff(bounds) + 1
             # Closing ids go in behind each text's own ids.
             ids = np.insert(ids, bounds[1:], end_id).astype("<u4").tobytes()
