@@ -9,8 +9,11 @@ Texts with equal sets are one class and go on as one representative. A bucket
 links each member to the bucket's centres only, so candidate edges are stars
 and their number stays in proportion to the rows, however full a bucket is.
 Bands differ in how they choose centres. Every candidate is confirmed on the
-full sets. Where a bucket still holds several components, centres are chosen
-again among the components, until a round confirms no more links.
+full sets. A centre is settled then and leaves its bucket. Where a bucket
+still holds several components, centres are chosen again among them. Texts of
+buckets that hold several components after the last round are joined on their
+rarest shingles, which meets every pair that is similar enough, so no bucket
+keeps a pair that is neither confirmed nor ruled out.
 
 Text without words and null text have an empty set, are linked with nothing
 and stay. Rows that repeat an id count as one document for links. Null ids
@@ -25,7 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from casebook.functions.runtime import cut_lineage
 from casebook.llm.arrays import blocks, coded_words, in_batches, texts_of
@@ -227,29 +230,107 @@ def joined_up(grouped: DataFrame | None, links: DataFrame) -> DataFrame:
     return old.unionByName(new)
 
 
-def star_edges(members: DataFrame, turn: int) -> DataFrame:
-    """Edges from bucket members to their bucket's centre in this turn.
+def named(members: DataFrame, grouped: DataFrame | None) -> DataFrame:
+    """Bucket members with their ``component`` so far."""
+    if grouped is None:
+        return members.withColumn("component", F.col("doc_id"))
+    found = grouped.select(F.col("node").alias("doc_id"), "component")
+    return members.join(found, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+
+
+def unsettled(members: DataFrame) -> DataFrame:
+    """The members of buckets that hold several components."""
+    several = members.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y")
+    return members.join(several.select("key"), "key", "left_semi")
+
+
+def centres(members: DataFrame, turn: int) -> DataFrame:
+    """``key`` and ``c``, the centre of each bucket in this turn.
 
     ``members`` has ``key``, ``doc_id``, ``n`` (set size) and ``component``.
     The centre is the member least in a hash of ``turn`` and the band key's
-    class, so bands choose different centres. Members of the centre's own
-    component and pairs whose sizes rule the similarity out give no edge.
+    class, so bands choose different centres.
     """
     lot = F.pmod(F.col("key"), F.lit(CENTRES)) if turn == 0 else F.lit(turn * CENTRES)
     rank = F.xxhash64(F.lit(turn), lot, F.col("component") if turn else F.col("doc_id"))
-    drawn = members.withColumn("rank", rank)
-    centre = drawn.groupBy("key").agg(
-        F.min(F.struct("rank", "doc_id", "n", "component")).alias("c"), F.count(F.lit(1)).alias("size")
-    ).filter("size > 1").select("key", "c")
+    return members.withColumn("rank", rank).groupBy("key").agg(F.min(F.struct("rank", "doc_id", "n", "component")).alias("c"))
+
+
+def star_edges(members: DataFrame, centre: DataFrame) -> DataFrame:
+    """Edges from bucket members to their bucket's centre.
+
+    Members of the centre's own component and pairs whose sizes rule the
+    similarity out give no edge.
+    """
     return (
         members.join(centre, "key")
-        .filter((F.col("component") != F.col("c.component")))
+        .filter(F.col("component") != F.col("c.component"))
         .filter(F.least("n", "c.n") * 100 >= F.greatest("n", "c.n") * PERCENT)
         .select(F.least("doc_id", "c.doc_id").alias("a"), F.greatest("doc_id", "c.doc_id").alias("b"))
         .distinct()
     )
 
 
+def shingle_rows(sets: DataFrame) -> DataFrame:
+    """A row for each shingle of each set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for doc_id, own in zip(batch.column("doc_id"), batch.column("shingles")):
+                tokens = np.frombuffer(own.as_buffer(), np.int64)
+                ids = np.full(len(tokens), doc_id.as_py(), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(tokens)], names=["doc_id", "token"])
+
+    return in_batches(sets.select("doc_id", "shingles")).mapInArrow(run, "doc_id bigint, token bigint")
+
+
+def rare_edges(texts: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Edges between different components that hold every pair that is similar enough.
+
+    ``texts`` has ``doc_id``, ``n`` and ``component``. In one order of all
+    shingles, rare ones first, the first shingle that two sets with ``k`` in
+    common share stands among the first ``n - k + 1`` of each. The larger set
+    of a pair shares at least ``percent`` of its size, the smaller one
+    2 * ``percent`` / (100 + ``percent``) of its own. Pairs within a
+    component are never formed.
+    """
+
+    def up(x: Column, by: int) -> Column:
+        """``x / by``, rounded up, in whole numbers."""
+        return F.floor((x + (by - 1)) / by).cast("bigint")
+
+    rows = cut_lineage(shingle_rows(sets.join(texts.select("doc_id"), "doc_id", "left_semi")))
+    use = rows.groupBy("token").agg(F.count(F.lit(1)).alias("use")).filter("use > 1")
+    ordered = rows.join(use, "token").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("use", "token"))).alias("own"))
+    held = ordered.join(texts, "doc_id").withColumn("alone", F.col("n") - F.size("own"))
+    # Shingles of one set only stand before all others and join nothing.
+    least = up(F.col("n") * percent, 100)
+    first = F.slice("own", 1, F.greatest(F.col("n") - least + 1 - F.col("alone"), F.lit(0)).cast("int"))
+    placed = held.select("doc_id", "n", "component", "alone", F.posexplode(first).alias("i", "t"))
+    larger = cut_lineage(
+        placed.select("doc_id", "n", "component", F.col("t.token").alias("token"), (F.col("alone") + F.col("i") + 1).alias("place"))
+    )
+    smaller = larger.filter(F.col("place") <= F.col("n") - up(F.col("n") * (2 * percent), 100 + percent) + 1)
+
+    def side(of: DataFrame, name: str) -> DataFrame:
+        return of.select("token", *[F.col(c).alias(c + name) for c in ("doc_id", "n", "component", "place")])
+
+    met = (
+        smaller.select("token", F.col("component").alias("component_s")).distinct()
+        .join(larger.select("token", F.col("component").alias("component_l")).distinct(), "token")
+        .filter("component_s <> component_l")
+    )
+    pairs = met.join(side(smaller, "_s"), ["token", "component_s"]).join(side(larger, "_l"), ["token", "component_l"])
+    common = F.least(F.col("n_s") - F.col("place_s"), F.col("n_l") - F.col("place_l")) + 1
+    return (
+        pairs.filter(F.struct("n_s", "doc_id_s") < F.struct("n_l", "doc_id_l"))
+        .filter(F.col("n_s") * 100 >= F.col("n_l") * percent)
+        .filter(common * (100 + percent) >= (F.col("n_s") + F.col("n_l")) * percent)
+        .select(F.least("doc_id_s", "doc_id_l").alias("a"), F.greatest("doc_id_s", "doc_id_l").alias("b"))
+        .distinct()
+    )
+
+
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT
 ) -> DataFrame:
@@ -261,7 +342,7 @@ def near_duplicates(
         .select("r.*", "digest")
     )
     members = classes.select(
-        F.explode("bands").alias("key"), "doc_id", F.col("n_shingles").alias("n"), F.col("doc_id").alias("component")
+        F.explode("bands").alias("key"), "doc_id", F.col("n_shingles").alias("n")
     )
     full = members.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1").select("key")
     members = cut_lineage(members.join(full, "key"))
@@ -269,26 +350,36 @@ def near_duplicates(
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     wanted = texts.join(involved, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     sets = cut_lineage(shingle_sets(wanted, shingle))
-    grouped, tried = None, None
-    for turn in range(MAX_ROUNDS):
-        if grouped is None:
-            current = members
-        else:
-            renamed = grouped.select(F.col("node").alias("doc_id"), F.col("component").alias("found"))
-            current = members.join(renamed, "doc_id", "left").withColumn(
-                "component", F.coalesce("found", "component")
-            ).drop("found")
-        edges = star_edges(current, turn)
-        if tried is not None:
-            edges = edges.join(tried, ["a", "b"], "left_anti")
-        edges = cut_lineage(edges)
+    grouped, tried, left = None, None, members
+
+    def linked(edges: DataFrame) -> bool:
+        """Confirms edges and joins their ends up; whether there were links."""
+        nonlocal grouped, tried
+        edges = cut_lineage(edges if tried is None else edges.join(tried, ["a", "b"], "left_anti"))
         if edges.isEmpty():
-            break
+            return False
         tried = edges if tried is None else tried.unionByName(edges)
         new = cut_lineage(confirmed(edges, sets, percent))
-        if turn >= QUIET_ROUNDS and new.isEmpty():
-            break
+        if new.isEmpty():
+            return False
         grouped = cut_lineage(joined_up(grouped, new))
+        return True
+
+    for turn in range(MAX_ROUNDS):
+        current = named(left, grouped)
+        if turn:
+            current = cut_lineage(unsettled(current))
+            if current.isEmpty():
+                break
+        centre = centres(current, turn)
+        more = linked(star_edges(current, centre))
+        # The centre was compared with all members that its bucket has.
+        left = current.join(centre, "key").filter(F.col("doc_id") != F.col("c.doc_id")).select("key", "doc_id", "n")
+        if turn >= QUIET_ROUNDS and not more:
+            break
+    rest = cut_lineage(unsettled(named(left, grouped)).select("doc_id", "n", "component").distinct())
+    if not rest.isEmpty():
+        linked(rare_edges(rest, sets, percent))
     found = classes.select("digest", F.col("doc_id").alias("node"))
     if grouped is not None:
         found = found.join(grouped, "node", "left")
