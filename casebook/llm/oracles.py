@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from casebook.llm.collocations import ABSORB_PERCENT, MAX_WORDS, MIN_COUNT, TOP
 from casebook.llm.line_dedup import MIN_LINES, MIN_WORDS
 from casebook.llm.mixing import MAX_EPOCHS, SEED, WEIGHTS
 from casebook.llm.quality_rules import STOP_WORDS
@@ -121,4 +122,38 @@ SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(m.least, d.doc
 FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN m ON m.doc_id = d.doc_id
 """
 
-SQL = {"op2_quality_rules": QUALITY, "op4_source_mix": MIX, "op6_line_dedup": LINES, "op9_near_duplicates": NEAR}
+PHRASES = rf"""
+WITH p AS (
+    SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+    FROM documents
+), w AS (
+    SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p
+), t AS (
+    SELECT lang, sum(len(ws))::BIGINT AS n FROM w GROUP BY lang
+), g AS (
+    SELECT lang, k, array_to_string(ws[i:i + k - 1], ' ') AS phrase
+    FROM w, unnest(range(1, {MAX_WORDS} + 1)) s(k), unnest(range(1, len(ws) - k + 2)) u(i)
+), f AS (
+    SELECT lang, k, phrase, count(*)::BIGINT AS a FROM g GROUP BY ALL HAVING count(*) >= {MIN_COUNT}
+), c AS (
+    SELECT lang, k, phrase, a, j, string_split(phrase, ' ') AS ws FROM f, unnest(range(1, k)) u(j)
+), s AS (
+    SELECT c.lang, c.k, c.phrase, c.a, j, x.a AS l, y.a AS r, ((2000000::HUGEINT * c.a) // (x.a::HUGEINT + y.a))::BIGINT AS score
+    FROM c JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(ws[1:j], ' ')
+        JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(ws[j + 1:], ' ')
+    QUALIFY row_number() OVER (PARTITION BY c.lang, c.phrase ORDER BY score, j) = 1
+), o AS (
+    SELECT * FROM s WHERE NOT EXISTS (
+        SELECT 1 FROM f WHERE f.lang = s.lang AND f.k > s.k AND contains(' ' || f.phrase || ' ', ' ' || s.phrase || ' ')
+            AND 100::HUGEINT * f.a >= {ABSORB_PERCENT}::HUGEINT * s.a)
+), r AS (
+    SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM o
+)
+SELECT r.lang, rank, phrase, a, l, r, n, score FROM r JOIN t ON t.lang = r.lang WHERE rank <= {TOP}
+"""
+
+SQL = {
+    "op2_quality_rules": QUALITY, "op4_source_mix": MIX, "op6_line_dedup": LINES, "op9_near_duplicates": NEAR,
+    "op13_collocations": PHRASES,
+}

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from casebook.functions.runtime import table
 from casebook.llm import (
-    cotraining, language, licences, line_dedup, minhash, mixing, nearest, oracles, packing, personal, quality_rules,
+    collocations, cotraining, language, licences, line_dedup, minhash, mixing, nearest, oracles, packing, personal, quality_rules,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -125,3 +125,8 @@ def op9_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op10_nearest(spark: SparkSession, folder: str) -> DataFrame:
     return nearest.nearest(table(spark, folder, "embeddings"), queries=F.col("vec_id") % 20 == 0)
+
+
+@query
+def op13_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.collocations(table(spark, folder, "documents"))
