@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from casebook.functions.runtime import table
 from casebook.llm import (
-    collocations, cotraining, language, licences, line_dedup, minhash, mixing, nearest, oracles, packing, personal, quality_rules,
+    collocations, cotraining, language, licences, line_dedup, minhash, mixing, nearest, oracles, packing, personal, quality_rules, runs,
+    toxicity,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -127,6 +128,52 @@ def op10_nearest(spark: SparkSession, folder: str) -> DataFrame:
     return nearest.nearest(table(spark, folder, "embeddings"), queries=F.col("vec_id") % 20 == 0)
 
 
+@query
+def op11_word_runs(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(h / 10)
+
+    def bound(value, body):
+        """``body`` of a value that is computed once."""
+        return F.get(F.transform(F.array(value), body), F.lit(0))
+
+    def repeated(words):
+        n = F.size(words)
+        place = bound(F.struct((g % n).cast("int").alias("a"), n.alias("n")), lambda x: F.struct(
+            x["a"].alias("a"), (1 + F.floor((x["n"] - x["a"]) / (3 + g % 8))).cast("int").alias("p")
+        ))
+        return bound(F.struct(words.alias("w"), place.alias("at")), lambda x: F.array_join(F.transform(x["w"], lambda word, i: F.when(
+            i < x["at"]["a"], word
+        ).otherwise(F.get(x["w"], x["at"]["a"] + (i - x["at"]["a"]) % x["at"]["p"]))), " "))
+
+    # A tenth of the documents becomes periodic from some word on.
+    periodic = (h % 10 == 0) & F.rlike("text", F.lit(r"[^\x20\x09-\x0D]"))
+    planted = bound(F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(1)), repeated)
+    found = runs.find_runs(docs.withColumn("text", F.when(periodic, planted).otherwise(F.col("text"))), keep=["doc_id"])
+    best = F.array_max(F.transform("runs", lambda r: F.struct(
+        r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period")
+    )))
+    lines = F.transform("runs", lambda r: F.concat(r["start"], F.lit(","), r["length"], F.lit(","), r["period"], F.lit("\n")))
+    return found.withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("bigint").alias("n_runs"),
+        (-F.col("best.start")).alias("start"), F.col("best.length").alias("length"), (-F.col("best.period")).alias("period"),
+        F.expr("(1000 * best.length) div (-best.period)").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+@query
+def op12_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    labels = table(spark, folder, "labels").select("doc_id", F.col("toxic").alias("label"))
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    found = toxicity.toxicity(docs, labels, ~held_out)
+    return found.select(
+        "doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
+    )
+
+
 @query
 def op13_collocations(spark: SparkSession, folder: str) -> DataFrame:
     return collocations.collocations(table(spark, folder, "documents"))

@@ -107,3 +107,47 @@ def targets(sizes, weights=(5, 2, 1), epochs=3):
         if not above:
             return {s: float(epochs * sizes[s]) if s in capped else weight[s] * rest / free for s in sizes}
         capped |= above
+
+
+def word_runs(words, min_words=12):
+    """All maximal repetitions, (start, length, smallest period), by start, then period."""
+    found, n = {}, len(words)
+    for p in range(1, n // 2 + 1):
+        start = 0
+        while start + p < n:
+            end = start
+            while end + p < n and words[end] == words[end + p]:
+                end += 1
+            length = end - start + p
+            if end > start and length >= max(min_words, 2 * p):
+                found.setdefault((start, length), p)
+            start = end + 1
+    return sorted((s, length, p) for (s, length), p in found.items())
+
+
+def collapsed(words, runs):
+    gone = {i for s, length, p in runs for i in range(s + p, s + length)}
+    return " ".join(w for i, w in enumerate(words) if i not in gone)
+
+
+def phrases(docs, min_count=30, max_words=4, top=2000):
+    """(lang, rank, phrase, a, l, r, n, score) of (lang, text) rows."""
+    counts, n, out = defaultdict(Counter), Counter(), []
+    for lang, text in docs:
+        lang = "und" if lang is None else lang
+        for piece in re.split("[.,;:!?\n-\r]", (text or "").translate(LOWER)):
+            words = re.findall("[^ \t]+", piece)
+            n[lang] += len(words)
+            for k in range(1, max_words + 1):
+                counts[lang].update(tuple(words[i : i + k]) for i in range(len(words) - k + 1))
+    for lang, f in counts.items():
+        candidates = {p: a for p, a in f.items() if a >= min_count and len(p) > 1}
+        rows = []
+        for p, a in candidates.items():
+            inside = (q for q in candidates if len(q) > len(p) and any(q[i : i + len(p)] == p for i in range(len(q) - len(p) + 1)))
+            if any(100 * candidates[q] >= 80 * a for q in inside):
+                continue
+            score, k = min((2000000 * a // (f[p[:k]] + f[p[k:]]), k) for k in range(1, len(p)))
+            rows.append((-score, -a, " ".join(p).encode(), f[p[:k]], f[p[k:]]))
+        out += [(lang, i, p.decode(), -a, l, r, n[lang], -s) for i, (s, a, p, l, r) in enumerate(sorted(rows)[:top], 1)]
+    return sorted(out)
