@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
-from casebook.functions.runtime import cut_lineage, join_on
+from casebook.functions.runtime import join_on
 from casebook.functions.text import strip_all_spaces, strip_brackets
+from casebook.functions.tries import Trie
+from casebook.operators.automata import PART_CHARS, SHARD_CHARS, over_automata
 from casebook.operators.ordering import align_union, keep_first
 
 
@@ -93,53 +97,28 @@ def spacing_rule_match(names: DataFrame, name: str, targets: DataFrame, target:
     return out.select(name, rule.alias("rule"))
 
 
-ANCHOR = 6
-
-
-def _anchored(words: DataFrame, name: str) -> DataFrame:
-    """Each name with the one of its pieces that the fewest names hold.
+def containment_join(
+    texts: DataFrame, text: str, names: DataFrame, name: str, shard_chars: int = SHARD_CHARS, part_chars: int = PART_CHARS
+) -> DataFrame:
+    """One row per (text row, name) whose text holds the name.
 
-    Pieces have ``ANCHOR`` characters; those of shorter names have as many as
-    the shortest name, so that texts are cut in two lengths at most.
+    An automaton finds all names in one pass over a text, whatever their
+    number; ``over_automata`` says how long lists are dealt. Equal names count
+    once; null and empty names and null texts match nothing.
     """
-    shortest = words.agg(F.min(F.length(name))).first()[0] or 1
-    width = F.when(F.length(name) >= ANCHOR, F.lit(ANCHOR)).otherwise(F.lit(shortest))
-    pieces = words.withColumn("_width", width).withColumn(
-        "_piece",
-        F.explode(F.array_distinct(F.transform(
-            F.sequence(F.lit(1), F.length(name) - F.col("_width") + 1), lambda i: F.substring(name, i, F.col("_width"))
-        ))),
-    )
-    use = pieces.groupBy("_piece").agg(F.count(F.lit(1)).alias("_use"))
-    ranked = pieces.join(use, "_piece")
-    return ranked.groupBy(name).agg(F.min_by("_piece", F.struct("_use", "_piece")).alias("_piece"))
+    words = names.select(F.col(name).alias("_w")).filter(F.coalesce(name, F.lit("")) != "").distinct()
+    schema = T.StructType([*texts.schema.fields, T.StructField(name, T.StringType())])
 
+    def find(table: pa.Table, automaton) -> pa.Table:
+        rows, found = [], []
+        for i, value in enumerate(table.column(text).to_pylist()):
+            hits = sorted({word for _, word in automaton.iter(value)})
+            rows += [i] * len(hits)
+            found += hits
+        return table.take(pa.array(rows, pa.int64())).append_column(name, pa.array(found, pa.string()))
 
-def containment_join(texts: DataFrame, text: str, names: DataFrame, name: str) -> DataFrame:
-    """One row per (text row, name) whose text holds the name.
-
-    Every name has one anchor, its rarest piece of fixed length. The distinct
-    pieces of the texts meet the anchors in an equi-join, and only the names
-    behind a shared anchor are looked for in the text. One way for any number
-    of names; neither side passes through the driver. Equal texts are
-    searched once. Null and empty names match nothing.
-    """
-    words = names.select(F.col(name)).filter(F.coalesce(F.col(name), F.lit("")) != "").distinct()
-    anchors = _anchored(words, name)
-    usable = texts.filter(F.col(text).isNotNull()).withColumn("_key", F.sha2(text, 256))
-    distinct = usable.select("_key", F.col(text).alias("_text")).dropDuplicates(["_key"])
-    # The lengths of anchors: two numbers at most.
-    widths = sorted(r[0] for r in anchors.select(F.length("_piece")).distinct().collect())
-    if not widths:
-        return texts.withColumn(name, F.lit(None).cast("string")).filter(F.lit(False))
-    per_width = [
-        F.when(F.length("_text") >= w, F.regexp_extract_all("_text", F.lit(f"(?s)(?=(.{{{w}}}))"), F.lit(1))).otherwise(F.array())
-        for w in widths
-    ]
-    pieces = distinct.select("_key", F.explode(F.array_distinct(F.concat(*per_width))).alias("_piece"))
-    candidates = pieces.join(anchors, "_piece").select("_key", name)
-    found = candidates.join(distinct, "_key").filter(F.col("_text").contains(F.col(name))).select("_key", name)
-    return usable.join(found, "_key").select(*texts.columns, name)
+    usable = texts.filter(F.col(text).isNotNull())
+    return over_automata(usable, text, words.withColumn("_v", F.col("_w")), find, schema, shard_chars, part_chars)[0]
 
 
 def keyword_lookup(df: DataFrame, col: str, word: str, limit: int = 100) -> DataFrame:
@@ -160,12 +139,52 @@ def membership_flag(df: DataFrame, keys: DataFrame, on: Sequence[str], flag: str
     return df.join(marked, list(on), "left").withColumn(flag, F.coalesce("_in", F.lit(0))).drop("_in")
 
 
+MAX_FILTER_BITS = 20
+PROBES = (1, 2)
+
+
+def maybe_wanted(wanted: DataFrame, key: str, max_bits: int = MAX_FILTER_BITS) -> Column:
+    """A test that holds for every id in ``wanted`` and for few others: a range and a Bloom filter.
+
+    The filter is built where the ids are, in pieces of fixed size, and has
+    16 bits an id, at most ``2 ** max_bits`` in all (128 KiB): more ids only
+    let more others through. Both parts are built-in expressions, so the test
+    is part of the scan, and files outside the range are skipped.
+    """
+    n, low, high = wanted.agg(F.count(key), F.min(key), F.max(key)).first()
+    if not n:
+        return F.lit(False)
+    bits = min(max_bits, max(15, (16 * n).bit_length()))
+
+    def place(probe: int) -> Column:
+        return F.pmod(F.xxhash64(F.col(key), F.lit(probe)), F.lit(1 << bits))
+
+    placed = wanted.filter(F.col(key).isNotNull()).select(F.explode(F.array(*[place(p) for p in PROBES])).alias("_p"))
+    pieces = placed.groupBy(F.shiftright("_p", 15).alias("_at")).agg(F.bitmap_construct_agg(F.col("_p").bitwiseAND(F.lit((1 << 15) - 1))).alias("_b"))
+    bitmap = bytearray(1 << (bits - 3))
+    # At most 2 ** (max_bits - 15) pieces of 4 KiB.
+    for r in pieces.collect():
+        bitmap[r["_at"] << 12 : (r["_at"] + 1) << 12] = r["_b"]
+    held = F.lit(bitmap)
+
+    def hit(probe: int) -> Column:
+        byte = F.substring(held, (F.shiftright(place(probe), 3) + 1).cast("int"), F.lit(1))
+        return F.getbit(F.conv(F.hex(byte), 16, 10).cast("int"), place(probe).bitwiseAND(F.lit(7)).cast("int")) == 1
+
+    test = F.col(key).between(F.lit(low), F.lit(high))
+    for probe in PROBES:
+        test = test & hit(probe)
+    return test
+
+
 def lookup_features(targets: DataFrame, facts: DataFrame, key: str, cols: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Every target id with the features of its first fact row.
 
-    The facts are cut to the wanted ids before anything else is done with them.
+    The facts are cut to the wanted ids before anything else is done with
+    them: in the scan to about those, then by a semi join to exactly those.
     """
-    wanted = facts.select(key, *cols, *[o for o in order if o not in cols]).join(targets.select(key), key, "left_semi")
+    likely = facts.filter(maybe_wanted(targets.select(key), key))
+    wanted = likely.select(key, *cols, *[o for o in order if o not in cols]).join(targets.select(key), key, "left_semi")
     return targets.join(keep_first(wanted, [key], order).select(key, *cols), key, "left")
 
 
@@ -175,24 +194,6 @@ def name_similarity(a: Column, b: Column) -> Column:
     return F.when(longer > 0, 1 - F.levenshtein(a, b) / longer).otherwise(F.lit(1.0))
 
 
-def _deletions(word: Column, edits: int) -> Column:
-    """The word and all it can become by dropping up to ``edits`` characters."""
-    out = F.array(word)
-    for _ in range(edits):
-        out = F.array_distinct(F.concat(out, F.flatten(F.transform(out, lambda w: F.transform(
-            F.when(F.length(w) > 0, F.sequence(F.lit(1), F.length(w))).otherwise(F.array().cast("array<int>")),
-            lambda i: F.concat(F.substring(w, F.lit(1), i - 1), F.substring(w, i + 1, F.length(w))),
-        )))))
-    return out
-
-
-def _close_pairs(a: DataFrame, name: str, b: DataFrame, target: str, edits: int) -> DataFrame:
-    """Pairs that include all within ``edits`` edits: dropping as many characters makes them equal."""
-    left = a.select(name, F.explode(_deletions(F.col(name), edits)).alias("_d"))
-    right = b.select(target, F.explode(_deletions(F.col(target), edits)).alias("_d"))
-    return left.join(right, "_d").select(name, target).distinct()
-
-
 def _rare_gram_pairs(a: DataFrame, name: str, b: DataFrame, target: str, threshold: float) -> DataFrame:
     """Pairs that include all at or above ``threshold``.
 
@@ -227,40 +228,106 @@ def _rare_gram_pairs(a: DataFrame, name: str, b: DataFrame, target: str, thresho
 
     def prefix(tokened: DataFrame, col: str) -> DataFrame:
         own = W.partitionBy(col, "_q")
-        ranked = tokened.join(use, key).withColumn("_rn", F.row_number().over(own.orderBy("_use", "_g", "_nth"))).withColumn(
+        ranked = tokened.join(use.hint("merge"), key).withColumn("_rn", F.row_number().over(own.orderBy("_use", "_g", "_nth"))).withColumn(
             "_all", F.count(F.lit(1)).over(own)
         )
         return ranked.filter(F.col("_rn") <= F.col("_all") - F.col("_need") + 1).select(col, *key)
 
-    return prefix(left, name).join(prefix(right, target), key).select(name, target).distinct()
+    # Exploded grams are more than Spark estimates: never broadcast.
+    return prefix(left, name).join(prefix(right, target).hint("merge"), key).select(name, target).distinct()
 
 
-def _best(pairs: DataFrame, name: str, target: str, threshold: float) -> DataFrame:
-    """(name, target, score): the best pair of each name, ties to the target first in order."""
-    scored = pairs.filter(F.col(name) != F.col(target)).withColumn("score", name_similarity(F.col(name), F.col(target)))
-    best = scored.filter(F.col("score") >= threshold - 1e-9).groupBy(name).agg(
-        F.min_by(F.struct(target, "score"), F.struct((-F.col("score")).alias("s"), F.col(target))).alias("_b")
-    )
-    return best.select(name, F.col(f"_b.{target}").alias(target), F.col("_b.score").alias("score"))
+# Targets of one trie, in cells of its matrix, and names that one task walks through it at a time.
+TRIE_CELLS = 4_000_000
+NAMES_PER_TASK = 500
+
 
+def _best_in_trie(names: list[str], targets: list[str], threshold: float) -> tuple[list[int], list[str], list[float]]:
+    """For each name that has one the best target in a trie: number of the name, target, score.
 
-def fuzzy_best_match(names: DataFrame, name: str, targets: DataFrame, target: str, threshold: float = 0.75) -> DataFrame:
+    Names walk the trie with one edit allowed, then two, four and so on. A
+    name is settled once no target with more edits can beat what it has, or
+    could reach the threshold.
+    """
+    trie = Trie(targets)
+    sizes = np.array([len(w) for w in trie.words], np.int64)
+    lengths = np.array([len(n) for n in names], np.int64)
+    most = np.floor((1 - threshold) * lengths / threshold + 1e-9)
+    score, word = np.full(len(names), -1.0), np.full(len(names), -1, np.int64)
+    left, edits = np.flatnonzero(most >= 1), 1
+    while len(left):
+        own, hit, d = trie.within([names[i] for i in left], edits)
+        real = d > 0
+        own, hit, d = left[own[real]], hit[real], d[real]
+        reached = 1 - d / np.maximum(lengths[own], sizes[hit])
+        enough = reached >= threshold - 1e-9
+        own, hit, reached = own[enough], hit[enough], reached[enough]
+        order = np.lexsort((hit, -reached, own))
+        own, hit, reached = own[order], hit[order], reached[order]
+        first = np.ones(len(own), bool)
+        first[1:] = own[1:] != own[:-1]
+        score[own[first]], word[own[first]] = reached[first], hit[first]
+        # The best score with more edits: the longer word is as long as it can be.
+        beyond = 1 - (edits + 1) / (lengths[left] + edits + 1)
+        left = left[(most[left] > edits) & (score[left] <= beyond + 1e-9)]
+        edits *= 2
+    found = np.flatnonzero(word >= 0)
+    return found.tolist(), [trie.words[i] for i in word[found]], score[found].tolist()
+
+
+def fuzzy_best_match(
+    names: DataFrame, name: str, targets: DataFrame, target: str, threshold: float = 0.75,
+    trie_cells: int = TRIE_CELLS, names_per_task: int = NAMES_PER_TASK,
+) -> DataFrame:
     """For each distinct name the most similar other target at or above ``threshold``.
 
-    Near ones first: pairs within one edit, then within two, come from equal
-    deletions. A name is settled once no pair with more edits can beat what it
-    has; only the others are searched with rare grams. No pair is lost, and
-    names that differ in a running number never meet all others.
+    Similarity is 1 - edit distance / longer length; ties go to the target
+    first in order. Targets are dealt by length into tries of bounded size,
+    which Levenshtein automata of the names walk. A name visits the tries
+    whose lengths can reach the threshold, and names are dealt over tasks, so
+    neither list has to fit anywhere whole. No pair is lost. Null and empty
+    names match nothing.
     """
-    left = cut_lineage(names.select(F.col(name)).filter(F.col(name) != "").distinct())
-    right = cut_lineage(targets.select(F.col(target)).filter(F.col(target) != "").distinct())
-    settled = []
-    for edits in (1, 2):
-        found = cut_lineage(_best(_close_pairs(left, name, right, target, edits), name, target, threshold))
-        # With more edits the score is at most this, the longer word being as long as it can.
-        limit = 1 - F.lit(edits + 1) / (F.length(name) + edits + 1)
-        sure = found.filter(F.col("score") > limit + 1e-9)
-        settled.append(sure)
-        left = cut_lineage(left.join(sure, name, "left_anti"))
-    settled.append(_best(_rare_gram_pairs(left, name, right, target, threshold), name, target, threshold))
-    return align_union(settled).withColumn("score", F.round("score", 6))
+    if not 0 < threshold <= 1:
+        raise ValueError("threshold must be above 0 and at most 1")
+    wanted = names.select(F.col(name)).filter(F.col(name) != "").distinct()
+    known = targets.select(F.col(target)).filter(F.col(target) != "").distinct()
+
+    def band(length: Column) -> Column:
+        return F.floor(F.log2(length.cast("double")) + 1e-9).cast("int")
+
+    n = F.length(name)
+    low, high = F.ceil(n * threshold - 1e-9), F.floor(n / threshold + 1e-9)
+    visits = wanted.withColumn("_band", F.explode(F.sequence(band(F.greatest(low, F.lit(1))), band(high))))
+    shelved = known.withColumn("_band", band(F.length(target)))
+    # One row a band, and bands are powers of two.
+    cells = {r["_band"]: r["c"] for r in shelved.groupBy("_band").agg((F.count(F.lit(1)) * F.max(F.length(target))).alias("c")).collect()}
+    callers = {r["_band"]: r["count"] for r in visits.groupBy("_band").count().collect()}
+    used = sorted(set(cells) & set(callers))
+    schema = T.StructType([wanted.schema[name], known.schema[target], T.StructField("score", T.DoubleType())])
+    if not used:
+        return names.sparkSession.createDataFrame([], schema)
+
+    def number(sizes: dict, limit: int) -> Column:
+        counts = F.create_map(*[F.lit(x) for b in used for x in (b, -(-sizes[b] // limit))])
+        return F.element_at(counts, F.col("_band"))
+
+    def dealt(rows: DataFrame, column: str, own: str, own_n: Column, other: str, other_n: Column) -> DataFrame:
+        rows = rows.filter(F.col("_band").isin(used)).withColumn(own, F.pmod(F.xxhash64(column), own_n.cast("bigint")).cast("int"))
+        return rows.withColumn(other, F.explode(F.sequence(F.lit(0), (other_n - 1).cast("int"))))
+
+    tries, tasks = number(cells, trie_cells), number(callers, names_per_task)
+    key = ["_band", "_trie", "_task"]
+    # The number of partitions is fixed: few bytes here mean much work.
+    fan = int(names.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    left = dealt(visits, name, "_task", tasks, "_trie", tries).repartition(fan, *key)
+    right = dealt(shelved, target, "_trie", tries, "_task", tasks).repartition(fan, *key)
+
+    def walk(own: pa.Table, listed: pa.Table) -> pa.Table:
+        asked = own.column(name).to_pylist()
+        rows, best, score = _best_in_trie(asked, listed.column(target).to_pylist(), threshold)
+        return pa.table([pa.array([asked[i] for i in rows], pa.string()), pa.array(best, pa.string()), pa.array(score, pa.float64())], names=[name, target, "score"])
+
+    found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(walk, schema)
+    best = found.groupBy(name).agg(F.min_by(F.struct(target, "score"), F.struct((-F.col("score")).alias("s"), F.col(target))).alias("_b"))
+    return best.select(name, F.col(f"_b.{target}").alias(target), F.round("_b.score", 6).alias("score"))

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import heapq
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from casebook.functions.ranking import numbered, values_at_ranks
+from casebook.functions.runtime import settle
 
 
 def keep_first(
@@ -100,3 +103,29 @@ def pack_blocks(df: DataFrame, block: str, bins: int = 20) -> DataFrame:
     turn = (F.col("_r") - 1) % (2 * bins)
     placed = ranked.select(block, F.when(turn < bins, turn).otherwise(2 * bins - 1 - turn).cast("int").alias("bin"))
     return df.join(placed, block)
+
+
+def least_loaded_blocks(df: DataFrame, block: str, bins: int = 20) -> DataFrame:
+    """Assign whole blocks to bins: in the order of their names, each to the least-loaded bin.
+
+    Of equally loaded bins the first one gets the block. Each choice depends
+    on all earlier ones, so one task passes over the counts, one row a block,
+    in order; it holds the loads of the bins in a priority queue and nothing
+    else. Rows without a block are left out. The rows themselves are shuffled
+    only where there are too many blocks to broadcast their bins.
+    """
+    sizes = df.filter(F.col(block).isNotNull()).groupBy(block).agg(F.count(F.lit(1)).alias("_n"))
+    schema = T.StructType([sizes.schema[block], T.StructField("bin", T.IntegerType())])
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        loads = [(0, b) for b in range(bins)]
+        for batch in batches:
+            chosen = []
+            for n in batch.column("_n").to_pylist():
+                load, least = loads[0]
+                heapq.heapreplace(loads, (load + n, least))
+                chosen.append(least)
+            yield pa.record_batch([batch.column(block), pa.array(chosen, pa.int32())], names=[block, "bin"])
+
+    placed = sizes.repartition(1).sortWithinPartitions(block).mapInArrow(deal, schema)
+    return df.join(settle(placed), block)

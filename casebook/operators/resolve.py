@@ -75,11 +75,12 @@ def resolve_names(
         entries.withColumn("_name", F.explode(_substrings(F.col("entry"), _range_to_longest(entries, "entry"))))
         .groupBy("_name")
         .agg(F.min_by("code", "ord").alias("_c4"))
-        .join(plain, "_name")
+        # Exploded pieces are more than Spark estimates: never broadcast.
+        .join(plain.hint("merge"), "_name")
     )
     holds_entry = (
         plain.withColumn("entry", F.explode(_substrings(F.col("_name"), _lengths(entries, "entry"))))
-        .join(entries, "entry")
+        .join(entries.hint("merge"), "entry")
         .groupBy("_name")
         .agg(F.min_by(F.struct("entry", "code"), "ord").alias("_r5"))
     )

@@ -78,6 +78,22 @@ def _(spark, folder):
     return docs.groupBy("source", "bin").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(
+    "least_loaded_blocks",
+    "W6",
+    """WITH RECURSIVE s AS (SELECT o_custkey, count(*) AS n, row_number() OVER (ORDER BY o_custkey) AS i FROM orders GROUP BY 1),
+        d AS (SELECT 0::BIGINT AS i, NULL::BIGINT AS o_custkey, 0 AS bin, 0::BIGINT AS n, list_resize([]::BIGINT[], 20, 0) AS loads
+              UNION ALL
+              SELECT s.i, s.o_custkey, list_position(d.loads, list_min(d.loads)) - 1, s.n, list_transform(d.loads, lambda x, k:
+                CASE WHEN k = list_position(d.loads, list_min(d.loads)) THEN x + s.n ELSE x END)
+              FROM d JOIN s ON s.i = d.i + 1)
+       SELECT o_custkey, bin::INT AS bin, n FROM d WHERE i > 0""",
+)
+def _(spark, folder):
+    orders = O.least_loaded_blocks(table(spark, folder, "orders").select("o_custkey"), "o_custkey")
+    return orders.groupBy("o_custkey", "bin").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query(
     "first_and_last_date",
     "W8 A11",

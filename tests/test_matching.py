@@ -22,6 +22,27 @@ def test_overwrite_uses_the_last_update_even_if_null(spark):
     assert got == {1: "y", 2: "b", 3: None}
 
 
+@pytest.mark.parametrize("kind", ["bigint", "string"])
+def test_scan_is_cut_to_about_the_wanted_ids(spark, tmp_path, kind):
+    """Every wanted id passes, few others do, the range is pushed down, and the whole test is built-in."""
+    facts = spark.range(200_000).select(F.col("id").cast(kind).alias("k"), (F.col("id") % 7).alias("v"))
+    facts.write.parquet(f"{tmp_path}/facts")
+    facts = spark.read.parquet(f"{tmp_path}/facts")
+    wanted = spark.range(50_000, 150_000, 97).select(F.col("id").cast(kind).alias("k")).unionByName(spark.createDataFrame([(None,), ("-5",)], "k string").select(F.col("k").cast(kind)))
+    passed = facts.filter(J.maybe_wanted(wanted, "k"))
+    n = wanted.filter("k IS NOT NULL").count() - 1
+    assert passed.join(wanted, "k", "left_semi").count() == n
+    assert passed.count() <= n + 0.05 * 200_000
+    plan = passed._jdf.queryExecution().toString()
+    assert "GreaterThanOrEqual(k" in plan and "Python" not in plan
+    crowded = facts.filter(J.maybe_wanted(wanted, "k", 15))
+    assert crowded.join(wanted, "k", "left_semi").count() == n
+    got = J.lookup_features(wanted, facts, "k", ["v"], ["v"])
+    assert got.count() == n + 2 and got.filter("v IS NULL").count() == 2
+    none = wanted.limit(0)
+    assert J.lookup_features(none, facts, "k", ["v"], ["v"]).count() == 0
+
+
 def test_brackets_in_both_widths(spark):
     names = spark.createDataFrame([("甲公司（北京）",), ("乙 (x)  公司",), ("丙",), ("丁",), (None,)], "n string")
     targets = spark.createDataFrame([("甲公司",), ("乙 公司",), ("丙",), (None,)], "t string")
@@ -39,6 +60,42 @@ def test_containment(spark):
     assert got == sorted((i, n) for i, t in texts if t for n in set(filter(None, names)) if n in t)
 
 
+@pytest.mark.parametrize(("shard_chars", "part_chars"), [(J.SHARD_CHARS, J.PART_CHARS), (40, J.PART_CHARS), (7, 200)])
+def test_containment_over_shards_and_parts(spark, shard_chars, part_chars):
+    """One broadcast automaton, several shards, several shards and parts: the same rows, columns and copies."""
+    rnd = random.Random(9)
+    texts = [(i // 2, "".join(rnd.choice("ab公\U0001f600 ") for _ in range(rnd.randint(0, 60))), i) for i in range(60)] + [(1, None, 0), (2, "ab" * 4000, 1)]
+    names = {"".join(rnd.choice("ab公\U0001f600") for _ in range(rnd.randint(1, 4))) for _ in range(40)}
+    df = spark.createDataFrame(texts + texts[:9], "id int, t string, k int").repartition(3)
+    listed = spark.createDataFrame([(n,) for n in [*names, *names, "", None]], "n string")
+    found = J.containment_join(df, "t", listed, "n", shard_chars, part_chars)
+    assert found.columns == ["id", "t", "k", "n"]
+    assert sorted(map(tuple, found.collect())) == sorted((i, t, k, n) for i, t, k in texts + texts[:9] if t for n in names if n in t)
+    none = spark.createDataFrame([], "n string")
+    assert J.containment_join(df, "t", none, "n", shard_chars, part_chars).count() == 0
+    assert J.containment_join(df.limit(0), "t", listed, "n", shard_chars, part_chars).count() == 0
+
+
+@pytest.mark.parametrize(("threshold", "cells", "per_task"), [(0.75, J.TRIE_CELLS, J.NAMES_PER_TASK), (0.6, 40, 3), (0.34, 500, 20), (0.9, 100, 7)])
+def test_fuzzy_best_match_in_small_tries(spark, threshold, cells, per_task):
+    from tests.test_near_dup import slow
+
+    rnd = random.Random(int(threshold * 100))
+    base = ["".join(rnd.choice("abc公") for _ in range(rnd.choice([1, 2, 5, 9, 17, 30]))) for _ in range(45)]
+    words = base + ["".join(c for c in b if rnd.random() > 0.15) + rnd.choice(["", "x"]) for b in base] + [f"firm {i:03d}" for i in range(30)]
+    targets = rnd.sample(words, 90) + [None, ""]
+    best = {}
+    for n in {w for w in words if w}:
+        scored = [(round(slow(n, t) / max(len(n), len(t)), 9), t) for t in set(targets) - {None, "", n}]
+        scored = [x for x in scored if 1 - x[0] >= threshold - 1e-9]
+        if scored:
+            best[n] = min(scored)[1]
+    a = spark.createDataFrame([(n,) for n in words + [None, ""]], "n string")
+    b = spark.createDataFrame([(t,) for t in targets], "t string")
+    got = J.fuzzy_best_match(a, "n", b, "t", threshold, cells, per_task).collect()
+    assert {r["n"]: r["t"] for r in got} == best and len(got) == len(best)
+
+
 def test_fuzzy_best_match_equals_brute_force(spark):
     from tests.test_near_dup import slow
 
@@ -107,6 +164,24 @@ def test_blocks_are_dealt_by_size(spark):
     assert got == {"a": 0, "e": 1, "b": 1, "c": 0, "d": 0}
 
 
+@pytest.mark.parametrize("bins", [1, 3, 20])
+def test_blocks_go_to_the_least_loaded_bin(spark, bins):
+    """The rule in plain Python: names in order, always the first of the emptiest bins."""
+    rnd = random.Random(bins)
+    names = [rnd.choice("abé公") + str(i) for i in range(70)]
+    sizes = {n: rnd.choice([1, 1, 2, 5, 400]) for n in names}
+    rows = [(n, i) for n, size in sizes.items() for i in range(size)] + [(None, 1)] * 30
+    rnd.shuffle(rows)
+    loads, want = [0] * bins, {}
+    for n in sorted(sizes):
+        want[n] = loads.index(min(loads))
+        loads[want[n]] += sizes[n]
+    got = O.least_loaded_blocks(spark.createDataFrame(rows, "b string, v int").repartition(5), "b", bins).collect()
+    assert len(got) == sum(sizes.values()) and {(r["b"], r["bin"]) for r in got} == set(want.items())
+    empty = spark.createDataFrame([], "b string")
+    assert O.least_loaded_blocks(empty, "b", bins).count() == 0
+
+
 def test_parts_have_the_exact_ceiling_size(spark):
     df = spark.range(10).repartition(4)
     sizes = {r["part"]: r["count"] for r in O.contiguous_parts(df, ["id"], 4).groupBy("part").count().collect()}
