@@ -202,7 +202,8 @@ def _(spark, folder):
 
 
 # No SQL for the pairs: its edit distance is too slow on whole texts and counts
-# bytes. The tests compare them with brute force on a small table.
+# bytes. The tests compare them with brute force on a small table, and addresses
+# of pages go the same ways with SQL.
 
 
 def _pairs(spark, folder):
@@ -218,7 +219,7 @@ def _(spark, folder):
 @query("suspicious_pairs", "J16")
 def _(spark, folder):
     times = table(spark, folder, "events").select(F.col("event_id").alias("doc_id"), "ts")
-    close = N.suspicious_pairs(_pairs(spark, folder), times, "doc_id", "ts", 1)
+    close = N.suspicious_members(_pairs(spark, folder), times, "doc_id", "ts", 1)
     return close.select("lang", "id_1", "id_2", F.round("similarity", 6).alias("similarity"), "gap_days")
 
 
@@ -226,7 +227,7 @@ def _(spark, folder):
 def _(spark, folder):
     docs = table(spark, folder, "documents").select("doc_id", "source")
     times = table(spark, folder, "events").select(F.col("event_id").alias("doc_id"), "ts")
-    members = N.pair_members(N.suspicious_pairs(_pairs(spark, folder), times, "doc_id", "ts"))
+    members = N.pair_members(N.suspicious_members(_pairs(spark, folder), times, "doc_id", "ts"))
     return J.not_in(docs, members.withColumnRenamed("id", "doc_id"), ["doc_id"])
 
 
@@ -268,6 +269,48 @@ def _(spark, folder):
     return close.select("host", "id_1", "id_2", "gap_days")
 
 
+# Copies of an address keep their own days: per member and linked address the
+# partner after it with the least day, and the one before it with the greatest.
+MEMBERS_SQL = f"""{PAGES_SQL},
+        c AS (SELECT r.id, r.day, f.id AS class FROM r JOIN f ON f.host = r.host AND f.url = r.url),
+        k AS (SELECT host, id_1 AS a, id_2 AS b, similarity FROM p WHERE similarity >= 90
+              UNION ALL SELECT host, id_2, id_1, similarity FROM p WHERE similarity >= 90
+              UNION ALL SELECT f.host, f.id, f.id, 100.0 FROM f),
+        m AS (SELECT k.host, k.similarity, k.a, k.b, x.id AS x, x.day AS dx, y.id AS y, y.day AS dy
+              FROM k JOIN c x ON x.class = k.a JOIN c y ON y.class = k.b AND y.id <> x.id),
+        n AS (SELECT * FROM (SELECT host, similarity, x AS id_1, y AS id_2, dy - dx AS gap, row_number() OVER (PARTITION BY a, b, x ORDER BY dy, y) AS rn
+                FROM m WHERE y > x) WHERE rn = 1
+              UNION ALL
+              SELECT * FROM (SELECT host, similarity, y, x, dx - dy, row_number() OVER (PARTITION BY a, b, x ORDER BY dy DESC, y DESC) AS rn
+                FROM m WHERE y < x) WHERE rn = 1),
+        w AS (SELECT DISTINCT host, id_1, id_2, similarity, gap FROM n WHERE gap < 90)"""
+
+
+def _address_members(spark, folder):
+    rows = _addresses(spark, folder)
+    return N.suspicious_members(N.near_duplicates(rows, "id", "host", "url"), rows, "id", "day")
+
+
+@query(
+    "suspicious_address_copies",
+    "J16",
+    f"WITH {MEMBERS_SQL} SELECT host, id_1, id_2, round(similarity, 6) AS similarity, gap::BIGINT AS gap_days FROM w",
+)
+def _(spark, folder):
+    close = _address_members(spark, folder)
+    return close.select("host", "id_1", "id_2", F.round("similarity", 6).alias("similarity"), "gap_days")
+
+
+@query(
+    "pages_without_suspicion",
+    "J16 J4",
+    f"WITH {MEMBERS_SQL} SELECT id, host FROM r WHERE id NOT IN (SELECT id_1 FROM w) AND id NOT IN (SELECT id_2 FROM w)",
+)
+def _(spark, folder):
+    members = N.pair_members(_address_members(spark, folder))
+    return J.not_in(_addresses(spark, folder).select("id", "host"), members, ["id"])
+
+
 @query(
     "addresses_without_suspicion",
     "W1 J15 J16 J4",

@@ -98,3 +98,48 @@ def test_a_threshold_that_binds_nothing_is_refused(spark, hot_rows):
     df = spark.createDataFrame([(1, "x", "t")], "id bigint, b string, t string")
     with pytest.raises(ValueError):
         N.near_duplicates(df, "id", "b", "t", 50, metric="indel", hot_rows=hot_rows)
+
+
+def test_copies_keep_their_own_days(spark):
+    """Equal texts 1 and 2 a year apart, near copy 3 days after 2: the pair is (2, 3)."""
+    text = "the quick brown fox jumps over the lazy dog again"
+    rows = [(1, "x", text), (2, "x", text), (3, "x", text[:-1] + "m"), (4, "x", "something else altogether, much longer than the others")]
+    days = {1: (2020, 1, 1), 2: (2021, 1, 1), 3: (2021, 1, 5), 4: (2021, 1, 5)}
+    facts = spark.createDataFrame([(i, datetime.datetime(*d)) for i, d in days.items()], "id long, at timestamp_ntz")
+    pairs = N.near_duplicates(spark.createDataFrame(rows, "id long, b string, t string"), "id", "b", "t")
+    for both in (False, True):
+        got = N.suspicious_members(pairs, facts, "id", "at", abs_days=both).collect()
+        assert [(r.b, r.id_1, r.id_2, r.gap_days) for r in got] == [("x", 2, 3, 4)]
+        assert got[0].time_2 == datetime.datetime(2021, 1, 5)
+
+
+@pytest.mark.parametrize("abs_days", [False, True])
+@pytest.mark.parametrize("rows_per_bucket", [10**6, 7])
+def test_members_are_those_of_all_pairs(spark, abs_days, rows_per_bucket):
+    """Against all pairs of copies: no member is lost, every row is such a pair, partners are the nearest ones."""
+    rnd = random.Random(3)
+    texts = ["complaint about the app %s, money not returned" % x for x in ("one", "two", "too", "old")] + ["a wholly different text", None]
+    rows = [(i, rnd.choice("xxy"), rnd.choice(texts)) for i in range(160)]
+    start = datetime.datetime(2020, 1, 1)
+    at = {i: start + datetime.timedelta(hours=rnd.randrange(24 * 900)) for i, _, _ in rows if i % 9}
+    facts = spark.createDataFrame([*at.items(), (5, start + datetime.timedelta(days=5000)), (7, None)], "id long, at timestamp_ntz")
+    pairs = N.near_duplicates(spark.createDataFrame(rows, "id long, b string, t string"), "id", "b", "t")
+    got = N.suspicious_members(pairs, facts, "id", "at", 20, abs_days=abs_days, rows_per_bucket=rows_per_bucket).collect()
+    assert len(got) == len({(r.id_1, r.id_2) for r in got})
+
+    def gap(x, y):
+        days = (at[y] - at[x]).days
+        return (abs(at[y] - at[x])).days if abs_days else days
+
+    every = {}
+    for i, b, t in rows:
+        for j, c, u in rows:
+            if i < j and b == c and None not in (t, u) and i in at and j in at:
+                similarity = 100.0 * (1 - slow(t, u) / max(len(t), len(u)))
+                if similarity >= 90 and gap(i, j) < 20:
+                    every[i, j] = (b, similarity, gap(i, j))
+    for r in got:
+        b, similarity, days = every[r.id_1, r.id_2]
+        assert (r.b, r.gap_days) == (b, days) and abs(r.similarity - similarity) < 1e-9
+    assert {i for r in got for i in (r.id_1, r.id_2)} == {i for p in every for i in p}
+    assert len(got) < len(every)
