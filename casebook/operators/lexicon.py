@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+import math
+import re
+from collections.abc import Iterable, Iterator, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from casebook.functions.ranking import running_total, seeded_key
 from casebook.functions.runtime import join_on
 from casebook.functions.text import kept_tokens, quote_words
+from casebook.operators.automata import PART_CHARS, SHARD_CHARS, over_automata
 
 CHUNK = 100_000
 
@@ -46,7 +50,8 @@ def dictionary_tokens(df: DataFrame, text: str, words: DataFrame, word: str, out
     if sizes:
         cut = texts.select("_key", F.explode(F.flatten(F.array_compact(F.array(*[cuts(n) for n in sizes])))).alias("c"))
         hits = cut.select("_key", F.col("c.at").alias("at"), F.col("c.size").alias("size"), F.col("c.piece").alias("_piece"))
-        longest = hits.join(listed, "_piece", "left_semi").groupBy("_key", "at").agg(F.max("size").alias("size"))
+        # Exploded pieces are more than Spark estimates: never broadcast.
+        longest = hits.join(listed.hint("merge"), "_piece", "left_semi").groupBy("_key", "at").agg(F.max("size").alias("size"))
         places = longest.groupBy("_key").agg(F.array_sort(F.collect_list(F.struct("at", "size"))).alias("_hits"))
     run = "[A-Za-z0-9]"
 
@@ -74,6 +79,82 @@ def dictionary_tokens(df: DataFrame, text: str, words: DataFrame, word: str, out
     return rows.join(tokens, "_key", "left").select(*[c for c in df.columns if c != text], out)
 
 
+def _best_path(text: str, hits: Iterable[tuple[int, int, int]], unknown: int, run: re.Pattern) -> list[str]:
+    """The words of the cheapest way through a text; of equally cheap ways the one whose first other word is longer."""
+    n = len(text)
+    starts: list[list[tuple[int, int]]] = [[] for _ in range(n)]
+    for at, size, cost in hits:
+        starts[at].append((size, cost))
+    ends = [0] * n
+    for m in run.finditer(text):
+        ends[m.start() : m.end()] = [m.end()] * (m.end() - m.start())
+    best, step = [0] * (n + 1), [1] * n
+    for i in range(n - 1, -1, -1):
+        if text[i].isspace() and not starts[i]:
+            best[i] = best[i + 1]
+            continue
+        size = (ends[i] or i + 1) - i
+        ways = [(unknown + best[i + size], -size)] + [(cost + best[i + k], -k) for k, cost in starts[i]]
+        best[i], least = min(ways)
+        step[i] = -least
+    out, i = [], 0
+    while i < n:
+        out.append(text[i : i + step[i]])
+        i += step[i]
+    return [w for w in out if not w.isspace()]
+
+
+def best_path_tokens(
+    df: DataFrame, text: str, words: DataFrame, word: str, count: str, out: str = "tokens", shard_chars: int = SHARD_CHARS, part_chars: int = PART_CHARS
+) -> DataFrame:
+    """Segmentation for scripts without blanks by the most probable path of the word graph.
+
+    Every dictionary word found in a text is an edge that costs the negative
+    log of its share of all counts, in millionths and rounded, so that sums
+    are exact. A character that no word covers, or a run of Latin letters and
+    digits from its start or from where a word ends in it, costs as much as a
+    word counted once. Blanks part words unless a dictionary word holds them.
+    Among equally probable paths the one with the longer word at the first
+    difference is taken. Equal texts are cut once; null text has null tokens;
+    words without a positive count are not listed.
+    """
+    listed = words.filter((F.col(word) != "") & (F.col(count) > 0)).groupBy(F.col(word).alias("_w")).agg(F.sum(count).alias("_n"))
+    total = listed.agg(F.sum("_n")).first()[0] or 1
+    unknown = round(1e6 * math.log(total))
+    cost = F.round(1e6 * (math.log(total) - F.log("_n"))).cast("bigint")
+    valued = listed.select("_w", F.struct(F.length("_w").cast("bigint").alias("size"), cost.alias("cost")).alias("_v"))
+    rows = df.withColumn("_key", F.sha2(text, 256))
+    texts = rows.filter(F.col(text).isNotNull()).select("_key", F.col(text).alias("_text")).dropDuplicates(["_key"])
+    edge = pa.list_(pa.struct([("at", pa.int64()), ("size", pa.int64()), ("cost", pa.int64())]))
+
+    def find(table: pa.Table, automaton) -> pa.Table:
+        hits = []
+        for value in table.column("_text").to_pylist():
+            found = automaton.iter(value) if value else ()
+            hits.append([{"at": end + 1 - v["size"], "size": v["size"], "cost": v["cost"]} for end, v in found])
+        return table.append_column("_hits", pa.array(hits, edge))
+
+    schema = T.StructType([*texts.schema.fields, *T.StructType.fromDDL("_hits array<struct<at:bigint,size:bigint,cost:bigint>>")])
+    found, met = over_automata(texts, "_text", valued, find, schema, shard_chars, part_chars)
+    if total == 1 and found.isEmpty():
+        found = texts.withColumn("_hits", F.array().cast(schema["_hits"].dataType))
+    if met > 1:
+        found = found.groupBy("_key").agg(F.first("_text").alias("_text"), F.flatten(F.collect_list("_hits")).alias("_hits"))
+    run = "[A-Za-z0-9]+"
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pattern = re.compile(run)
+        for batch in batches:
+            tokens = [
+                _best_path(value, [(h["at"], h["size"], h["cost"]) for h in hits], unknown, pattern)
+                for value, hits in zip(batch.column("_text").to_pylist(), batch.column("_hits").to_pylist())
+            ]
+            yield pa.record_batch([batch.column("_key"), pa.array(tokens, pa.list_(pa.string()))], names=["_key", out])
+
+    tokens = found.select("_key", "_text", "_hits").mapInArrow(cut, f"_key string, `{out}` array<string>")
+    return rows.join(tokens, "_key", "left").select(*[c for c in df.columns if c != text], out)
+
+
 def word_frequency(df: DataFrame, text: str, stop_words: Sequence[str] = (), min_freq: int = 5) -> DataFrame:
     words = df.select(F.explode(kept_tokens(F.col(text), stop_words)).alias("word"))
     return words.groupBy("word").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_freq)

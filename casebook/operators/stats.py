@@ -22,6 +22,22 @@ def count_of_counts(df: DataFrame, key: str) -> DataFrame:
     )
 
 
+def distinct_sketches(df: DataFrame, by: Sequence[str], cols: Sequence[str], precision: int = 12) -> DataFrame:
+    """One HyperLogLog sketch of each of ``cols`` per group, to be kept and merged later.
+
+    A sketch has at most about ``2 ** precision`` bytes, however many values it
+    saw; its relative error is about 0.8 / sqrt(2 ** precision), 1.3 % at 12.
+    Nulls are not counted.
+    """
+    values = {c: F.col(c) if df.schema[c].dataType.typeName() in ("integer", "long", "string", "binary") else F.col(c).cast("string") for c in cols}
+    return df.groupBy(*by).agg(*[F.hll_sketch_agg(v, F.lit(precision)).alias(c) for c, v in values.items()])
+
+
+def merged_distinct_counts(sketches: DataFrame, by: Sequence[str], cols: Sequence[str]) -> DataFrame:
+    """Approximate distinct counts per group of ``by``, from sketches of any finer groups; no row is read again."""
+    return sketches.groupBy(*by).agg(*[F.hll_sketch_estimate(F.hll_union_agg(c)).alias(c) for c in cols])
+
+
 def conditional_counts(df: DataFrame, by: Sequence[str], tests: dict[str, Column]) -> DataFrame:
     return df.groupBy(*by).agg(*[F.count_if(t).alias(name) for name, t in tests.items()])
 

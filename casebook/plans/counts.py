@@ -42,6 +42,27 @@ def _(spark, folder):
     )
 
 
+@query(
+    "distinct_counts_from_sketches",
+    "A3",
+    """WITH o AS (SELECT o_custkey, o_orderkey, year(o_orderdate)::INT AS y FROM orders)
+       SELECT y::VARCHAR AS period, count(DISTINCT o_custkey) AS firms, count(DISTINCT o_orderkey) AS orders, true AS close FROM o GROUP BY 1
+       UNION ALL SELECT 'all', count(DISTINCT o_custkey), count(DISTINCT o_orderkey), true FROM o""",
+)
+def _(spark, folder):
+    # Sketches per month, merged over years and over all; the exact counts stand beside them.
+    orders = table(spark, folder, "orders").select("o_custkey", "o_orderkey", F.date_format("o_orderdate", "yyyy-MM").alias("month"))
+    cols = ["o_custkey", "o_orderkey"]
+    monthly = A.distinct_sketches(orders, ["month"], cols).withColumn("period", F.explode(F.array(F.left("month", F.lit(4)), F.lit("all"))))
+    merged = A.merged_distinct_counts(monthly, ["period"], cols)
+    exact = orders.withColumn("period", F.explode(F.array(F.left("month", F.lit(4)), F.lit("all")))).groupBy("period").agg(
+        F.countDistinct("o_custkey").alias("firms"), F.countDistinct("o_orderkey").alias("orders")
+    )
+    # Four times the stated error.
+    near = lambda a, b: F.abs(F.col(a) - F.col(b)) <= F.greatest(F.lit(2), 0.052 * F.col(b))
+    return exact.join(merged, "period").select("period", "firms", "orders", (near("o_custkey", "firms") & near("o_orderkey", "orders")).alias("close"))
+
+
 @query(
     "mean_per_group_and_year",
     "A4",

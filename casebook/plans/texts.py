@@ -42,6 +42,46 @@ def _(spark, folder):
     return out.select("p_partkey", F.array_join("tokens", " ").alias("p_name"))
 
 
+# Glued names with a dictionary in which the longest word is often wrong: the
+# words of the names, and pieces across two of them.
+@query(
+    "best_path_tokens",
+    "T1",
+    """WITH RECURSIVE n AS (SELECT p_partkey, p_name, string_split(p_name, ' ') AS ws FROM part),
+        d AS (SELECT w, sum(c)::BIGINT AS c FROM (
+                SELECT unnest(ws) AS w, 3 AS c FROM n
+                UNION ALL SELECT ws[1] || left(ws[2], 2), 1 FROM n WHERE len(ws) > 1 AND p_partkey % 3 = 0
+                UNION ALL SELECT right(ws[1], 2) || left(ws[2], 3), 4 FROM n WHERE len(ws) > 1 AND p_partkey % 5 = 0) GROUP BY w),
+        m AS (SELECT map_from_entries(list((w, round(1e6 * (ln((SELECT sum(c) FROM d)) - ln(c)))::BIGINT))) AS costs,
+                round(1e6 * ln((SELECT sum(c) FROM d)))::BIGINT AS unknown FROM d),
+        t AS (SELECT DISTINCT replace(p_name, ' ', '') AS t FROM n),
+        -- from the end of the text: least cost and best first word of each rest
+        b AS (SELECT t, length(t) AS i, [0::BIGINT] AS best, []::VARCHAR[] AS words FROM t
+              UNION ALL
+              SELECT t, i - 1, list_prepend(way.cost, best), list_prepend(way.word, words)
+              FROM (SELECT b.t, b.i, b.best, b.words, (SELECT list_min(list_transform(range(1, length(b.t) - b.i + 2), lambda k: {'cost': coalesce(
+                        CASE WHEN k = length(b.t) - b.i + 1 THEN least(unknown, costs[substr(b.t, b.i, k)]) ELSE costs[substr(b.t, b.i, k)] END,
+                        CASE WHEN k = length(b.t) - b.i + 1 THEN unknown ELSE 1000000000000 END) + b.best[k], 'size': -k, 'word': substr(b.t, b.i, k)}))
+                      FROM m) AS way
+                    FROM b WHERE b.i > 0)),
+        p AS (SELECT t, words, 1 AS spot, []::VARCHAR[] AS found FROM b WHERE i = 0
+              UNION ALL
+              SELECT t, words, spot + length(words[spot]), list_append(found, words[spot]) FROM p WHERE spot <= length(t))
+       SELECT p_partkey, array_to_string(found, ' ') AS p_name FROM n JOIN p ON p.t = replace(p_name, ' ', '') WHERE spot > length(t)""",
+)
+def _(spark, folder):
+    part = table(spark, folder, "part").withColumn("ws", F.split("p_name", " "))
+    first, second, two = F.element_at("ws", 1), F.try_element_at("ws", F.lit(2)), F.size("ws") > 1
+    words = part.select(F.explode("ws").alias("w"), F.lit(3).alias("c"))
+    words = words.unionByName(part.filter(two & (F.col("p_partkey") % 3 == 0)).select(F.concat(first, F.left(second, F.lit(2))).alias("w"), F.lit(1).alias("c")))
+    words = words.unionByName(
+        part.filter(two & (F.col("p_partkey") % 5 == 0)).select(F.concat(F.right(first, F.lit(2)), F.left(second, F.lit(3))).alias("w"), F.lit(4).alias("c"))
+    )
+    glued = part.select("p_partkey", F.replace("p_name", F.lit(" "), F.lit("")).alias("name"))
+    out = L.best_path_tokens(glued, "name", words, "w", "c")
+    return out.select("p_partkey", F.array_join("tokens", " ").alias("p_name"))
+
+
 @query(
     "word_frequency",
     "T2",

@@ -1,5 +1,9 @@
 import datetime
+import math
+import random
+import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from casebook.functions import dates as D
@@ -114,6 +118,61 @@ def test_longest_match_in_chinese(spark):
     assert {r["id"]: r["tokens"] for r in none.collect()}[1] == ["供", "应", "链", "风", "险", "管", "理", "ABC1", "高"]
 
 
+def test_sketches_merge_to_the_counts_of_the_whole(spark):
+    """Merged parts give what one sketch of all rows gives, within the stated error; nulls do not count."""
+    rows = spark.range(40_000).select(
+        (F.col("id") % 13_000).alias("a"), F.date_add(F.lit("2020-01-01").cast("date"), (F.col("id") % 700).cast("int")).alias("d"),
+        F.when(F.col("id") % 2 == 0, F.col("id").cast("string")).alias("s"), (F.col("id") % 24).alias("month"),
+    )
+    cols = ["a", "d", "s"]
+    merged = A.merged_distinct_counts(A.distinct_sketches(rows, ["month"], cols), [], cols).first()
+    whole = A.merged_distinct_counts(A.distinct_sketches(rows, [], cols), [], cols).first()
+    for got in (merged, whole):
+        assert all(abs(got[c] - n) <= 0.052 * n for c, n in (("a", 13_000), ("d", 700), ("s", 20_000)))
+    empty = A.merged_distinct_counts(A.distinct_sketches(rows.limit(0), ["month"], cols), ["month"], cols)
+    assert empty.count() == 0
+
+
+def test_best_path_where_the_longest_word_is_wrong(spark):
+    """研究|生命|起源, not 研究生|命|起源; and 南京市|长江大桥, not 南京|市长|江大桥."""
+    counts = {"研究": 900, "研究生": 150, "生命": 800, "命": 60, "起源": 300, "南京": 500, "南京市": 400, "市长": 450, "长江大桥": 200, "江": 90, "大桥": 300, "AB": 5}
+    words = spark.createDataFrame([*counts.items(), ("起", 0), ("", 5), (None, 5)], "w string, c long")
+    df = spark.createDataFrame([(1, "研究生命起源"), (2, "南京市长江大桥"), (3, None), (4, "ABxy1 起 AB"), (5, ""), (1, "研究生命起源")], "id int, t string")
+    got = [(r["id"], r["tokens"]) for r in L.best_path_tokens(df, "t", words, "w", "c").orderBy("id").collect()]
+    assert got == [
+        (1, ["研究", "生命", "起源"]), (1, ["研究", "生命", "起源"]), (2, ["南京市", "长江大桥"]), (3, None), (4, ["ABxy1", "起", "AB"]), (5, []),
+    ]
+    none = {r["id"]: r["tokens"] for r in L.best_path_tokens(df, "t", words.limit(0), "w", "c").collect()}
+    assert none[1] == list("研究生命起源") and none[4] == ["ABxy1", "起", "AB"] and none[3] is None
+
+
+@pytest.mark.parametrize(("shard_chars", "part_chars"), [(10**6, 10**6), (9, 40)])
+def test_best_path_equals_all_paths(spark, shard_chars, part_chars):
+    """Against every way to cut short texts, with one automaton and with several over parts of the texts."""
+    rnd = random.Random(8)
+    counts = {"".join(rnd.choice("甲乙丙aB1") for _ in range(rnd.randint(1, 4))): rnd.randint(1, 60) for _ in range(40)}
+    texts = ["".join(rnd.choice("甲乙丙丁aB1 ") for _ in range(rnd.randint(0, 11))) for _ in range(60)]
+    total = sum(counts.values())
+    unknown = round(1e6 * math.log(total))
+    cost = {w: round(1e6 * (math.log(total) - math.log(c))) for w, c in counts.items()}
+
+    def paths(t, i):
+        if i == len(t):
+            yield 0, (), ()
+            return
+        end = re.compile("[A-Za-z0-9]*").match(t, i).end()
+        steps = {(t[i:end] if end > i else t[i], 0 if t[i] == " " else unknown)} | {(w, c) for w, c in cost.items() if t.startswith(w, i)}
+        for w, c in steps:
+            for rest, sizes, found in paths(t, i + len(w)):
+                yield c + rest, (-len(w), *sizes), (w, *found)
+
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, t string")
+    words = spark.createDataFrame(list(counts.items()), "w string, c long")
+    got = {r["id"]: r["tokens"] for r in L.best_path_tokens(df, "t", words, "w", "c", "tokens", shard_chars, part_chars).collect()}
+    for i, t in enumerate(texts):
+        assert got[i] == [w for w in min(paths(t, 0))[2] if w.strip()], t
+
+
 def test_section_skips_titles_in_running_text(spark):
     text = "见董事会报告。\n董事会报告\n经营良好 董事会报告\n重要事项\n无"
     assert column(spark, lambda c: L.section_between(c, ["董事会报告"], ["重要事项"]), [text, "无标题"]) == ["\n经营良好 \n", None]
