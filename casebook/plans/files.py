@@ -94,6 +94,29 @@ def _(spark, folder):
     return raw.groupBy((F.col("encoding") == "utf-8").alias("utf8")).agg(F.sum(lines).alias("lines"))
 
 
+@query(
+    "sniffed_encodings",
+    "IO7",
+    """SELECT CASE lang WHEN 'fr' THEN 'latin-1' WHEN 'es' THEN 'utf-16-le' WHEN 'de' THEN 'utf-16-be' ELSE 'utf-8' END AS encoding,
+         count(*) AS lines, sum(length(translate(text, chr(13) || chr(10), '  ')))::BIGINT AS chars FROM documents WHERE trim(text) <> '' GROUP BY 1""",
+)
+def _(spark, folder):
+    # Each language in an encoding of its own; the text is read back without being told which.
+    path = scratch_path(spark, "sniffed")
+    docs = table(spark, folder, "documents").filter(F.trim("text") != "")
+    charsets = {"fr": "ISO-8859-1", "es": "UTF-16LE", "de": "UTF-16BE"}
+    for lang, charset in [*charsets.items(), (None, "UTF-8")]:
+        rows = docs.filter(F.col("lang") == lang if lang else F.coalesce(~F.col("lang").isin(list(charsets)), F.lit(True)))
+        value = rows.select(F.translate("text", "\r\n", "  ").alias("value"))
+        plain = value.write.option("encoding", charset).option("quote", "").option("maxRecordsPerFile", 2_000)
+        # A separator that no text holds: lines are written as they are.
+        plain.option("sep", "\x01").option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(f"{path}/{charset}")
+    raw = S.read_texts(spark, f"{path}/*/*.csv")
+    lines = F.filter(F.split("text", "\n"), lambda x: x != "")
+    chars = F.aggregate(lines, F.lit(0).cast("bigint"), lambda n, x: n + F.length(x))
+    return raw.groupBy("encoding").agg(F.sum(F.size(lines)).alias("lines"), F.sum(chars).alias("chars"))
+
+
 @query("append_with_header_once", "IO8", "SELECT s_suppkey, s_name FROM supplier UNION ALL SELECT c_custkey, c_name FROM customer")
 def _(spark, folder):
     path = scratch_path(spark, "appended")

@@ -9,14 +9,20 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from casebook.functions.ranking import numbered
 from casebook.operators.sampling import label_codes
+from casebook.sources.encodings import Sniffer
 
 SHEET_ROWS = 1_048_570
 CSV = {"header": "true", "escape": '"', "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]"}
 
 
-def scan_folder(spark: SparkSession, path: str, schema: T.StructType | str, glob: str | None = None) -> DataFrame:
-    """All CSV files of a folder as one table; names starting with ``.`` or ``_`` are skipped."""
-    reader = spark.read.schema(schema).options(**CSV).option("multiLine", True)
+def scan_folder(
+    spark: SparkSession, path: str, schema: T.StructType | str, glob: str | None = None, multi_line: bool = True
+) -> DataFrame:
+    """All CSV files of a folder as one table; names starting with ``.`` or ``_`` are skipped.
+
+    Quoted line ends need whole files; without them (``multi_line=False``) large files are split over tasks.
+    """
+    reader = spark.read.schema(schema).options(**CSV).option("multiLine", multi_line)
     if glob:
         reader = reader.option("pathGlobFilter", glob)
     return reader.csv(path)
@@ -47,13 +53,15 @@ def drop_files(df: DataFrame, pattern: str) -> DataFrame:
 
 
 def read_texts(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
-    """(file, text, encoding) per file: UTF-8 where valid, else GBK, else Latin-1.
+    """(file, text, encoding) per file, in UTF-8, UTF-16, GBK, GB18030, Big5 or Latin-1.
 
-    UTF-8 is decided and decoded by built-ins; only the other files reach Python.
+    Valid UTF-8 without zero bytes is decided and decoded by built-ins; only
+    the other files reach Python, where ``encodings`` sniffs what they are in.
     """
     raw = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path)
     raw = raw.select(F.element_at(F.split("path", "/"), -1).alias("file"), "content")
-    plain = F.try_validate_utf8(F.col("content").cast("string"))
+    text = F.try_validate_utf8(F.col("content").cast("string"))
+    plain = F.when(~F.contains(text, F.lit("\0")) & ~F.startswith(text, F.lit("\ufeff")), text)
     # One pass: valid files send an empty cell to Python.
     marked = raw.withColumn("_plain", plain).withColumn("_d", _decode(F.when(F.col("_plain").isNull(), F.col("content"))))
     return marked.select(
@@ -67,13 +75,10 @@ _DECODED = T.StructType([T.StructField("text", T.StringType()), T.StructField("e
 
 @F.pandas_udf(_DECODED)
 def _decode(content: pd.Series) -> pd.DataFrame:
+    sniff = Sniffer()
+
     def one(b: bytes | None) -> tuple[str | None, str | None]:
-        if b is None:
-            return None, None
-        try:
-            return b.decode("gbk"), "gbk"
-        except UnicodeDecodeError:
-            return b.decode("latin-1"), "latin-1"
+        return (None, None) if b is None else sniff(b)
 
     return pd.DataFrame([one(b) for b in content], columns=["text", "encoding"])
 

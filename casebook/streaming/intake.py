@@ -6,11 +6,14 @@ a checkpoint folder, so a run may stop anywhere and go on where it was.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from casebook.functions.dates import as_instant
-from casebook.operators.ordering import keep_first
 
 
 def file_stream(
@@ -38,27 +41,48 @@ def append_stream(stream: DataFrame, path: str, progress: str) -> None:
     )
 
 
-def append_new_ids(stream: DataFrame, id_col: str, order: list[str], path: str, progress: str) -> None:
-    """Append rows whose id the target does not hold yet; a repeated batch adds nothing.
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+STORE, CHANGELOG = "spark.sql.streaming.stateStore.providerClass", "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled"
 
-    Of several rows of an id in one batch the first in ``order`` is kept.
 
-    Each batch writes its own folder and is compared with the folders of
-    earlier batches only, so a batch run again after a failure replaces
-    what it wrote before.
-    """
+def append_new_ids(stream: DataFrame, id_col: str, order: list[str], path: str, progress: str) -> None:
+    """Append rows whose id no earlier batch held; a repeated batch adds nothing.
 
-    def write(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        fresh = keep_first(batch, [id_col], order)
-        if number > 0:
-            earlier = spark.read.schema(batch.schema).parquet(path).filter(F.col("batch") < number)
-            fresh = fresh.join(earlier.select(id_col), id_col, "left_anti")
-        fresh.write.mode("overwrite").parquet(f"{path}/batch={number}")
+    Of several rows of an id in one batch the first in ``order`` is kept,
+    nulls first. A null id is an id like others.
 
-    run(
-        stream.writeStream.foreachBatch(write).option("checkpointLocation", progress).trigger(availableNow=True).start()
+    Which ids were seen is keyed state in RocksDB. A batch looks up its own
+    ids only and checkpoints what it changed, so its cost does not depend on
+    how many ids came before, and nothing written is read again.
+    """
+    columns = stream.columns
+    spark = stream.sparkSession
+
+    def unseen(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.exists:
+            return
+        # The rows of one id in one batch, in pieces.
+        heads = [f.sort_values(order, na_position="first", kind="stable").head(1) if order else f.head(1) for f in frames]
+        state.update((True,))
+        first = pd.concat(heads) if len(heads) > 1 else heads[0]
+        yield (first.sort_values(order, na_position="first", kind="stable") if order else first).head(1)[columns]
+
+    fresh = stream.groupBy(id_col).applyInPandasWithState(
+        unseen, stream.schema, "seen boolean", "append", GroupStateTimeout.NoTimeout
     )
+    before = {c: spark.conf.get(c, None) for c in (STORE, CHANGELOG)}
+    try:
+        # The query takes its settings when it starts.
+        spark.conf.set(STORE, ROCKSDB)
+        spark.conf.set(CHANGELOG, "true")
+        query = (
+            fresh.writeStream.format("parquet").option("path", path).option("checkpointLocation", progress)
+            .outputMode("append").trigger(availableNow=True).start()
+        )
+    finally:
+        for c, value in before.items():
+            spark.conf.unset(c) if value is None else spark.conf.set(c, value)
+    run(query)
 
 
 def windowed_counts(

@@ -25,6 +25,35 @@ def test_texts_in_three_encodings(spark, tmp_path):
     assert got == {"u.txt": ("投诉", "utf-8"), "g.txt": ("投诉", "gbk"), "l.txt": ("café", "latin-1")}
 
 
+SAMPLES = {
+    "simplified": "本公司于二〇二三年收到消费者投诉，要求退还已支付的贷款利息。客服表示将在三个工作日内处理，但至今没有答复。",
+    "traditional": "本公司於二零二三年收到消費者投訴，要求退還已支付的貸款利息。客服表示將在三個工作日內處理，但至今沒有答覆。",
+    "french": "L'été dernier, la société a répondu à la réclamation ; le client n'a reçu aucun remboursement, même après plusieurs appels.",
+    "german": "Der Kläger hat die Überweisung für das Gerät bestätigt, aber die Rückzahlung ist bis heute nicht erfolgt. Größe: fünf Stück.",
+    "spanish": "La compañía respondió al cliente el año pasado; según él, todavía no ha recibido la devolución de 20 € ni explicación.".replace("€", "$"),
+    "english": "The complaint was closed without an answer; see case no. 12 (2021).",
+}
+
+
+def test_encodings_are_sniffed(spark, tmp_path):
+    """Byte strings that are valid in several encodings come out as what they read as; also short ones and mixed lines."""
+    want = {}
+    for name, text in SAMPLES.items():
+        codecs_of = {"simplified": ["gbk", "gb18030", "utf-8", "utf-16-le", "utf-16-be"], "traditional": ["big5", "utf-8", "utf-16-le", "utf-16-be"]}
+        for codec in codecs_of.get(name, ["latin-1", "utf-8", "utf-16-le", "utf-16-be"]):
+            for part, piece in (("whole", text), ("half", text[: len(text) // 2]), ("mixed", f"id,{name},2021-05-01\n7,{text}\n")):
+                file = f"{name}_{codec}_{part}.txt"
+                (tmp_path / file).write_bytes(piece.encode(codec))
+                plain = codec == "latin-1" and piece.isascii()
+                want[file] = (piece, {"gb18030": "gbk"}.get(codec, "utf-8" if plain else codec))
+    (tmp_path / "mark.txt").write_bytes(b"\xff\xfe" + "ab".encode("utf-16-le"))
+    (tmp_path / "mark8.txt").write_bytes(b"\xef\xbb\xbfcaf\xc3\xa9")
+    (tmp_path / "four.txt").write_bytes(("投诉㐀" + SAMPLES["simplified"]).encode("gb18030"))
+    want |= {"mark.txt": ("ab", "utf-16-le"), "mark8.txt": ("café", "utf-8"), "four.txt": ("投诉㐀" + SAMPLES["simplified"], "gb18030")}
+    got = {r["file"]: (r["text"], r["encoding"]) for r in S.read_texts(spark, str(tmp_path), "*.txt").collect()}
+    assert got == want
+
+
 def test_keys_and_rules_on_file_names(spark, tmp_path):
     for name in ("600001_2020-12-31.csv", "800001_2020-12-31.csv", "600002_2021-06-30.csv"):
         (tmp_path / name).write_text("id\n1\n")
@@ -81,6 +110,25 @@ def test_the_first_row_of_a_new_id_is_kept(spark):
     assert [r["at"].day for r in spark.read.parquet(out).collect()] == [3]
 
 
+def test_new_ids_do_not_read_what_was_written(spark):
+    """Ids are known from state alone: the output of earlier runs may be gone, and settings stay as they were."""
+    path, schema = _files(spark, "state-in", [range(0, 40), range(20, 60)])
+    before = spark.conf.get(N.STORE, None)
+    progress = scratch_path(spark, "state-progress")
+
+    def run(label):
+        out = scratch_path(spark, label)
+        N.append_new_ids(N.file_stream(spark, path, schema, files_per_batch=1), "id", ["at"], out, progress)
+        return out
+
+    first = run("state-one")
+    assert sorted(r["id"] for r in spark.read.parquet(f"{first}/*.parquet").collect()) == list(range(60))
+    rows = [(i, None) for i in (None, None, 7, 59, 60, 60)]
+    spark.createDataFrame(rows, "id bigint, at timestamp_ntz").coalesce(1).write.mode("append").parquet(path)
+    assert sorted(str(r["id"]) for r in spark.read.parquet(run("state-two") + "/*.parquet").collect()) == ["60", "None"]
+    assert spark.conf.get(N.STORE, None) == before
+
+
 def test_windows_survive_a_restart(spark):
     path, schema = _files(spark, "win", [range(0, 30), range(30, 50)])
     out = scratch_path(spark, "win-out")
