@@ -6,14 +6,15 @@ empty bin borrows from a bin that a hash of its own number points to
 (optimal densification). Bands of bin values are bucket keys.
 
 Texts with equal sets are one class and go on as one representative. A bucket
-links each member to the bucket's centres only, so candidate edges are stars
+links each member to the bucket's centre only, so candidate edges are stars
 and their number stays in proportion to the rows, however full a bucket is.
-Bands differ in how they choose centres. Every candidate is confirmed on the
-full sets. A centre is settled then and leaves its bucket. Where a bucket
-still holds several components, centres are chosen again among them. Texts of
-buckets that hold several components after the last round are joined on their
-rarest shingles, which meets every pair that is similar enough, so no bucket
-keeps a pair that is neither confirmed nor ruled out.
+Every candidate is confirmed on the full sets. A quarter of the bands goes
+first and differs in how it chooses centres; in the other bands, and then in
+all once more, only buckets that still hold several components are looked at,
+and their centres are chosen among these. Texts of buckets that hold several
+components after that are joined on their rarest shingles, which meets every
+pair of different components that is similar enough, so no bucket keeps a
+pair that is neither confirmed nor ruled out.
 
 Text without words and null text have an empty set, are linked with nothing
 and stay. Rows that repeat an id count as one document for links. Null ids
@@ -23,6 +24,7 @@ are never linked. An empty table gives an empty result.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,7 +41,9 @@ PERCENT = 80
 BLOCK_ROWS = 1_024
 CACHED_WORDS = 100_000
 CENTRES = 4
-QUIET_ROUNDS, MAX_ROUNDS = 2, 8
+FIRST_BANDS, MAX_ROUNDS = 8, 3
+# Sizes of one step differ by less than this factor.
+SIZE_FACTOR = 1.06
 SKETCH = "doc_id bigint, n_shingles bigint, digest binary, bands array<bigint>"
 MIX1, MIX2, MIX3 = (np.uint64(x) for x in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0x9E3779B97F4A7C15))
 
@@ -288,39 +292,53 @@ def rare_edges(texts: DataFrame, sets: DataFrame, percent: int = PERCENT) -> Dat
     """Edges between different components that hold every pair that is similar enough.
 
     ``texts`` has ``doc_id``, ``n`` and ``component``. In one order of all
-    shingles, rare ones first, the first shingle that two sets with ``k`` in
-    common share stands among the first ``n - k + 1`` of each. The larger set
-    of a pair shares at least ``percent`` of its size, the smaller one
-    2 * ``percent`` / (100 + ``percent``) of its own. Pairs within a
-    component are never formed.
+    shingles, the first shingle that two sets with ``k`` in common share
+    stands among the first ``n - k + 1`` of each. The order puts shingles
+    that only one component has first: they take up places and join nothing.
+    Rare ones follow. How many two sets must share depends on both sizes, so
+    sizes go in steps, and a shingle meets another step only if its place
+    still allows what the sizes of both ask for. Pairs within a component are
+    never formed.
     """
-
-    def up(x: Column, by: int) -> Column:
-        """``x / by``, rounded up, in whole numbers."""
-        return F.floor((x + (by - 1)) / by).cast("bigint")
-
-    rows = cut_lineage(shingle_rows(sets.join(texts.select("doc_id"), "doc_id", "left_semi")))
-    use = rows.groupBy("token").agg(F.count(F.lit(1)).alias("use")).filter("use > 1")
-    ordered = rows.join(use, "token").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("use", "token"))).alias("own"))
-    held = ordered.join(texts, "doc_id").withColumn("alone", F.col("n") - F.size("own"))
-    # Shingles of one set only stand before all others and join nothing.
-    least = up(F.col("n") * percent, 100)
-    first = F.slice("own", 1, F.greatest(F.col("n") - least + 1 - F.col("alone"), F.lit(0)).cast("int"))
-    placed = held.select("doc_id", "n", "component", "alone", F.posexplode(first).alias("i", "t"))
-    larger = cut_lineage(
-        placed.select("doc_id", "n", "component", F.col("t.token").alias("token"), (F.col("alone") + F.col("i") + 1).alias("place"))
+    rows = cut_lineage(shingle_rows(sets.join(texts.select("doc_id"), "doc_id", "left_semi")).join(texts, "doc_id"))
+    use = (
+        rows.groupBy("token")
+        .agg(F.count(F.lit(1)).alias("use"), F.min("component").alias("x"), F.max("component").alias("y"))
+        .filter("x <> y").select("token", "use")
     )
-    smaller = larger.filter(F.col("place") <= F.col("n") - up(F.col("n") * (2 * percent), 100 + percent) + 1)
+    ordered = rows.join(use.hint("merge"), "token").groupBy("doc_id", "n", "component").agg(F.array_sort(F.collect_list(F.struct("use", "token"))).alias("own"))
+    held = ordered.withColumn("alone", F.col("n") - F.size("own"))
+    # The larger set of a pair shares at least ``percent`` of its size.
+    first = F.slice("own", 1, F.greatest(F.floor(F.col("n") * (100 - percent) / 100) + 1 - F.col("alone"), F.lit(0)).cast("int"))
+    placed = held.select("doc_id", "n", "component", "alone", F.posexplode(first).alias("i", "t"))
+    step = F.floor(F.log("n") / math.log(SIZE_FACTOR) + 1e-9).cast("int")
+    placed = cut_lineage(placed.select(
+        "doc_id", "n", "component", F.col("t.token").alias("token"), (F.col("alone") + F.col("i") + 1).alias("place"), step.alias("step")
+    ))
+    steps = F.sequence(F.lit(0), F.lit(math.ceil(math.log(100 / percent) / math.log(SIZE_FACTOR))))
+
+    def least_size(of: Column) -> Column:
+        return F.floor(F.pow(F.lit(SIZE_FACTOR), of) * (1 - 1e-6))
+
+    def allows(other: Column) -> Column:
+        """Whether what comes from this place on is enough for a pair with a set of size ``other``."""
+        return (F.col("n") - F.col("place") + 1) * (100 + percent) >= (F.col("n") + other) * percent
+
+    far = F.filter(steps, lambda d: allows(F.greatest(F.col("n"), least_size(F.col("step") + d))))
+    smaller = placed.withColumn("apart", F.explode(far)).withColumn("low", F.col("step"))
+    near = F.filter(steps, lambda d: allows(F.greatest(F.ceil(F.col("n") * percent / 100 - 1e-9), least_size(F.col("step") - d))))
+    larger = placed.withColumn("apart", F.explode(near)).withColumn("low", F.col("step") - F.col("apart"))
+    key = ["token", "low", "apart"]
 
     def side(of: DataFrame, name: str) -> DataFrame:
-        return of.select("token", *[F.col(c).alias(c + name) for c in ("doc_id", "n", "component", "place")])
+        return of.select(*key, *[F.col(c).alias(c + name) for c in ("doc_id", "n", "component", "place")])
 
     met = (
-        smaller.select("token", F.col("component").alias("component_s")).distinct()
-        .join(larger.select("token", F.col("component").alias("component_l")).distinct(), "token")
+        smaller.select(*key, F.col("component").alias("component_s")).distinct()
+        .join(larger.select(*key, F.col("component").alias("component_l")).distinct().hint("merge"), key)
         .filter("component_s <> component_l")
     )
-    pairs = met.join(side(smaller, "_s"), ["token", "component_s"]).join(side(larger, "_l"), ["token", "component_l"])
+    pairs = met.join(side(smaller, "_s").hint("merge"), [*key, "component_s"]).join(side(larger, "_l").hint("merge"), [*key, "component_l"])
     common = F.least(F.col("n_s") - F.col("place_s"), F.col("n_l") - F.col("place_l")) + 1
     return (
         pairs.filter(F.struct("n_s", "doc_id_s") < F.struct("n_l", "doc_id_l"))
@@ -342,7 +360,7 @@ def near_duplicates(
         .select("r.*", "digest")
     )
     members = classes.select(
-        F.explode("bands").alias("key"), "doc_id", F.col("n_shingles").alias("n")
+        F.posexplode("bands").alias("band", "key"), "doc_id", F.col("n_shingles").alias("n")
     )
     full = members.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1").select("key")
     members = cut_lineage(members.join(full, "key"))
@@ -350,7 +368,7 @@ def near_duplicates(
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     wanted = texts.join(involved, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     sets = cut_lineage(shingle_sets(wanted, shingle))
-    grouped, tried, left = None, None, members
+    grouped, tried = None, None
 
     def linked(edges: DataFrame) -> bool:
         """Confirms edges and joins their ends up; whether there were links."""
@@ -365,19 +383,14 @@ def near_duplicates(
         grouped = cut_lineage(joined_up(grouped, new))
         return True
 
-    for turn in range(MAX_ROUNDS):
-        current = named(left, grouped)
+    first = F.col("band") < FIRST_BANDS
+    for turn, part in zip(range(MAX_ROUNDS), (first, ~first, F.lit(True))):
+        current = named(members.filter(part), grouped)
         if turn:
             current = cut_lineage(unsettled(current))
-            if current.isEmpty():
-                break
-        centre = centres(current, turn)
-        more = linked(star_edges(current, centre))
-        # The centre was compared with all members that its bucket has.
-        left = current.join(centre, "key").filter(F.col("doc_id") != F.col("c.doc_id")).select("key", "doc_id", "n")
-        if turn >= QUIET_ROUNDS and not more:
-            break
-    rest = cut_lineage(unsettled(named(left, grouped)).select("doc_id", "n", "component").distinct())
+        if not current.isEmpty():
+            linked(star_edges(current, centres(current, turn)))
+    rest = cut_lineage(unsettled(named(members, grouped)).select("doc_id", "n", "component").distinct())
     if not rest.isEmpty():
         linked(rare_edges(rest, sets, percent))
     found = classes.select("digest", F.col("doc_id").alias("node"))
