@@ -2,15 +2,18 @@
 
 The lines of a text that hold a word, in order, are its sequence. A window is
 a run of consecutive lines that reaches ``min_lines`` lines or ``min_words``
-words, whichever is sooner; the line with the least hash in a window is
-selected, so any two texts that share a whole window select the same line in
-it. Only windows whose selected line was selected at several places go on:
-positions are joined by the content of the window, each with the first place
-it occurs at (by id, then place). Consecutive matched windows join up to the
-longest run that matches, to both sides, and every line of a later run is
-deleted. The first place of a run is never touched, and runs shorter than a
-window stay. Links are to first places only, so a line that half of all texts
-hold gives no more links than rows.
+words, whichever is sooner, counted on from its first line or back from its
+last one; the line with the least hash in a window is selected, so any two
+texts that share a whole window select the same line in it. Only windows whose
+selected line was selected at several places go on: positions are joined by
+the content of the window, each with the first place it occurs at (by id, then
+place). Windows that begin at each line extend a match to the left as far as
+it goes, windows that end at each line to the right, so together they are
+exactly the repeated runs: a line goes if it lies in a run of at least
+``min_lines`` lines or ``min_words`` words that occurs at an earlier place.
+The first place of a run is never touched, and runs shorter than a window
+stay. Links are to first places only, so a line that half of all texts hold
+gives no more links than rows.
 
 Lines are compared without blanks around them. Null text and text without
 words have no windows and stay as they are. Rows with equal id and text count
@@ -47,20 +50,25 @@ def split_lines(text: Column) -> Column:
 
 
 def windows(lines: Column, min_lines: int, min_words: int) -> Column:
-    """For each line that begins a full window: place, length, selected line and content."""
-
-    def window(i: Column) -> Column:
-        def size(k: int) -> Column:
-            enough = sum((F.get(lines, i + j)[N] for j in range(1, k)), F.get(lines, i)[N])
-            here = F.lit(k) if k == min_lines else F.when(enough >= min_words, F.lit(k)).otherwise(size(k + 1))
-            return here
-
-        # A window that the text is too short for has no value.
-        return F.struct(i.alias("at"), size(1).alias("len"))
-
-    places = F.filter(
-        F.transform(F.sequence(F.lit(0), F.size(lines) - 1), window), lambda w: w["at"] + w["len"] <= F.size(lines)
+    """Each full window that begins or ends at a line: place, length, selected line and content."""
+
+    def size(i: Column, step: int, k: int = 1) -> Column:
+        """Lines from ``i`` on, or back from ``i``, until the window is full."""
+        if k == min_lines:
+            return F.lit(k)
+        enough = sum((F.get(lines, i + step * j)[N] for j in range(1, k)), F.get(lines, i)[N])
+        return F.when(enough >= min_words, F.lit(k)).otherwise(size(i, step, k + 1))
+
+    def ending(i: Column) -> Column:
+        n = size(i, -1)
+        return F.struct((i - n + 1).alias("at"), n.alias("len"))
+
+    # A window that the text is too short for is left out; one that both begins and ends so comes once.
+    every = F.sequence(F.lit(0), F.size(lines) - 1)
+    forward = F.filter(
+        F.transform(every, lambda i: F.struct(i.alias("at"), size(i, 1).alias("len"))), lambda w: w["at"] + w["len"] <= F.size(lines)
     )
+    backward = F.filter(F.transform(every, ending), lambda w: (w["at"] >= 0) & (size(w["at"], 1) != w["len"]))
 
     def described(w: Column) -> Column:
         hashes = F.transform(F.slice(lines, w["at"] + 1, w["len"]), lambda x: x[H])
@@ -71,7 +79,7 @@ def windows(lines: Column, min_lines: int, min_words: int) -> Column:
             F.xxhash64(hashes).alias("content"),
         )
 
-    return F.transform(places, described)
+    return F.transform(F.concat(forward, backward) if min_lines > 1 else forward, described)
 
 
 def repeated_lines(
@@ -87,7 +95,7 @@ def repeated_lines(
     placed = selected.select("id", "mark", "lines", "s", F.posexplode_outer("w").alias("i", "w")).filter("w IS NOT NULL")
     described = placed.select(
         "id", "mark", "w.*",
-        # Whether another line is selected than by the window before: counts each selection once.
+        # Whether another line is selected than by the window before: counts a selection of windows in a row once.
         F.coalesce(F.get("s", F.col("i") - 1) != F.col("w.selected_at"), F.lit(True)).alias("new"),
         F.transform(F.slice("lines", F.col("w.at") + 1, F.col("w.len")), lambda x: x[P]).alias("held"),
     )

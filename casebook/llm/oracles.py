@@ -26,6 +26,8 @@ WITH d AS (
     SELECT d.doc_id, len(ws)::BIGINT AS n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::BIGINT AS word_chars,
         length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
         length(regexp_replace(text, '[^!?]', '', 'g'))::BIGINT AS n_marks,
+        length(regexp_replace(text, '[^\p{{Lu}}]', '', 'g'))::BIGINT AS n_upper,
+        len(list_filter(range(1, len(ws)), lambda i: ws[i] = ws[i + 1]))::BIGINT AS n_same,
         (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, len(ls)::BIGINT AS n_lines,
         coalesce(c.n, 0)::BIGINT AS n_repeat_words,
         len(list_filter(ws, lambda x: x IN ({FORMS})))::BIGINT AS n_stop
@@ -35,7 +37,8 @@ WITH d AS (
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
     NOT base_failed AND word_chars / n_words BETWEEN 2.0 AND 14.0 AND n_symbols / n_words <= 0.1 AND n_stop / n_words >= 0.02
-        AND n_marks / word_chars <= 0.1 AND n_repeat_words / n_words <= 0.5 AND n_dup_lines / n_lines <= 0.5 AS kept
+        AND n_marks / word_chars <= 0.1 AND n_repeat_words / n_words <= 0.5 AND n_dup_lines / n_lines <= 0.5
+        AND n_upper / word_chars <= 0.3 AND n_same / n_words <= 0.2 AS kept
 FROM b
 """
 
@@ -84,9 +87,11 @@ l AS (SELECT doc_id, place, x, len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) A
     FROM a WHERE x <> ''),
 g AS (SELECT doc_id, list(x ORDER BY pos) AS xs, list(n ORDER BY pos) AS ns, list(place ORDER BY pos) AS ps FROM l GROUP BY doc_id),
 w AS (SELECT doc_id, pos, xs, ps,
-    coalesce(list_extract(list_filter(range(1, {MIN_LINES} + 1), lambda k: k = {MIN_LINES} OR list_sum(ns[pos:pos + k - 1]) >= {MIN_WORDS}), 1), 0) AS size
+    coalesce(list_extract(list_filter(range(1, {MIN_LINES} + 1), lambda k: k = {MIN_LINES} OR list_sum(ns[pos:pos + k - 1]) >= {MIN_WORDS}), 1), 0) AS size,
+    coalesce(list_extract(list_filter(range(1, {MIN_LINES} + 1), lambda k: k = {MIN_LINES} OR list_sum(ns[greatest(pos - k + 1, 1):pos]) >= {MIN_WORDS}), 1), 0) AS back
     FROM g, unnest(range(1, len(xs) + 1)) u(pos)),
-v AS (SELECT doc_id, pos, ps[pos:pos + size - 1] AS held, xs[pos:pos + size - 1] AS content FROM w WHERE pos + size - 1 <= len(xs)),
+v AS (SELECT doc_id, pos, ps[pos:pos + size - 1] AS held, xs[pos:pos + size - 1] AS content FROM w WHERE pos + size - 1 <= len(xs)
+    UNION SELECT doc_id, pos - back + 1, ps[pos - back + 1:pos], xs[pos - back + 1:pos] FROM w WHERE pos >= back),
 r AS (SELECT doc_id, held FROM v QUALIFY row_number() OVER (PARTITION BY content ORDER BY doc_id, pos) > 1),
 x AS (SELECT DISTINCT doc_id, unnest(held) AS place FROM r)
 SELECT a.doc_id, count(x.place)::INTEGER AS n_deleted,

@@ -32,8 +32,10 @@ RULES = (
     ("word_length_high", "mean_word_chars", None, 14.0),
     ("symbols", "symbols_per_word", None, 0.1),
     ("stop_words", "stop_word_share", 0.02, None),
+    ("upper_case", "upper_share", None, 0.3),
     ("marks", "shouting_share", None, 0.1),
     ("repeated_words", "repeated_word_share", None, 0.5),
+    ("repeated_neighbours", "same_as_next_share", None, 0.2),
     ("repeated_lines", "repeated_line_share", None, 0.5),
 )
 
@@ -48,20 +50,22 @@ def _share(part: str, whole: str) -> Column:
 
 def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", stop_words: Sequence[str] = STOP_WORDS) -> DataFrame:
     """``doc_id``, counts and ratios of every row."""
-    low = (1 << 24) - 1
+    # No array of strings that Spark can hold has 2^28 words.
+    low = (1 << 28) - 1
     text = F.coalesce(F.col(text_col), F.lit(""))
     base = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.btrim(text, F.lit(BLANKS)).alias("bare"))
     words = F.when(F.col("bare") != "", F.split("bare", f"[{BLANKS}]+")).otherwise(F.array().cast("array<string>"))
     lines = F.filter(F.split("text", "\n"), lambda x: F.length(F.btrim(x, F.lit(BLANKS))) > 0)
     # One pass over the characters; the few that are left are counted apart.
     marks = F.regexp_replace("text", "[^#*$%&|<>!?]++", "")
-    cut = base.select("doc_id", words.alias("words"), lines.alias("lines"), marks.alias("marks"))
+    upper = F.length(F.regexp_replace("text", r"[^\p{Lu}]++", "")).cast("bigint")
+    cut = base.select("doc_id", words.alias("words"), lines.alias("lines"), marks.alias("marks"), upper.alias("n_upper"))
     hashed = cut.select(
         "doc_id",
         _count(F.col("words")).alias("n_words"),
         F.length(F.array_join("words", "")).cast("bigint").alias("word_chars"),
         F.length(F.regexp_replace("marks", "[!?]+", "")).cast("bigint").alias("n_symbols"),
-        F.length("marks").cast("bigint").alias("n_all_marks"),
+        F.length("marks").cast("bigint").alias("n_all_marks"), "n_upper",
         _count(F.col("lines")).alias("n_lines"),
         (_count(F.col("lines")) - _count(F.array_distinct("lines"))).alias("n_dup_lines"),
         F.transform("words", lambda w: F.xxhash64(w)).alias("h"),
@@ -72,10 +76,12 @@ def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", st
     windows = F.transform(
         F.slice("h", 3, F.greatest(F.size("h") - 2, F.lit(0))), lambda c, i: F.xxhash64(F.get("h", i), F.get("h", i + 1), c)
     )
+    same = _count(F.filter("h", lambda h, i: F.coalesce(h == F.get("h", i + 1), F.lit(False))))
     triples = hashed.withColumn("n_stop_words", _count(F.filter("h", lambda h: h.isin(stops)))).withColumn("windows", windows)
+    triples = triples.withColumn("n_same_as_next", same)
     # Texts without a repeated window stop here.
     repeats = triples.withColumn("repeats", F.size(F.array_distinct("windows")) < F.size("windows"))
-    # 40 bits of the hash above 24 bits of place: primitive longs sort fast and equal windows come side by side.
+    # 36 bits of the hash above 28 bits of place: primitive longs sort fast and equal windows come side by side.
     packed = repeats.withColumn(
         "packed",
         F.when(
@@ -95,7 +101,7 @@ def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", st
     def window(x: Column) -> Column:
         return F.get("windows", x.bitwiseAND(F.lit(low)).cast("int"))
 
-    # Different windows that share 40 bits (about never) are told apart by comparing whole hashes with all others.
+    # Different windows that share 36 bits (about never) are told apart by comparing whole hashes with all others.
     mixed = F.exists(
         F.zip_with("near", F.slice("near", 2, F.greatest(F.size("near"), F.lit(1))), lambda x, y: alike(x, y) & (window(x) != window(y))),
         lambda different: F.coalesce(different, F.lit(False)),
@@ -119,8 +125,10 @@ def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", st
         _share("word_chars", "n_words").alias("mean_word_chars"),
         _share("n_symbols", "n_words").alias("symbols_per_word"),
         _share("n_stop_words", "n_words").alias("stop_word_share"),
+        _share("n_upper", "word_chars").alias("upper_share"),
         _share("n_marks", "word_chars").alias("shouting_share"),
         _share("n_repeat_words", "n_words").alias("repeated_word_share"),
+        _share("n_same_as_next", "n_words").alias("same_as_next_share"),
         _share("n_dup_lines", "n_lines").alias("repeated_line_share"),
     )
 

@@ -53,21 +53,20 @@ def quality(text):
 
 
 def deleted_lines(docs, min_lines, min_words):
-    """doc id -> places of the lines that go."""
-    first, out = set(), defaultdict(set)
+    """doc id -> places of the lines that go: those of runs, long enough, that occur at an earlier place."""
+    seen, out = set(), defaultdict(set)
     for doc_id, text in sorted(docs, key=lambda d: d[0]):
         lines = [(i, x.strip(" \t\n\x0b\f\r")) for i, x in enumerate((text or "").split("\n"))]
         lines = [x for x in lines if x[1]]
         for a in range(len(lines)):
-            n = 0
-            for b in range(a, min(a + min_lines, len(lines))):
+            n, run = 0, ()
+            for b in range(a, len(lines)):
                 n += len(BLANK_WORDS.findall(lines[b][1]))
-                if n >= min_words or b - a + 1 == min_lines:
-                    key = tuple(x for _, x in lines[a : b + 1])
-                    if key in first:
+                run = hash((run, lines[b][1]))
+                if n >= min_words or b - a + 1 >= min_lines:
+                    if run in seen:
                         out[doc_id] |= {i for i, _ in lines[a : b + 1]}
-                    first.add(key)
-                    break
+                    seen.add(run)
     return out
 
 

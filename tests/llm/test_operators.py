@@ -60,6 +60,16 @@ def by_id(df, key="doc_id"):
     return {r[key]: r for r in df.collect()}
 
 
+def test_quality_rules_on_capitals_and_doubled_words(spark):
+    """Pages mostly in capitals or of doubled words fail; the same words written plainly pass."""
+    plain = " ".join("the" if i % 10 == 0 else f"word{i}" for i in range(80))
+    doubled = " ".join(w for p in plain.split() for w in (p, p))
+    rows = [(1, plain), (2, plain.upper()), (3, doubled), (4, "the " * 30 + plain)]
+    got = {r["doc_id"]: (r["failed"], r["passed"]) for r in quality_rules.judged(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got[1] == ([], True) and not got[2][1] and not got[3][1]
+    assert "upper_case" in got[2][0] and "repeated_neighbours" in got[3][0] and "repeated_neighbours" in got[4][0]
+
+
 def test_licences(docs, rows, nothing):
     got = by_id(licences.scan(docs))
     for doc_id, text, *_ in rows:
@@ -157,6 +167,18 @@ def test_line_dedup(docs, rows, nothing, min_lines, min_words):
     assert line_dedup.dedup_lines(nothing).count() == 0
 
 
+def test_runs_go_whole(spark):
+    """What comes after a line of 50 words, or before one, goes with the run; a first place elsewhere does not matter."""
+    line = lambda name, n: " ".join(f"{name}{i}" for i in range(n))
+    a, b, c, d = line("a", 80), line("b", 10), line("c", 60), line("d", 10)
+    texts = [(1, a), (2, "\n".join([a, b])), (3, "\n".join(["own", a, b, "end"])), (4, "\n".join([b, c, d])),
+             (5, "\n".join(["x", b, c, d, "y"])), (6, "\n".join([d, "z", b])), (7, "\n".join([b, c, "w", d]))]
+    got = by_id(line_dedup.dedup_lines(spark.createDataFrame(texts, "doc_id bigint, text string")))
+    assert {i: r["n_deleted"] for i, r in got.items()} == {1: 0, 2: 1, 3: 2, 4: 0, 5: 3, 6: 0, 7: 2}
+    assert got[3]["text"] == "own\nend" and got[5]["text"] == "x\ny" and got[7]["text"] == "w\n" + d
+    assert {i: len(x) for i, x in brute.deleted_lines(texts, 3, 50).items()} == {2: 1, 3: 2, 5: 3, 7: 2}
+
+
 def test_line_dedup_of_repeated_rows(spark):
     text = "\n".join(f"line number {i}" for i in range(5))
     frame = spark.createDataFrame([(1, text), (1, text), (2, text), (None, text)], "doc_id bigint, text string")
