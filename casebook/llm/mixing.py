@@ -18,7 +18,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from casebook.functions.ranking import key_bucket, numbered, seeded_key
-from casebook.functions.runtime import cut_lineage, join_on
+from casebook.functions.runtime import cut_lineage, join_on, settle
 
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
@@ -84,7 +84,8 @@ def mix(
             key_bucket(key).alias("bucket"),
         )
     )
-    targets = cut_lineage(water_fill(weighted_sources(sizes, weights), max_epochs))
+    # Sources are summed once; the rounds read the written sums.
+    targets = cut_lineage(water_fill(cut_lineage(weighted_sources(sizes, weights)), max_epochs))
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
     targets = targets.withColumn("whole", whole.cast("bigint")).withColumn(
         "missing", F.col("target") - F.col("whole") * F.col("source_size")
@@ -98,6 +99,8 @@ def mix(
         .filter((F.col("begin") <= F.col("missing")) & (F.col("missing") < F.col("end")))
         .select("source", "bucket", (F.col("missing") - F.col("begin")).alias("room"))
     )
+    # One row a source at most: broadcast if few, so that the rows of a hot source stay where they are.
+    edge = settle(edge)
     inside = join_on(sizes.select("source", "bucket", "key", "size"), edge, ["source", "bucket"])
     before = W.partitionBy("source").orderBy("key").rangeBetween(W.unboundedPreceding, 0)
     cut = (
@@ -108,7 +111,7 @@ def mix(
     )
     edges = edge.select("source", "bucket").withColumnRenamed("bucket", "edge")
     plan = join_on(join_on(targets, edges, ["source"], "left"), cut, ["source"], "left")
-    joined = join_on(sizes, plan, ["source"])
+    joined = join_on(sizes, settle(plan), ["source"])
     inside_cut = (F.col("bucket") == F.col("edge")) & (F.col("key") <= F.col("cut"))
     taken = F.coalesce(F.col("bucket") < F.col("edge"), F.lit(True)) | F.coalesce(inside_cut, F.lit(False))
     extra = (F.col("missing") > 0) & taken
