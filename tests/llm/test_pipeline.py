@@ -144,7 +144,7 @@ def test_line_stage(staged):
 
 def test_near_duplicate_stage(staged):
     _, before, after = staged[2]
-    found = brute.components([(r["doc_id"], r["text"]) for r in before.collect()])
+    found = brute.components([(r["doc_id"], r["text"]) for r in before.collect()], size=5)
     assert sorted(r["doc_id"] for r in after.collect()) == sorted({c for _, c in found.values()})
 
 
