@@ -22,6 +22,8 @@ from casebook.llm import language, line_dedup, minhash, mixing, packing
 from casebook.llm.queries import tokenizer_file, vocabulary
 
 MIN_LANGUAGE_SCORE = 0.4
+# Words of a shingle in the near-duplicate stage.
+SHINGLE = 5
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,7 +43,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document of each group with the least id."""
-    kept = minhash.near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("__id")).distinct()
+    kept = minhash.near_duplicates(docs, shingle=SHINGLE).filter("kept").select(F.col("doc_id").alias("__id")).distinct()
     return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__id"))).select(*docs.columns)
 
 
