@@ -144,10 +144,16 @@ class Scan:
                 if span not in seen:
                     seen.add(span)
                     out.append((notice, span, edits))
+        # Characters and words before each border, counted on from the one before.
+        chars, words, last, n, m = {}, {}, 0, 0, 0
+        for at in sorted({at for _, span, _ in out for at in span}):
+            n += len(text[last:at].decode())
+            m += text.count(b" ", last, at)
+            chars[at], words[at], last = n, m, at
         return n_words, [
             {
-                "label": notice.label, "notice": notice.text, "is_base": notice.base, "start": len(text[:a].decode()),
-                "end": len(text[:b].decode()), "first_word": text.count(b" ", 0, a), "edits": edits,
+                "label": notice.label, "notice": notice.text, "is_base": notice.base, "start": chars[a],
+                "end": chars[b], "first_word": words[a], "edits": edits,
                 "score": 1.0 - edits / len(notice.text),
             }
             for notice, (a, b), edits in out
