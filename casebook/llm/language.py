@@ -78,10 +78,12 @@ def learn(
     )
     both = counted.select("lang", F.lit(0).alias("size"), "item", "n").unionByName(gram)
     order = W.partitionBy("lang", "size").orderBy(F.desc("n"), "item")
+    # A row per language and size, summed in parts before it is gathered.
+    totals = both.groupBy("lang", "size").agg(F.sum("n").alias("total"))
     kept = (
-        both.withColumn("total", F.sum("n").over(W.partitionBy("lang", "size")))
-        .withColumn("rank", F.row_number().over(order))
+        both.withColumn("rank", F.row_number().over(order))
         .filter(F.col("rank") <= F.when(F.col("size") == 0, words).otherwise(grams))
+        .join(totals, ["lang", "size"])
         .select("lang", "size", "item", "n", "total")
     )
     rows = kept.collect()
