@@ -30,7 +30,7 @@ K = 20
 PROJECTED = 12
 MISS = 0.02
 SHARD_ROWS = 8_192
-QUERY_ROWS = 4_096
+QUERY_ROWS = 1_024
 LEAF = 64
 STEP = 6
 SEED = 10
@@ -124,13 +124,15 @@ def nearest(
     """``query_id``, ``rank``, ``vec_id``, ``score`` of the ``k`` nearest found per query.
 
     ``queries`` is the condition on ``id_col`` that makes a row a query (all
-    rows if left out). Rows that repeat an id count once.
+    rows if left out). Rows that repeat an id count once, with the least of
+    their vectors. A null id takes no part.
     """
     is_query = F.lit(True) if queries is None else queries
     rows = (
         vectors.filter(usable(F.col(vector_col)) & F.col(id_col).isNotNull())
         .select(F.col(id_col).cast("bigint").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"), is_query.alias("q"))
-        .dropDuplicates(["vec_id"])
+        # Of different vectors of one id the least in order counts.
+        .groupBy("vec_id").agg(F.min("v").alias("v"), F.max("q").alias("q"))
         .withColumn("dim", F.size("v"))
     )
     rows = cut_lineage(rows)
@@ -170,8 +172,11 @@ def nearest(
                 out[2] += scores.tolist()
         return pa.table([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], names=["query_id", "vec_id", "score"])
 
+    # A task for each shard and block: few bytes mean much work here, so tasks are not merged by size.
+    groups = plan.agg(F.sum(F.col("shards") * F.col("blocks"))).first()[0] or 1
+    tasks = max(2 * groups, int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     found = (
-        points.unionByName(asked).groupBy("dim", "shard", "block")
+        points.unionByName(asked).repartition(tasks, "dim", "shard", "block").groupBy("dim", "shard", "block")
         .applyInArrow(run, "query_id bigint, vec_id bigint, score double")
     )
     best = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
