@@ -333,17 +333,32 @@ def rare_edges(texts: DataFrame, sets: DataFrame, percent: int = PERCENT) -> Dat
     def side(of: DataFrame, name: str) -> DataFrame:
         return of.select(*key, *[F.col(c).alias(c + name) for c in ("doc_id", "n", "component", "place")])
 
+    def bounds(of: DataFrame, name: str) -> DataFrame:
+        """Per shingle and component: how much can come from it on at most, and the least size."""
+        return of.groupBy(*key, F.col("component").alias("component" + name)).agg(
+            F.max(F.col("n") - F.col("place")).alias("rest" + name), F.min("n").alias("least" + name)
+        )
+
+    def enough(rest: Column, one: Column, other: Column) -> Column:
+        return (rest + 1) * (100 + percent) >= (one + other) * percent
+
+    # Components first, so that pairs within one are never formed; what no member can reach goes.
     met = (
-        smaller.select(*key, F.col("component").alias("component_s")).distinct()
-        .join(larger.select(*key, F.col("component").alias("component_l")).distinct().hint("merge"), key)
+        bounds(smaller, "_s").join(bounds(larger, "_l").hint("merge"), key)
         .filter("component_s <> component_l")
+        .filter(enough(F.least("rest_s", "rest_l"), F.col("least_s"), F.greatest("least_s", "least_l")))
+    )
+    # Then the members of one side that some member of the other may be a partner of.
+    half = met.join(side(smaller, "_s").hint("merge"), [*key, "component_s"]).filter(
+        enough(F.least(F.col("n_s") - F.col("place_s"), F.col("rest_l")), F.col("n_s"), F.greatest("n_s", "least_l"))
+        & (F.col("n_s") * 100 >= F.col("least_l") * percent)
     )
-    pairs = met.join(side(smaller, "_s").hint("merge"), [*key, "component_s"]).join(side(larger, "_l").hint("merge"), [*key, "component_l"])
+    pairs = half.join(side(larger, "_l").hint("merge"), [*key, "component_l"])
     common = F.least(F.col("n_s") - F.col("place_s"), F.col("n_l") - F.col("place_l")) + 1
     return (
         pairs.filter(F.struct("n_s", "doc_id_s") < F.struct("n_l", "doc_id_l"))
         .filter(F.col("n_s") * 100 >= F.col("n_l") * percent)
-        .filter(common * (100 + percent) >= (F.col("n_s") + F.col("n_l")) * percent)
+        .filter(enough(common - 1, F.col("n_s"), F.col("n_l")))
         .select(F.least("doc_id_s", "doc_id_l").alias("a"), F.greatest("doc_id_s", "doc_id_l").alias("b"))
         .distinct()
     )
