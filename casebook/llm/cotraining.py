@@ -2,16 +2,19 @@
 
 The text view sees hashed words and word shapes of the whole text. The
 metadata view sees source, language, length and line layout. Both start from
-the labelled rows; in each round each view labels the unlabelled rows it is
-surest of for the other one. Each view is calibrated on held-out labels and
-their log odds, less the common prior, are added to one score for every row.
-
-The classifiers are fitted on at most ``labelled`` labelled and ``unlabelled``
-other rows, chosen by hashed id; scores are for all rows. Null text is empty,
-null metadata is a value of its own. If one of the two labels is missing
-among the fitted rows, every score is the share of good labels (1 without
-labels). Rows that repeat get the same score; an empty table gives an empty
-result.
+the labelled rows. In each round each view judges all unlabelled rows and
+hands the other one the surest ``given`` share of its confident rows of every
+source and verdict, so small sources teach too; both are fitted again on the
+labelled rows and what they were handed. Each view is calibrated on held-out
+labels and their log odds, less the common prior, are added to one score for
+every row.
+
+The features of all rows are computed once and written as half-precision
+numbers; rounds and scores read them. Only labelled rows are sampled: at most
+about ``labelled`` of them, by hashed id. Null text is empty, null metadata is
+a value of its own. If one of the two labels is missing among the fitted rows,
+every score is the share of good labels (1 without labels). Rows that repeat
+get the same score; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -22,17 +25,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 
-from casebook.functions.runtime import cut_lineage
+from casebook.functions.runtime import cut_lineage, join_on, settle
 from casebook.llm.arrays import blocks, coded_words, in_batches, texts_of
 
 WORD_DIMS, SHAPE_DIMS, STATS = 192, 48, 4
 SOURCE_DIMS, LANG_DIMS, LAYOUT = 64, 16, 4
-LABELLED, UNLABELLED = 6_000, 4_000
-ROUNDS, GIVEN = 2, 400
+LABELLED = 6_000
+ROUNDS, GIVEN = 2, 0.05
 SURE = 0.9
+# Steps of confidence in log odds, and the highest one told apart.
+STEPS, HIGHEST = 20, 600
 KEEP = 0.5
 BLOCK_ROWS = 1_024
 CACHED_WORDS = 100_000
@@ -51,7 +55,7 @@ class TextView:
         self.shape = lambda w: mark.sub(r"\1\1", digit.sub("0", lower.sub("a", upper.sub(lambda m: "A" * min(2, len(m.group())), w))))
 
     def _places(self, word: str) -> tuple[int, int]:
-        return zlib.crc32(word.lower().encode()) % WORD_DIMS, WORD_DIMS + zlib.crc32(self.shape(word[:64]).encode()) % SHAPE_DIMS
+        return zlib.crc32(word.lower().encode()) % WORD_DIMS, WORD_DIMS + zlib.crc32(self.shape(word).encode()) % SHAPE_DIMS
 
     def __call__(self, texts: pa.LargeStringArray) -> Iterator[np.ndarray]:
         bounds, codes, distinct = coded_words(texts)
@@ -96,44 +100,52 @@ def _rows(docs: DataFrame, id_col: str, text_col: str, source_col: str, lang_col
     )
 
 
-def views(rows: DataFrame) -> DataFrame:
-    """``doc_id`` and the vectors ``a`` (text) and ``b`` (metadata) of every row."""
+def features(rows: DataFrame) -> DataFrame:
+    """``doc_id``, ``source`` and ``v``, the packed vectors of both views, of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         view = TextView()
         for table in blocks(batches, "text", BLOCK_ROWS):
-            a = [x for x in view(texts_of(table.column("text")))]
             meta = zip(*(table.column(c).to_pylist() for c in ("source", "lang", "text", "chars")))
-            b = [meta_vector(*m) for m in meta]
-            vector = pa.list_(pa.float32())
-            yield pa.RecordBatch.from_arrays(
-                [table.column("doc_id").combine_chunks(), pa.array(a, vector), pa.array(b, vector)], names=["doc_id", "a", "b"]
-            )
+            packed = [
+                np.concatenate([a, meta_vector(*m)]).astype(np.float16).tobytes() for a, m in zip(view(texts_of(table.column("text"))), meta)
+            ]
+            columns = [table.column(c).combine_chunks() for c in ("doc_id", "source")]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(packed, pa.binary())], names=["doc_id", "source", "v"])
 
-    return in_batches(rows).mapInArrow(run, "doc_id bigint, a array<float>, b array<float>")
+    return in_batches(rows).mapInArrow(run, "doc_id bigint, source string, v binary")
 
 
-def scored(rows: DataFrame, weights: dict) -> DataFrame:
-    """``doc_id``, log odds of both views and the combined score of every row, in one pass over the texts."""
-    shared = rows.sparkSession.sparkContext.broadcast(weights)
+def unpacked(column) -> tuple[np.ndarray, np.ndarray]:
+    """The vectors of the text view and of the metadata view."""
+    v = np.frombuffer(b"".join(column.to_pylist()), np.float16).reshape(len(column), -1).astype(np.float32)
+    return v[:, : TextView.dims], v[:, TextView.dims :]
+
+
+def judged(known: DataFrame, weights: dict) -> DataFrame:
+    """The rows of ``known`` with the log odds ``la`` and ``lb`` of both views."""
+    shared = known.sparkSession.sparkContext.broadcast({v: weights[v] for v in ("a", "b")})
+    schema = T.StructType([*known.schema.fields, T.StructField("la", T.DoubleType()), T.StructField("lb", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w = shared.value
-        view = TextView()
-        for table in blocks(batches, "text", BLOCK_ROWS):
-            texts = texts_of(table.column("text"))
-            a = np.array(list(view(texts))) @ w["a"][0] + w["a"][1]
-            meta = zip(*(table.column(c).to_pylist() for c in ("source", "lang", "text", "chars")))
-            b = np.array([meta_vector(*m) for m in meta]) @ w["b"][0] + w["b"][1]
-            a = np.clip(w["cal_a"][0] * a + w["cal_a"][1], -30, 30)
-            b = np.clip(w["cal_b"][0] * b + w["cal_b"][1], -30, 30)
-            score = 1 / (1 + np.exp(-(a + b - w["prior"])))
-            yield pa.RecordBatch.from_arrays(
-                [table.column("doc_id").combine_chunks(), *(pa.array(x, pa.float64()) for x in (a, b, score))],
-                names=["doc_id", "text_logit", "meta_logit", "score"],
-            )
+        for batch in batches:
+            if batch.num_rows:
+                parts = zip(unpacked(batch.column("v")), (shared.value[v] for v in ("a", "b")))
+                logits = [pa.array(x @ w + c, pa.float64()) for x, (w, c) in parts]
+                yield pa.RecordBatch.from_arrays([*batch.columns, *logits], names=[*batch.schema.names, "la", "lb"])
 
-    return in_batches(rows).mapInArrow(run, "doc_id bigint, text_logit double, meta_logit double, score double")
+    return known.mapInArrow(run, schema)
+
+
+def scored(known: DataFrame, weights: dict) -> DataFrame:
+    """``doc_id``, log odds of both views and the combined score of every row."""
+    a, b = (
+        F.greatest(F.lit(-30.0), F.least(F.lit(30.0), F.col(f"l{v}") * float(weights[f"cal_{v}"][0]) + float(weights[f"cal_{v}"][1])))
+        for v in ("a", "b")
+    )
+    rows = judged(known, weights).select("doc_id", a.alias("text_logit"), b.alias("meta_logit"))
+    odds = F.col("text_logit") + F.col("meta_logit") - float(weights["prior"])
+    return rows.withColumn("score", 1 / (1 + F.exp(-odds)))
 
 
 def _fit(rows: DataFrame, view: str) -> tuple[np.ndarray, float]:
@@ -141,20 +153,38 @@ def _fit(rows: DataFrame, view: str) -> tuple[np.ndarray, float]:
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.functions import array_to_vector
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x = unpacked(batch.column("v"))[0 if view == "a" else 1].astype(np.float64)
+                yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(list(x), pa.list_(pa.float64()))], names=["label", "x"])
+
     counts = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     total = sum(counts.values())
     weight = F.when(F.col("label") == 1, total / (2 * counts[1.0])).otherwise(total / (2 * counts[0.0]))
-    data = rows.select(
-        "label", array_to_vector(F.col(view).cast("array<double>")).alias("features"), weight.alias("weight")
-    )
+    vectors = rows.select("label", "v").mapInArrow(run, "label double, x array<double>")
+    data = vectors.select("label", array_to_vector("x").alias("features"), weight.alias("weight"))
     model = LogisticRegression(weightCol="weight", regParam=1e-4, maxIter=40, standardization=True).fit(data)
     return model.coefficients.toArray(), float(model.intercept)
 
 
-def _logit(view: str, weights: tuple[np.ndarray, float]):
-    w = F.array(*[F.lit(float(x)) for x in weights[0]])
-    products = F.zip_with(view, w, lambda x, y: x * y)
-    return F.aggregate(products, F.lit(float(weights[1])), lambda s, x: s + x)
+def surest(pool: DataFrame, logit: str, share: float) -> DataFrame:
+    """``label`` and ``v`` of the surest ``share`` of the confident rows of each source and verdict, at least one step.
+
+    Confidence goes in small steps, whose rows are counted; the step at which
+    the share is reached is taken whole, so nothing is sorted or ranked by row.
+    """
+    step = F.least(F.lit(HIGHEST), F.floor(F.abs(logit) * STEPS)).cast("int")
+    sure = pool.filter(F.abs(logit) >= math.log(SURE / (1 - SURE))).select(
+        "source", (F.col(logit) > 0).cast("double").alias("label"), step.alias("step"), "v"
+    )
+    counts = sure.groupBy("source", "label", "step").agg(F.count(F.lit(1)).alias("n"))
+    down = W.partitionBy("source", "label").orderBy(F.desc("step"))
+    reached = counts.withColumn("above", F.sum("n").over(down) - F.col("n")).withColumn(
+        "all", F.sum("n").over(W.partitionBy("source", "label"))
+    )
+    cuts = reached.filter(F.col("above") < F.col("all") * share).groupBy("source", "label").agg(F.min("step").alias("cut"))
+    return join_on(sure, settle(cuts), ["source", "label"]).filter("step >= cut").select("label", "v")
 
 
 def calibrated(logits: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
@@ -170,54 +200,27 @@ def calibrated(logits: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
     return max(slope, 0.0), offset
 
 
-def train(
-    rows: DataFrame, labels: DataFrame, labelled: int = LABELLED, unlabelled: int = UNLABELLED, rounds: int = ROUNDS
-) -> dict:
-    """Weights, calibration and prior. ``labels`` has ``doc_id`` and ``label`` (1 good, 0 bad)."""
-    lot = F.xxhash64("doc_id", F.lit(5))
-    known = labels.filter(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(
-        F.max(F.col("label").cast("double")).alias("label")
-    )
-    drawn = known.withColumn("lot", lot).orderBy("lot", "doc_id").limit(labelled)
-    # Other rows: about as many as asked for, by hash, of all rows without a label.
-    ids = rows.select("doc_id").filter("doc_id IS NOT NULL")
-    total = max(1, ids.count())
-    share = min(1.0, 2 * unlabelled / total)
-    place = F.pmod(lot, F.lit(1 << 30)) / float(1 << 30)
-    others = (
-        ids.filter(place < share).join(known, "doc_id", "left_anti").distinct()
-        .withColumn("lot", lot).orderBy("lot", "doc_id").limit(unlabelled)
-    )
-    picked = cut_lineage(drawn.unionByName(others.withColumn("label", F.lit(None).cast("double"))))
-    # At most labelled + unlabelled ids of 24 bytes: bounded by parameters.
-    chosen = rows.join(F.broadcast(picked.select("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    sample = cut_lineage(views(chosen).join(F.broadcast(picked), "doc_id"))
+def train(known: DataFrame, labelled: int = LABELLED, rounds: int = ROUNDS, given: float = GIVEN) -> dict:
+    """Weights, calibration and prior, from rows with ``doc_id``, ``source``, ``v`` and ``label`` (null if unlabelled)."""
+    marked = known.filter(F.col("label").isNotNull())
+    place = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 30))
+    share = labelled / max(labelled, marked.count())
+    sample = cut_lineage(marked.filter(place < int(share * (1 << 30))))
     fold = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(4)) == 0
-    base = sample.filter(F.col("label").isNotNull())
-    fit, held = base.filter(~fold), base.filter(fold)
+    fit, held = sample.filter(~fold), sample.filter(fold)
     counts = {r["label"]: r["n"] for r in fit.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(counts) < 2:
         return {"prior": None, "share": 1.0 if not counts or 1.0 in counts else 0.0}
     prior = math.log(counts[1.0] / counts[0.0])
-    pool = sample.filter(F.col("label").isNull()).drop("label")
-    taught = {"a": fit.select("doc_id", "label", "a", "b"), "b": fit.select("doc_id", "label", "a", "b")}
-    weights = {}
-    for turn in range(rounds + 1):
-        weights = {v: _fit(taught[v], v) for v in ("a", "b")}
-        if turn == rounds:
-            break
-        judged = cut_lineage(
-            pool.withColumn("pa", 1 / (1 + F.exp(-_logit("a", weights["a"])))).withColumn("pb", 1 / (1 + F.exp(-_logit("b", weights["b"]))))
-        )
-        given = []
-        for teacher, pupil in (("pa", "b"), ("pb", "a")):
-            sure = judged.withColumn("sure", F.greatest(F.col(teacher), 1 - F.col(teacher))).filter(F.col("sure") >= SURE)
-            best = cut_lineage(sure.orderBy(F.desc("sure"), "doc_id").limit(GIVEN).select("doc_id", (F.col(teacher) > 0.5).cast("double").alias("label"), "a", "b"))
-            taught[pupil] = taught[pupil].unionByName(best)
-            given.append(best.select("doc_id"))
-        pool = judged.drop("pa", "pb").join(given[0].unionByName(given[1]).distinct(), "doc_id", "left_anti")
+    pool = known.filter(F.col("label").isNull()).select("source", "v")
+    own = fit.select("label", "v")
+    weights = {v: _fit(own, v) for v in ("a", "b")}
+    for _ in range(rounds):
+        seen = judged(pool, weights)
+        handed = {pupil: cut_lineage(surest(seen, logit, given)) for logit, pupil in (("la", "b"), ("lb", "a"))}
+        weights = {v: _fit(own.unionByName(handed[v]), v) for v in ("a", "b")}
     # Bounded by ``labelled``: one number per view and held-out row.
-    out = held.select("label", _logit("a", weights["a"]).alias("la"), _logit("b", weights["b"]).alias("lb")).collect()
+    out = judged(held, weights).select("label", "la", "lb").collect()
     y = np.array([r["label"] for r in out])
     if len(set(y.tolist())) < 2:
         cal = {"cal_a": (1.0, prior), "cal_b": (1.0, prior)}
@@ -233,11 +236,15 @@ def quality(
 ) -> DataFrame:
     """``doc_id``, ``text_logit``, ``meta_logit``, ``score`` (0 to 1) and ``kept`` for every row."""
     rows = _rows(docs, id_col, text_col, source_col, lang_col, chars_col)
-    model = train(rows, labels, **options)
+    marks = labels.filter(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(
+        F.max(F.col("label").cast("double")).alias("label")
+    )
+    known = cut_lineage(features(rows).join(marks, "doc_id", "left"))
+    model = train(known, **options)
     if model["prior"] is None:
-        out = rows.select(
+        out = known.select(
             "doc_id", F.lit(0.0).alias("text_logit"), F.lit(0.0).alias("meta_logit"), F.lit(model["share"]).alias("score")
         )
     else:
-        out = scored(rows, model)
+        out = scored(known, model)
     return out.withColumn("kept", F.col("score") >= KEEP)

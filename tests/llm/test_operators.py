@@ -288,7 +288,7 @@ def test_cotraining(spark, docs, nothing):
     data = [(i, good() if i % 3 else bad(), "xx", "s1" if i % 3 else "s2", 100) for i in range(240)]
     frame = spark.createDataFrame([*data, (500, None, None, None, None), data[0]], "doc_id bigint, text string, lang string, source string, n_chars bigint")
     labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(0, 240, 2)], "doc_id bigint, label int")
-    got = cotraining.quality(frame, labels, labelled=100, unlabelled=80, rounds=1).collect()
+    got = cotraining.quality(frame, labels, labelled=100, rounds=1).collect()
     assert len(got) == 242
     right = [r["kept"] == (r["doc_id"] % 3 > 0) for r in got if r["doc_id"] != 500]
     assert np.mean(right) > 0.97 and all(0 <= r["score"] <= 1 for r in got)
@@ -296,6 +296,14 @@ def test_cotraining(spark, docs, nothing):
     assert cotraining.quality(nothing, labels.limit(0)).count() == 0
 
 
+def test_every_source_hands_over_its_surest_rows(spark):
+    """Small sources give too; the step at which the share is reached is taken whole."""
+    rows = [("big", 4.0 + i / 100, b"%d" % i) for i in range(200)] + [("small", 3.0, b"s"), ("small", -2.5, b"t"), (None, 9.0, b"n"), ("big", 0.5, b"u")]
+    pool = spark.createDataFrame(rows, "source string, l double, v binary")
+    got = sorted((bytes(r["v"]), r["label"]) for r in cotraining.surest(pool, "l", 0.05).collect())
+    assert got == sorted([(b"%d" % i, 1.0) for i in range(190, 200)] + [(b"s", 1.0), (b"t", 0.0), (b"n", 1.0)])
+
+
 def test_calibration():
     rnd = np.random.default_rng(0)
     x = rnd.normal(0, 4, 4000)
