@@ -33,7 +33,7 @@ def test_query_equals_its_sql(spark, con, name):
 
 def test_registered():
     names = set(entry.queries())
-    assert {q for q in names if q.startswith("op")} == set(queries.QUERIES) and len(queries.QUERIES) == 10
+    assert {q for q in names if q.startswith("op")} == set(queries.QUERIES) and len(queries.QUERIES) == 13
     assert "pipeline" in names and set(queries.SQL) <= set(entry.oracle_sql())
 
 
