@@ -8,10 +8,10 @@ empty bin borrows from a bin that a hash of its own number points to
 Texts with equal sets are one class and go on as one representative. A bucket
 links each member to the bucket's centre only, so candidate edges are stars
 and their number stays in proportion to the rows, however full a bucket is.
-Every candidate is confirmed on the full sets. A quarter of the bands goes
-first and differs in how it chooses centres; in the other bands, and then in
-all once more, only buckets that still hold several components are looked at,
-and their centres are chosen among these. Texts of buckets that hold several
+Every candidate is confirmed on the full sets. A round takes a quarter of the
+bands; the first one differs in how it chooses centres, and in the later ones
+only buckets that still hold several components are looked at, and their
+centres are chosen among these. Texts of buckets that hold several
 components after that are joined on their rarest shingles, which meets every
 pair of different components that is similar enough, so no bucket keeps a
 pair that is neither confirmed nor ruled out.
@@ -41,7 +41,8 @@ PERCENT = 80
 BLOCK_ROWS = 1_024
 CACHED_WORDS = 100_000
 CENTRES = 4
-FIRST_BANDS, MAX_ROUNDS = 8, 3
+# Rounds go through all bands, some at a time, twice.
+BANDS_A_ROUND, MAX_ROUNDS = 8, 8
 # Sizes of one step differ by less than this factor.
 SIZE_FACTOR = 1.06
 SKETCH = "doc_id bigint, n_shingles bigint, digest binary, bands array<bigint>"
@@ -383,7 +384,7 @@ def near_duplicates(
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     wanted = texts.join(involved, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     sets = cut_lineage(shingle_sets(wanted, shingle))
-    grouped, tried = None, None
+    grouped, tried, bands = None, None, BINS // ROWS_PER_BAND
 
     def linked(edges: DataFrame) -> bool:
         """Confirms edges and joins their ends up; whether there were links."""
@@ -398,9 +399,8 @@ def near_duplicates(
         grouped = cut_lineage(joined_up(grouped, new))
         return True
 
-    first = F.col("band") < FIRST_BANDS
-    for turn, part in zip(range(MAX_ROUNDS), (first, ~first, F.lit(True))):
-        current = named(members.filter(part), grouped)
+    for turn in range(MAX_ROUNDS):
+        current = named(members.filter(F.floor(F.col("band") / BANDS_A_ROUND) == turn % -(-bands // BANDS_A_ROUND)), grouped)
         if turn:
             current = cut_lineage(unsettled(current))
         if not current.isEmpty():
