@@ -143,3 +143,41 @@ def test_members_are_those_of_all_pairs(spark, abs_days, rows_per_bucket):
         assert (r.b, r.gap_days) == (b, days) and abs(r.similarity - similarity) < 1e-9
     assert {i for r in got for i in (r.id_1, r.id_2)} == {i for p in every for i in p}
     assert len(got) < len(every)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.integers(0, 10**6), st.sampled_from([0.05, 0.1, 0.2, 0.45, 0.6]), st.booleans())
+def test_many_texts_at_once_equal_one_pair_at_a_time(seed, loss, indel):
+    rnd = random.Random(seed)
+    left = ["".join(rnd.choice("abcé公") for _ in range(rnd.choice([0, 1, 63, 64, rnd.randint(0, 400)]))) for _ in range(8)]
+    right = ["".join(c for c in t if rnd.random() > 0.1) + rnd.choice(["", "q"]) for t in left]
+    wanted = edits.np.array([[rnd.random() < 0.8 for _ in right] for _ in left])
+    measure = edits.indel_within if indel else edits.within
+    want = {}
+    for i, a in enumerate(left):
+        for j, b in enumerate(right):
+            size = len(a) + len(b) if indel else max(len(a), len(b))
+            d = measure(a, b, int(loss * size + 1e-9))
+            if wanted[i, j] and d >= 0:
+                want[i, j] = d
+    a, b, d = edits.pairs_within(left, right, wanted, loss, indel)
+    assert dict(zip(zip(a.tolist(), b.tolist()), d.tolist())) == want and len(a) == len(want)
+
+
+def test_full_bands_in_tiles_and_links_without_pairs(spark):
+    """Tiles of three rows give the pairs of brute force; links are those pairs, counted for each text."""
+    rows = _texts()
+    df = spark.createDataFrame(rows, "id bigint, block string, text string").repartition(5)
+    want = _brute(rows, 80.0, "edit")
+    got = N.near_duplicates(df, "id", "block", "text", tile_rows=3).collect()
+    assert {(r["block"], r["id_1"], r["id_2"]): pytest.approx(r["similarity"]) for r in got} == want and len(got) == len(want)
+    first, n = {}, {}
+    for i, block, text in sorted(rows, key=lambda r: r[0]):
+        first.setdefault((block, text), i)
+    for (_, x, y), s in want.items():
+        if s < 100:
+            n[x], n[y] = n.get(x, 0) + 1, n.get(y, 0) + 1
+    links = {(b, i, first[b, t], n.get(first[b, t], 0)) for i, b, t in rows if None not in (b, t)}
+    for tile_rows in (None, 3):
+        out = N.near_duplicate_links(df, "id", "block", "text", tile_rows=tile_rows).collect()
+        assert {tuple(r) for r in out} == links and len(out) == len(links)
