@@ -8,12 +8,17 @@ from casebook.plans.registry import query
 from casebook.streaming import intake as N
 
 
+# A batch has a cost of its own (state of every partition, progress, task reports), so larger inputs come in larger batches.
+BATCHES = 12
+
+
 def _arriving(spark, folder):
-    """The events as a stream of files, two per batch."""
+    """The events as a stream of files, two per batch or as many as ``BATCHES`` need."""
     path = scratch_path(spark, "arriving")
     events = table(spark, folder, "events")
     events.repartitionByRange("ts").write.option("maxRecordsPerFile", 50_000).parquet(path)
-    return N.file_stream(spark, path, events.schema, files_per_batch=2)
+    files = len(spark.read.schema(events.schema).parquet(path).inputFiles())
+    return N.file_stream(spark, path, events.schema, files_per_batch=max(2, -(-files // BATCHES)))
 
 
 @query("intake_of_files", "X1", "SELECT event_id, user_id, event_type FROM events")
