@@ -8,9 +8,9 @@ scored by gradient-boosted trees over format and context features; a kind's
 threshold is the lowest score at which enough of the held-out candidates
 above it are sound, and overlaps go to the higher score.
 
-The trees learn from candidates of a bounded sample of rows: those that a
-plain format with its check confirms are positive, those that it refutes are
-negative. The checks themselves are no features.
+The trees learn from all candidates of the plain formats: those that a format
+with its check confirms are positive, those that it refutes are negative. The
+checks themselves are no features.
 
 Null text is empty and has no spans. Rows that repeat get the same spans, an
 empty table gives an empty result and needs no model.
@@ -31,7 +31,7 @@ from casebook.llm.arrays import blocks, in_batches, texts_of
 
 KINDS = ("email", "ip", "card", "phone")
 BLOCK_ROWS = 1_024
-SAMPLE_CANDIDATES = 6_000
+SCORE_STEPS = 10_000
 MIN_PRECISION = 0.95
 TREES, DEPTH = 10, 3
 CONTEXT = 24
@@ -165,41 +165,41 @@ def exploded(found: DataFrame) -> DataFrame:
     return found.select("doc_id", "row", F.explode("spans").alias("s")).select("doc_id", "row", "s.*")
 
 
-def learn(found: DataFrame, sample: int = SAMPLE_CANDIDATES, trees: int = TREES, depth: int = DEPTH):
-    """Boosted trees and a threshold per kind, from at most ``sample`` candidates; None if they are all alike.
+def learn(found: DataFrame, trees: int = TREES, depth: int = DEPTH):
+    """Boosted trees and a threshold per kind, from all candidates of a plain format; None if they are all alike.
 
-    A fifth of the sample is held out for the thresholds: the lowest score
-    above which at least ``MIN_PRECISION`` of the held-out candidates are
-    sound. A kind without held-out candidates of its own takes the overall one.
+    Either class weighs half of all, so that rare refutations are seen. A
+    fifth is held out for the thresholds: the lowest score (in steps of
+    ``1 / SCORE_STEPS``, so that the counts stay few) from which at least
+    ``MIN_PRECISION`` of the weight of held-out candidates is sound. A kind
+    with fewer than 20 held-out candidates takes the overall one.
     """
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
-    spark = found.sparkSession
-    usable = exploded(found).filter("plain").withColumn("lot", F.xxhash64("row", "start", "kind"))
-    # Half of either class, so that rare refutations are seen.
-    drawn = [
-        usable.filter(F.col("sound") == want).orderBy("lot", "row", "start", "kind").limit(sample // 2).select("kind", "sound", "lot", "features").toPandas()
-        for want in (True, False)
-    ]
-    if min(map(len, drawn)) < 5:
+    usable = exploded(found).filter("plain").select(
+        "kind", F.col("sound").cast("double").alias("label"), (F.xxhash64("row", "start", "kind") % 5 != 0).alias("fit"),
+        array_to_vector(F.col("features").cast("array<double>")).alias("features"),
+    )
+    n = {r["label"]: r["count"] for r in usable.groupBy("label").count().collect()}
+    if min(n.get(0.0, 0), n.get(1.0, 0)) < 5:
         return None
-    rows = [
-        (r.kind, float(r.sound), [float(x) for x in r.features], bool(r.lot % 5))
-        for frame in drawn for r in frame.itertuples()
-    ]
-    local = spark.createDataFrame(rows, "kind string, label double, f array<double>, fit boolean").coalesce(1)
-    local = cut_lineage(local).withColumn("features", array_to_vector("f"))
-    model = GBTClassifier(maxIter=trees, maxDepth=depth, seed=1, cacheNodeIds=False).fit(local.filter("fit"))
-    scored = model.transform(local.filter("NOT fit")).select("kind", "label", vector_to_array("probability")[1].alias("p")).toPandas()
-    return model, {k: threshold(scored[scored.kind == k] if (scored.kind == k).sum() >= 20 else scored) for k in KINDS}
+    weight = F.when(F.col("label") == 1, sum(n.values()) / (2.0 * n[1.0])).otherwise(sum(n.values()) / (2.0 * n[0.0]))
+    usable = usable.withColumn("weight", weight)
+    model = GBTClassifier(maxIter=trees, maxDepth=depth, seed=1, cacheNodeIds=False, weightCol="weight").fit(usable.filter("fit"))
+    p = (F.floor(vector_to_array("probability")[1] * SCORE_STEPS) / SCORE_STEPS).alias("p")
+    scored = (
+        model.transform(usable.filter("NOT fit")).groupBy("kind", "label", p)
+        .agg(F.sum("weight").alias("weight"), F.count(F.lit(1)).alias("n")).toPandas()
+    )
+    return model, {k: threshold(scored[scored.kind == k] if scored.n[scored.kind == k].sum() >= 20 else scored) for k in KINDS}
 
 
 def threshold(scored, precision: float = MIN_PRECISION) -> float:
-    """Lowest score at which precision holds for everything from there up; above 1 if nowhere."""
+    """Lowest score at which precision holds for everything from there up; above 1 if nowhere. Rows may have a ``weight``."""
     ordered = scored.sort_values("p", ascending=False)
-    hits = ordered.label.to_numpy().cumsum()
-    share = hits / np.arange(1, len(ordered) + 1)
+    weight = ordered.weight.to_numpy() if "weight" in ordered else np.ones(len(ordered))
+    share = (ordered.label.to_numpy() * weight).cumsum() / weight.cumsum()
     p = ordered.p.to_numpy()
     # Equal scores stand or fall together.
     last = np.append(p[1:] != p[:-1], True) if len(p) else np.zeros(0, bool)

@@ -121,6 +121,25 @@ def test_thresholds():
     assert personal.threshold(frame, 0.95) == 0.7
     assert personal.threshold(frame, 0.5) == 0.6
     assert personal.threshold(frame[frame.label == 0], 0.95) == 2.0
+    assert personal.threshold(frame.assign(weight=1.0), 0.95) == 0.7
+
+
+def test_personal_learns_from_every_candidate(spark, monkeypatch):
+    """All 7,000 candidates of the plain formats reach the trees, four fifths of them by a hash."""
+    from pyspark.ml.classification import GBTClassifier
+
+    seen, fit = [], GBTClassifier.fit
+
+    def counted(self, rows, *args):
+        seen.append(rows.groupBy("label").count().collect())
+        return fit(self, rows, *args)
+
+    monkeypatch.setattr(GBTClassifier, "fit", counted)
+    texts = [(i, f"host 10.{i % 250}.7.{i % 200} or 300.{i % 250}.7.{i % 200}") for i in range(3_500)]
+    found = personal.candidates(spark.createDataFrame(texts, "doc_id bigint, text string").repartition(3))
+    model, limits = personal.learn(found, trees=2)
+    n = {r["label"]: r["count"] for r in seen[0]}
+    assert set(n) == {0.0, 1.0} and 5_400 < sum(n.values()) < 5_800 and set(limits) == set(personal.KINDS)
 
 
 def test_mixing(spark, docs, rows, nothing):
