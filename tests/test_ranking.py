@@ -54,3 +54,17 @@ def test_cutoffs_in_one_hot_group(spark):
     got = {r["_step"]: r["_cut"] for r in R.cutoffs(df, ["g"], targets, "k").collect()}
     keys = sorted(r["k"] for r in df.collect())
     assert got == {0: keys[0], 1: keys[1699], 2: keys[-1], 3: None}
+
+
+def test_bounds_are_searched_by_halves(spark):
+    """Many bounds, equal ones and nulls among them: right buckets, and no filter over all bounds for each row."""
+    rows = _rows(400)
+    df = spark.createDataFrame(rows, "id bigint, g string, v int").repartition(3)
+    for order in (["v", "id"], ["v"]):
+        bucket = R.range_bucket(df, order, rows_per_bucket=3)
+        held = df.select("id", "v", bucket.alias("b"))
+        assert "filter(" not in held._jdf.queryExecution().analyzed().toString()
+        placed = sorted(((r["v"] is not None, r["v"] or 0) + ((r["id"],) if len(order) == 2 else ()), r["b"]) for r in held.collect())
+        assert [b for _, b in placed] == sorted(b for _, b in placed) and len({b for _, b in placed}) > 30
+        bounds = sorted((v is not None, v or 0) + tuple(rest) for v, *rest in R._bounds(df, order, 134))
+        assert all(b == sum(x <= key for x in bounds) for key, b in placed)
