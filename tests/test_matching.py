@@ -115,6 +115,30 @@ def test_fuzzy_best_match_equals_brute_force(spark):
     assert {r["n"]: r["t"] for r in J.fuzzy_best_match(a, "n", b, "t").collect()} == want
 
 
+def test_names_one_edit_away_need_no_trie(spark, monkeypatch):
+    """Changed, added and dropped characters at any place, copies of the name itself, and long and empty names."""
+
+    def refuse(*args):
+        raise AssertionError("a trie was walked")
+
+    monkeypatch.setattr(J, "_best_in_trie", refuse)
+    firms = [f"Customer#{i:06d}" for i in range(0, 300)]
+    names = firms + ["abcdefgh", "bcdefghij", "公司甲乙丙丁", "", None, "aaaaaaaa"]
+    targets = firms + ["abcdefghi", "xabcdefgh", "abcdefzh", "bcdefghi", "公司乙丙丁", "aaaaaaa", "aaaaaaaaa", None, ""]
+    a, b = (spark.createDataFrame([(w,) for w in words], "w string") for words in (names, targets))
+    got = {r["n"]: (r["t"], r["score"]) for r in J.fuzzy_best_match(a.toDF("n"), "n", b.toDF("t"), "t").collect()}
+    want = {f: (next(t for t in firms if sum(x != y for x, y in zip(f, t)) == 1), round(1 - 1 / 15, 6)) for f in firms}
+    want |= {"abcdefgh": ("abcdefghi", 0.888889), "bcdefghij": ("bcdefghi", 0.888889), "公司甲乙丙丁": ("公司乙丙丁", 0.833333), "aaaaaaaa": ("aaaaaaaaa", 0.888889)}
+    assert got == want
+
+
+def test_long_names_walk_tries(spark):
+    long = "ab" * 40
+    a, b = spark.createDataFrame([(long,), ("ab" * 32,)], "n string"), spark.createDataFrame([(long[1:],), (long,), ("ab" * 32 + "c",)], "t string")
+    got = {r["n"]: r["t"] for r in J.fuzzy_best_match(a, "n", b, "t").collect()}
+    assert got == {long: long[1:], "ab" * 32: "ab" * 32 + "c"}
+
+
 @pytest.mark.parametrize("threshold", [0.5, 0.75, 0.9])
 def test_rare_grams_lose_no_pair(spark, threshold):
     from tests.test_near_dup import slow
