@@ -139,6 +139,24 @@ def test_long_names_walk_tries(spark):
     assert got == {long: long[1:], "ab" * 32: "ab" * 32 + "c"}
 
 
+def test_texts_are_not_copied_for_each_name(spark, monkeypatch):
+    """What a task of the containment join hands back has one row a text."""
+    seen = []
+
+    def spy(texts, text, words, find, schema, *sizes):
+        out = over(texts, text, words, find, schema, *sizes)
+        seen.append(out[0])
+        return out
+
+    over = J.over_automata
+    monkeypatch.setattr(J, "over_automata", spy)
+    texts = spark.createDataFrame([(1, "abcdef"), (2, "xyz"), (2, "abc"), (3, None)], "id int, t string")
+    names = spark.createDataFrame([(n,) for n in ("a", "b", "c", "abc", "q")], "n string")
+    got = J.containment_join(texts, "t", names, "n")
+    assert sorted((r["id"], r["n"]) for r in got.collect()) == sorted((i, n) for i in (1, 2) for n in ("a", "b", "c", "abc"))
+    assert seen[0].count() == 2
+
+
 @pytest.mark.parametrize("threshold", [0.5, 0.75, 0.9])
 def test_rare_grams_lose_no_pair(spark, threshold):
     from tests.test_near_dup import slow
