@@ -144,6 +144,30 @@ def test_windows_survive_a_restart(spark):
     assert run() == [3, 24, 24]
 
 
+def test_nearest_labels_of_sparse_vectors_and_equal_scores(spark):
+    """Zeros do not travel; empty vectors and equal scores go to the smaller ids as in a plain sort."""
+    import numpy as np
+    import pyarrow as pa
+    from pyspark.ml.linalg import SparseVector
+
+    batch = pa.record_batch([pa.array([1, 2]), pa.array([[0.0, 2.0, 0.0, 1.0], [0.0] * 4], pa.list_(pa.float32()))], names=["id", "_v"])
+    sent = pa.Table.from_batches(K._without_zeros([batch], ["id"])).to_pandas()
+    assert [len(x) for x in sent["_x"]] == [8, 0] and K._dense(sent).tolist() == [[0.0, 2.0, 0.0, 1.0], [0.0] * 4]
+
+    rnd = np.random.default_rng(5)
+    kinds = [{}, {0: 1.0}, {1: 1.0}, {0: 0.6, 1: 0.8}, {7: 1.0}]
+    known = [(i, float(rnd.integers(3)), kinds[rnd.integers(5)]) for i in range(60)]
+    asked = [(100 + i, 0.0, kinds[rnd.integers(5)]) for i in range(20)]
+    frames = [spark.createDataFrame([(i, label, SparseVector(8, v)) for i, label, v in rows], ["id", "label", "features"]) for rows in (known, asked)]
+    want = {}
+    for i, _, v in asked:
+        near = sorted(known, key=lambda r: (-round(sum(v.get(j, 0.0) * x for j, x in r[2].items()), 6), r[0]))[:5]
+        votes = [label for _, label, _ in near]
+        want[i] = min(votes, key=lambda label: (-votes.count(label), label))
+    for rows in (5_000, 7):
+        assert {r["id"]: r["prediction"] for r in K.nearest_label(*frames, "id", 5, share_rows=rows).collect()} == want
+
+
 def test_nearest_labels_do_not_depend_on_shares(spark):
     from pyspark.ml.linalg import Vectors
 
