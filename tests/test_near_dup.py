@@ -6,6 +6,7 @@ from hypothesis import given, settings, strategies as st
 
 from casebook.functions import edits
 from casebook.operators import near_dup as N
+from casebook.plans.catalog import QUERIES
 
 
 def slow(a, b, change=1):
@@ -181,3 +182,15 @@ def test_full_bands_in_tiles_and_links_without_pairs(spark):
     for tile_rows in (None, 3):
         out = N.near_duplicate_links(df, "id", "block", "text", tile_rows=tile_rows).collect()
         assert {tuple(r) for r in out} == links and len(out) == len(links)
+
+
+def _address_tables(spark, folder):
+    urls = {1: "http://a.com/item/000001", 2: "http://a.com/item/000002", 3: "http://a.com/item/000001", 4: "http://a.com/other/page", 5: "http://b.com/item/000001", 6: None}
+    spark.createDataFrame(list(urls.items()), "page_id bigint, url string").write.parquet(f"{folder}/pages.parquet")
+
+
+def test_addresses_are_paired_not_only_counted(spark, tmp_path):
+    """The query names each pair of unlike addresses of a host; the addresses themselves come once."""
+    _address_tables(spark, tmp_path)
+    got = QUERIES["near_duplicate_addresses"](spark, str(tmp_path)).collect()
+    assert [tuple(r) for r in got] == [("a.com", 1, 2, pytest.approx(100 * 23 / 24, abs=1e-6))]
