@@ -165,6 +165,59 @@ def test_many_texts_at_once_equal_one_pair_at_a_time(seed, loss, indel):
     assert dict(zip(zip(a.tolist(), b.tolist()), d.tolist())) == want and len(a) == len(want)
 
 
+def test_grams_settle_unlike_texts_before_they_are_compared(monkeypatch):
+    """Of 40 unlike texts and a near copy of one, only the pair of copies is compared whole."""
+    rnd = random.Random(4)
+    texts = ["".join(rnd.choice("abcdefghij é公") for _ in range(rnd.randint(395, 405))) for _ in range(40)]
+    texts.append(texts[7][:200] + "zz" + texts[7][201:])
+    compared, whole = [], edits.within
+    monkeypatch.setattr(edits, "within", lambda *a: compared.append(a) or whole(*a))
+    wanted = edits.np.triu(edits.np.ones((41, 41), bool), 1)
+    a, b, d = edits.pairs_within(texts, texts, wanted, 0.1)
+    assert [tuple(x) for x in zip(a, b, d)] == [(7, 40, 2)] and len(compared) == 1
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.integers(0, 10**6), st.integers(2, 6), st.sampled_from([64, 4096]), st.integers(0, 60))
+def test_no_pair_within_its_limit_is_settled_by_grams(seed, q, bits, edit):
+    rnd = random.Random(seed)
+    left = ["".join(rnd.choice("ab é") for _ in range(rnd.randint(0, 300))) for _ in range(6)]
+    right = [list(t) for t in left]
+    for t in right:
+        for _ in range(edit if t else 0):
+            at = rnd.randrange(len(t))
+            t[at : at + 1] = rnd.choice([[], ["q"], ["a", "b"]])
+            t or t.append("a")
+    right = ["".join(t) for t in right]
+    d = edits.np.array([[slow(a, b) for b in right] for a in left])
+    kept = edits.may_be_within(left, right, edits.np.ones_like(d, bool), d, q)
+    assert kept.all()
+
+
+@pytest.mark.parametrize("many", [1, 16])
+def test_near_copies_side_by_side_equal_one_pair_at_a_time(monkeypatch, many):
+    """Whole texts in a band, some longer than it is wide, some with characters of their own."""
+    monkeypatch.setattr(edits, "MANY", many)
+    rnd = random.Random(8)
+    texts = []
+    for size in (130, 900, 2100):
+        base = "".join(rnd.choice("abcdefé公") for _ in range(size))
+        for edit in [0, 1, 5, size // 30, size // 14, size // 11] * 3:
+            t = list(base)
+            for _ in range(edit):
+                at = rnd.randrange(len(t))
+                t[at : at + 1] = rnd.choice([[], ["q"], ["a", "b"]])
+            texts.append("".join(t))
+    wanted = edits.np.triu(edits.np.ones((len(texts),) * 2, bool), 1)
+    a, b, d = edits.pairs_within(texts, texts, wanted, 0.1)
+    want = {(i, j): edits.within(texts[i], texts[j], max(len(texts[i]), len(texts[j])) // 10) for i, j in edits.np.argwhere(wanted).tolist()}
+    assert dict(zip(zip(a.tolist(), b.tolist()), d.tolist())) == {k: x for k, x in want.items() if x >= 0} and len(a) == len(set(zip(a, b)))
+    band = edits.Band(texts)
+    for j in (0, 20, 40):
+        got = band.distances(texts[j], edits.np.full(len(texts), len(texts[j])), 3000)
+        assert got.tolist() == [edits.distance(t, texts[j]) for t in texts]
+
+
 def test_full_bands_in_tiles_and_links_without_pairs(spark):
     """Tiles of three rows give the pairs of brute force; links are those pairs, counted for each text."""
     rows = _texts()
