@@ -247,3 +247,35 @@ def test_addresses_are_paired_not_only_counted(spark, tmp_path):
     _address_tables(spark, tmp_path)
     got = QUERIES["near_duplicate_addresses"](spark, str(tmp_path)).collect()
     assert [tuple(r) for r in got] == [("a.com", 1, 2, pytest.approx(100 * 23 / 24, abs=1e-6))]
+
+
+@pytest.mark.parametrize("copies_at_once", [500, 2])
+def test_every_copy_is_paired_with_every_similar_row(spark, copies_at_once):
+    rows = _texts()
+    rows += [(i + 2000, b, t) for i, b, t in rows if i % 3 == 0] + [(i + 4000, b, t) for i, b, t in rows if i % 9 == 0]
+    df = spark.createDataFrame(rows, "id bigint, block string, text string").repartition(5)
+    want = {}
+    for i, b, t in rows:
+        for j, c, u in rows:
+            if i < j and b == c and None not in (b, t, u) and abs(len(t) - len(u)) <= 20:
+                s = 100.0 * (1 - slow(t, u) / max(len(t), len(u), 1))
+                if s > 80:
+                    want[b, i, j] = s
+    got = N.near_duplicates(df, "id", "block", "text", every_copy=True, copies_at_once=copies_at_once).collect()
+    assert {tuple(r)[:3]: pytest.approx(r["similarity"]) for r in got} == want and len(got) == len(want)
+
+
+def _document_tables(spark, folder):
+    """Texts 1, 2 and 3 are the same, 4 is a near copy of them; 2 came ten days before 1."""
+    text = "the quick brown fox jumps over the lazy dog again"
+    rows = [(1, "en", text), (2, "en", text), (3, "en", text), (4, "en", text[:-1] + "m"), (5, "en", None), (6, "en", "unlike")]
+    spark.createDataFrame(rows, "doc_id bigint, lang string, text string").write.parquet(f"{folder}/documents.parquet")
+    days = {1: 11, 2: 1, 3: 20, 4: 11}
+    times = [(i, datetime.datetime(2024, 5, d)) for i, d in days.items()]
+    spark.createDataFrame(times, "event_id bigint, ts timestamp_ntz").write.parquet(f"{folder}/events.parquet")
+
+
+def test_documents_pair_with_all_copies(spark, tmp_path):
+    _document_tables(spark, tmp_path)
+    got = QUERIES["near_duplicate_pairs"](spark, str(tmp_path)).collect()
+    assert sorted((r.id_1, r.id_2) for r in got) == [(1, 2), (1, 3), (1, 4), (2, 3), (2, 4), (3, 4)]
