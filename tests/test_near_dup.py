@@ -279,3 +279,9 @@ def test_documents_pair_with_all_copies(spark, tmp_path):
     _document_tables(spark, tmp_path)
     got = QUERIES["near_duplicate_pairs"](spark, str(tmp_path)).collect()
     assert sorted((r.id_1, r.id_2) for r in got) == [(1, 2), (1, 3), (1, 4), (2, 3), (2, 4), (3, 4)]
+
+
+def test_all_suspicious_pairs_are_named_not_only_the_nearest(spark, tmp_path):
+    _document_tables(spark, tmp_path)
+    got = QUERIES["suspicious_pairs"](spark, str(tmp_path)).collect()
+    assert sorted((r.id_1, r.id_2, r.gap_days) for r in got) == [(1, 2, -10), (1, 4, 0), (3, 4, -9)]
