@@ -184,3 +184,15 @@ def test_scoring_skips_blanks_and_rows_outside(spark):
     df = spark.createDataFrame([(1, "ab", 1), (2, " ", 1), (3, None, 1), (4, "abc", None), (5, "abcd", 0)], "id int, t string, d int")
     got = {r["id"]: r["prediction"] for r in K.score_texts(df, "t", lambda: lambda batch: [len(t) for t in batch], within=F.col("d") == 1).collect()}
     assert got == {1: 2}
+
+
+def test_vectors_meet_without_being_shuffled(spark):
+    """Shares and blocks are written once each and meet as they are read; what is shuffled are the best rows."""
+    from pyspark.ml.linalg import Vectors
+
+    rows = [(i, float(i % 3), Vectors.dense([float(i % 3 == j) for j in range(3)])) for i in range(40)]
+    df = spark.createDataFrame(rows, ["id", "label", "features"])
+    found = K.nearest_label(df, df, "id", 3, share_rows=4)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "FlatMapGroupsInPandas" not in plan
+    assert {r["id"]: r["prediction"] for r in found.collect()} == {i: float(i % 3) for i in range(40)}
