@@ -285,3 +285,15 @@ def test_all_suspicious_pairs_are_named_not_only_the_nearest(spark, tmp_path):
     _document_tables(spark, tmp_path)
     got = QUERIES["suspicious_pairs"](spark, str(tmp_path)).collect()
     assert sorted((r.id_1, r.id_2, r.gap_days) for r in got) == [(1, 2, -10), (1, 4, 0), (3, 4, -9)]
+
+
+def test_repeated_rows_stay_in_pairs_and_are_one_row_when_suspicious(spark, tmp_path):
+    """Row 2 comes twice: its pair with the least id does as well, as it does without ``every_copy``."""
+    rows = [(1, "en", "one text"), (2, "en", "one text"), (2, "en", "one text"), (3, "en", "one text")]
+    spark.createDataFrame(rows, "doc_id bigint, lang string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    times = [(i, datetime.datetime(2024, 5, 1)) for i in (1, 2, 3)]
+    spark.createDataFrame(times, "event_id bigint, ts timestamp_ntz").write.parquet(f"{tmp_path}/events.parquet")
+    got = QUERIES["near_duplicate_pairs"](spark, str(tmp_path)).collect()
+    assert sorted((r.id_1, r.id_2) for r in got) == [(1, 2), (1, 2), (1, 3), (2, 3)]
+    got = QUERIES["suspicious_pairs"](spark, str(tmp_path)).collect()
+    assert sorted((r.id_1, r.id_2) for r in got) == [(1, 2), (1, 3), (2, 3)]
